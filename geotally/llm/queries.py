@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from geotally.llm import op1_bpe, op2_exact_dedup, op4_packing, op5_quality_rules, op9_token_counts
+from geotally.llm import op1_bpe, op2_exact_dedup, op3_quality_classifier, op4_packing, op5_quality_rules, op9_token_counts
 
 QUERIES = {
     "op1_byte_bpe": op1_bpe.query,
     "op2_exact_dedup": op2_exact_dedup.query,
+    "op3_quality_classifier": op3_quality_classifier.query,
     "op4_packing": op4_packing.query,
     "op5_quality_rules": op5_quality_rules.query,
     "op9_token_counts": op9_token_counts.query,
