@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geotally.llm.common import id_text, read
@@ -111,11 +111,16 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([e[1] for e in part], pa.binary()), pa.array([e[2][0] for e in part], pa.int64()), pa.array([e[2][1] for e in part], pa.int64())], ["key", "largest", "rows"])
 
 
+def content_key(text: Column) -> Column:
+    """SHA-256, byte length and an independent 64-bit hash of a text, as bytes."""
+    number = lambda n: F.unhex(F.lpad(F.hex(n.cast("long")), 16, "0"))
+    return F.concat(F.unhex(F.sha2(text.cast("binary"), 256)), number(F.octet_length(text)), number(F.xxhash64(text)))
+
+
 def content_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_sha256 and the content key of every row, by built-in functions alone."""
-    sha = F.sha2(F.col("text").cast("binary"), 256)
-    d = id_text(df, id_col, text_col)
-    return d.select("doc_id", sha.alias("text_sha256"), F.concat(F.unhex(sha), F.unhex(F.lpad(F.hex(F.octet_length("text").cast("long")), 16, "0")), F.unhex(F.lpad(F.hex(F.xxhash64("text")), 16, "0"))).alias("key"))
+    key = content_key(F.col("text"))
+    return id_text(df, id_col, text_col).select("doc_id", key.alias("key")).select("doc_id", F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256"), "key")
 
 
 SCHEMA = "key binary, largest long, rows long"
@@ -167,10 +172,12 @@ def update(index: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFra
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without the rows that exact_groups() drops; of rows that share id and text one stays."""
-    keep = groups(content_keys(docs, id_col, text_col)).select(F.col("largest").alias("__id"))
-    joined = docs.join(keep, docs[id_col].eqNullSafe(F.when(F.col("__id") > F.lit(-(1 << 63)), F.col("__id"))), "left_semi")
-    return joined.dropDuplicates([id_col, text_col])
+    """docs, all columns, without the rows that exact_groups() drops; of repeated rows one stays."""
+    found = groups(content_keys(docs, id_col, text_col)).select(F.col("key").alias("__key"), F.when(F.col("largest") > F.lit(-(1 << 63)), F.col("largest")).alias("__keep"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.withColumn("__content", content_key(text))
+    kept = keyed.join(found, (F.col("__content") == F.col("__key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__keep")))
+    return kept.dropDuplicates(["__key", id_col]).select(*(docs[c] for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

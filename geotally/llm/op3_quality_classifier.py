@@ -87,21 +87,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
+def batch_scores(texts: pa.Array, model: Model) -> np.ndarray:
+    """Length-weighted mean marginal of the lines of each text; null counts as empty."""
+    out = []
+    for at in range(0, len(texts), 2000):
+        found = [line_features(v.as_buffer().to_pybytes() if v.is_valid else b"") for v in texts.slice(at, 2000)]
+        x, weight = np.concatenate([f[0] for f in found]), np.maximum(1, np.concatenate([f[1] for f in found]))
+        chains = Chains(np.array([len(f[0]) for f in found]))
+        good, _, _ = forward_backward(model.score(x, chains), model.moves, chains)
+        first = np.cumsum(chains.lengths) - chains.lengths
+        out.append(np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first))
+    return np.clip(np.concatenate(out), 0.0, 1.0) if out else np.zeros(0)
+
+
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score: length-weighted mean marginal of a document's lines. docs: doc_id, text."""
+    """doc_id, score of every row. docs: doc_id, text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                found = [line_features(v.as_buffer().to_pybytes()) for v in batch.column(1)]
-                x, weight = np.concatenate([f[0] for f in found]), np.maximum(1, np.concatenate([f[1] for f in found]))
-                chains = Chains(np.array([len(f[0]) for f in found]))
-                good, _, _ = forward_backward(shared.value.score(x, chains), shared.value.moves, chains)
-                first = np.cumsum(chains.lengths) - chains.lengths
-                score = np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(score, 0.0, 1.0))], ["doc_id", "score"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch_scores(batch.column(1), shared.value))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
@@ -117,10 +122,16 @@ def classified(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return scores(docs, fit(docs, labels)).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= PREDICTS).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs, all columns, without the documents that the classifier rejects."""
-    keep = classified(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["__id"]), "left_semi")
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, without the documents that the classifier rejects. No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(id_text(docs, id_col, text_col), labels))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(batch_scores(batch.column(at), shared.value) >= PREDICTS))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
