@@ -18,10 +18,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Spark's own setting by which a finished write drops the shuffle files it needed.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again: later steps start there and lost executors cost nothing that was done."""
+    """df, written to the shared folder and read again: later steps start there and lost executors cost nothing that was done.
+
+    The write's shuffle files go with it, so steps don't pile up on the executors' disks.
+    """
     spark = df.sparkSession
-    df.write.parquet(path := shared_folder(spark))
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path := shared_folder(spark))
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

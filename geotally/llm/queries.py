@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geotally.llm import op1_bpe, op2_exact_dedup, op3_quality_classifier, op4_packing, op5_quality_rules, op6_html_extraction, op7_secret_scans, op8_minhash, op9_token_counts
+from geotally.llm import op1_bpe, op2_exact_dedup, op3_quality_classifier, op4_packing, op5_quality_rules, op6_html_extraction, op7_secret_scans, op8_minhash, op9_token_counts, op10_substrings
 
 QUERIES = {
     "op1_byte_bpe": op1_bpe.query,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_secret_scans": op7_secret_scans.query,
     "op8_minhash_near_dedup": op8_minhash.query,
     "op9_token_counts": op9_token_counts.query,
+    "op10_substring_dedup": op10_substrings.query,
 }
 SQL = {"op2_exact_dedup": op2_exact_dedup.SQL}
