@@ -30,6 +30,14 @@ def _valid(v: Column) -> Column:
     return F.filter(F.transform(v, lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
 
 
+def _last_before(places: str, i: int) -> Column:
+    return F.array_max(F.filter(places, lambda j: j < i))
+
+
+def _first_after(places: str, i: int) -> Column:
+    return F.array_min(F.filter(places, lambda j: j > i))
+
+
 def filter_gappy_series(df: DataFrame, months: list[int], max_missing: int = 2, max_edge: int = 1, least: int = 2) -> DataFrame:
     """Rows in which every base has few missing values, short missing edges and enough values. No shuffle: arrays in the row."""
     ok = F.lit(True)
@@ -50,7 +58,7 @@ def interpolate_within_entity(df: DataFrame, months: list[int], max_edge: int =
         places = f"__at_{base}"
         new[places] = _valid(v)
         for i, c in enumerate(columns):
-            left, right = F.array_max(F.filter(places, lambda j, i=i: j < i)), F.array_min(F.filter(places, lambda j, i=i: j > i))
+            left, right = _last_before(places, i), _first_after(places, i)
             before, after = F.get(v, left), F.get(v, right)
             inner = before + (after - before) * (F.lit(i) - left) / (right - left)
             leading, trailing = F.array_min(places), n - 1 - F.array_max(places)
