@@ -69,8 +69,8 @@ def poisson_bootstrap(df: DataFrame, value: str, keys: list[str], replicates: in
     u = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("replicate")), F.lit(1 << 40)) / float(1 << 40)
     limits = np.cumsum([np.exp(-1) / np.prod(range(1, k + 1)) for k in range(9)])
     weight = sum((F.when(u >= float(c), 1).otherwise(0) for c in limits), F.lit(0))
-    many = df.where(F.col(value).isNotNull()).select(*keys, key, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("w", weight)
-    return many.groupBy(*keys, "replicate").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
+    many = df.where(F.col(value).isNotNull()).select(*keys, key, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("__w", weight)
+    return many.groupBy(*keys, "replicate").agg((F.sum(F.col("__w") * F.col(value)) / F.nullif(F.sum("__w"), F.lit(0))).alias("mean"))
 
 
 def cohens_d_ci(df: DataFrame, value: str, city: str, a: str, b: str, key: str, replicates: int = 200, level: float = 0.95, seed: int = 42) -> dict:
@@ -80,8 +80,8 @@ def cohens_d_ci(df: DataFrame, value: str, city: str, a: str, b: str, key: str,
     u = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("replicate")), F.lit(1 << 40)) / float(1 << 40)
     limits = np.cumsum([np.exp(-1) / np.prod(range(1, k + 1)) for k in range(9)])
     w = sum((F.when(u >= float(c), 1).otherwise(0) for c in limits), F.lit(0))
-    many = d.where(F.col(value).isNotNull()).select(city, key, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("w", w)
-    for r in many.groupBy("replicate", city).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col(value)).alias("s"), F.sum(F.col("w") * F.col(value) ** 2).alias("q")).collect():
+    many = d.where(F.col(value).isNotNull()).select(city, key, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("__w", w)
+    for r in many.groupBy("replicate", city).agg(F.sum("__w").alias("n"), F.sum(F.col("__w") * F.col(value)).alias("s"), F.sum(F.col("__w") * F.col(value) ** 2).alias("q")).collect():
         sums[r["replicate"], r[city]] = r["n"], r["s"], r["q"]
     values = []
     for k in range(1, replicates + 1):

@@ -188,3 +188,22 @@ def final_preparation(df: DataFrame, features: list[str], cls: str, key: str = "
     both = split_source(d.where(F.col(city) == source), "block_id", cls, seed=seed).unionByName(split_target(d.where(F.col(city) != source), "block_id", cls, seed=seed))
     kept = spatial.proximity_filter(d, threshold, cls, key).select(key, F.lit(True).alias("filtered"))
     return both.join(kept, key, "left").fillna(False, ["filtered"])
+
+
+def prepare_dataset(df: DataFrame, split: str, proximity: str, outlier_strategy: str, height: str, features: list[str], metadata: list[str]) -> tuple[DataFrame, dict[str, int]]:
+    """The rows and columns that a decision asks for, and how many rows each step left. df has columns split and filtered.
+
+    The test split is never filtered by proximity, so every model meets the same rows there. The counts take one pass.
+    """
+    from geotally.operators import prep
+
+    if proximity not in ("baseline", "filtered"):
+        raise ValueError(f"unknown proximity strategy {proximity}")
+    mine = df.where(F.col("split") == split)
+    near = F.lit(True) if proximity == "baseline" or split == "test" else F.col("filtered")
+    kept = prep.filter_outlier_severity(mine.where(near), outlier_strategy)
+    dropped = {"no_removal": [], "remove_high": ["high"], "remove_high_medium": ["high", "medium"]}[outlier_strategy]
+    clean = near & ~F.col("outlier_severity").isin(dropped) if dropped else near
+    counts = mine.agg(F.count("*").alias("n"), F.count_if(near).alias("near"), F.count_if(clean).alias("kept")).first()
+    out = prep.select_features(prep.height_strategy(kept, height), features, metadata)
+    return prep.downcast(out), {"n_split": counts["n"], "n_after_proximity": counts["near"], "n_after_outliers": counts["kept"]}

@@ -301,3 +301,11 @@ def sl13_class_distribution(spark, d):
 def sl11_final_preparation(spark, d):
     p = splits.final_preparation(points(spark, d), SOME, "cls", block_size=150.0, threshold=5.0)
     return p.groupBy("city", "split", "filtered", "outlier_severity").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FLG} SELECT id, city, {R('CAST(CAST(f01 AS FLOAT) AS DOUBLE)', 4)} AS f01, {R('CAST(CAST(f02 AS FLOAT) AS DOUBLE)', 4)} AS f02 FROM sev JOIN pts USING (id, city) WHERE id % 4 <> 0 AND id % 3 <> 0 AND outlier_severity <> 'high'")
+def sl10_prepare_dataset(spark, d):
+    i = F.col("id")
+    p = outliers.consensus(flagged(spark, d), FLAGS).withColumns({"split": F.when(i % 4 == 0, "test").otherwise("train"), "filtered": i % 3 != 0})
+    out, _ = splits.prepare_dataset(p, "train", "filtered", "remove_high", "no_chm", ["f01", "f02"], ["id", "city"])
+    return out.select(F.col("id").cast("long").alias("id"), "city", *(F.round(F.col(f).cast("double"), 4).alias(f) for f in ("f01", "f02")))
