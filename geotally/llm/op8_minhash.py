@@ -6,10 +6,10 @@ least value among the places shifted by k. Bands of ROWS coordinates bring candi
 that a pair at the threshold shares none with a probability of at most MISS.
 
 Documents with the same shingle set are one node. What has to be known of a band's group is only which nodes
-are connected, so its pairs are never listed. In each round a few of a group's members (pivots) are compared with the members
-not yet connected to them, on their whole texts: first the smallest id alone, later the best-linked member and a share of
-the others that grows fourfold. A group is done when its members are connected or every member has been a pivot, so
-no link between different components is left out and no group, partner or round is capped.
+are connected, so its pairs are never listed. First each member is compared with the group's smallest id, on whole texts; that
+connects most groups. Groups that aren't connected by then are gathered into clusters of overlapping groups, and members of
+different labels are compared exactly through an inverted index, in pairs of blocks of bounded size, so that large
+clusters spread over many tasks. No link between different components is left out and no group or partner is capped.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from geotally.llm.op5_quality_rules import windows, word_hashes
 CIRCLE, ROWS, MISS, SEED = 1 << 20, 5, 1e-7, 20240229
 #: Shingles whose coordinates are worked out at a time, and sets a task keeps at hand when it verifies pairs.
 STEP, HELD = 4096, 256
+#: Shingles to a block of a cluster.
+BLOCK = 1_000_000
 
 
 def shingles(raw: bytes, words: int) -> np.ndarray:
@@ -122,6 +124,40 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, per_cent: int) -> D
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def linked(table: pa.Table, words: int, per_cent: int) -> pa.Table:
+    """Edges between documents of different labels, one for each document and label it is linked with.
+
+    table: rep, label, block, text and the pair of blocks (i, j) to be compared. Intersections are counted through an inverted index
+    of the shingles, so only shared shingles cost time, and no pair is listed that isn't a link.
+    """
+    table = table.sort_by("rep")
+    reps, label, block = (table.column(c).to_numpy() for c in ("rep", "label", "block"))
+    i, j = (table.column(c)[0].as_py() for c in "ij")
+    sets = [shingles(v.as_buffer().to_pybytes(), words) for v in table.column("text")]
+    size = np.array([s.size for s in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(code, kind="stable")
+    posting, first = owner[order], np.searchsorted(code[order], np.arange(code.max() + 2))
+    start = np.cumsum(size) - size
+    values, count = np.unique(label, return_counts=True)
+    common = values[count.argmax()]
+    a, b = [], []
+    for u in np.flatnonzero(label != common):
+        mine = code[start[u] : start[u] + size[u]]
+        n = first[mine + 1] - first[mine]
+        at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(posting[at], minlength=len(sets))
+        link = (100 * both >= per_cent * (size[u] + size - both)) & (label != label[u])
+        if i != j:
+            link &= block != block[u]
+        hits = np.flatnonzero(link)
+        _, one = np.unique(label[hits], return_index=True)
+        a += [reps[u]] * one.size
+        b += reps[hits[one]].tolist()
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())}) if a else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+
 def near_duplicates(df: DataFrame, per_cent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included), kept of every row.
 
@@ -133,31 +169,29 @@ def near_duplicates(df: DataFrame, per_cent: int = 80, words: int = 5, id_col: s
     sets = light.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     nodes = light.join(sets, (light.set_key == sets.set_key) & (light.doc_id == sets.rep)).select("rep", "n_shingles", "bands").dropDuplicates(["rep"])
     grouped = nodes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    sizes = grouped.groupBy("band").agg(F.count("*").alias("m"), F.min("rep").alias("first")).where("m > 1")
-    members = saved(grouped.join(sizes, "band").withColumn("h", F.pmod(F.xxhash64("band", "rep"), F.lit(1 << 30)) / float(1 << 30)))
+    sizes = grouped.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct("rep", "n")).alias("first")).where("m > 1").select("band", "first")
+    members = saved(grouped.join(sizes, "band"))
     texts = saved(docs.join(members.select("rep").distinct(), docs.doc_id == F.col("rep"), "inner").select("rep", "text").dropDuplicates(["rep"]))
 
-    close = (F.col("n") * 100 >= F.col("pn") * per_cent) & (F.col("pn") * 100 >= F.col("n") * per_cent)
-    pair = [F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")]
-    first = members.join(members.where("rep = first").select("band", F.col("rep").alias("p"), F.col("n").alias("pn")), "band")
-    pairs = first.where((F.col("rep") != F.col("p")) & close).select(*pair).distinct()
-    edges = labels = None
-    low, high = 0.0, 4.0
-    while True:
-        found = saved(verified(pairs, texts, words, per_cent))
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
-        degree = edges.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("degree"))
-        known = labels.join(degree, "v").withColumnRenamed("v", "rep")
-        now = members.join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep")).withColumn("degree", F.coalesce("degree", F.lit(0)))
-        split = now.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("g"), F.max(F.struct("degree", "rep")).alias("top")).where("l <> g").select("band", F.col("top.rep").alias("top"))
-        open_ = saved(now.join(split, "band").where(F.col("m") > low))  # groups whose members have all been pivots are done
-        pivot = open_.where(((F.col("h") * F.col("m") >= low) & (F.col("h") * F.col("m") < high)) | (F.col("rep") == F.col("top")))
-        pivot = pivot.select("band", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
-        if open_.isEmpty():
-            break
-        pairs = open_.join(pivot, "band").where((F.col("label") != F.col("pl")) & close).select(*pair).distinct()
-        low, high = high, high * 4
+    # every member with the first of its group
+    close = (F.col("n") * 100 >= F.col("first.n") * per_cent) & (F.col("first.n") * 100 >= F.col("n") * per_cent)
+    pairs = members.where((F.col("rep") != F.col("first.rep")) & close).select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    edges = saved(verified(pairs, texts, words, per_cent))
+    labels = components(edges)
+
+    # groups that aren't connected yet: all members of different labels, block by block
+    now = members.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    apart = now.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("g"), F.min("rep").alias("first")).where("l <> g").select("band", "first")
+    open_ = saved(now.join(apart, "band").select("rep", "n", "label", "first").distinct())
+    together = components(open_.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")))
+    cluster = open_.select("rep", "n", "label").distinct().join(together.select(F.col("v").alias("rep"), F.col("label").alias("cluster")), "rep")
+    blocks = cluster.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    placed = cluster.join(blocks, "cluster").withColumn("block", block).join(texts, "rep")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = placed.select("*", other.alias("o")).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rep", "label", "text")
+    more = saved(spread.groupBy("cluster", "i", "j").applyInArrow(lambda t: linked(t, words, per_cent), "a long, b long"))
+    labels = components(edges.unionByName(more))
     result = light.join(sets, "set_key", "left").join(labels.withColumnRenamed("v", "rep"), "rep", "left")
     component = F.coalesce("label", "rep", "doc_id")
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
