@@ -187,7 +187,7 @@ def mcnemar_p(df: DataFrame, a: str, b: str) -> float:
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     """H with tie correction, effect H / (n - 1), n and k groups."""
-    d = stats.with_global_rank(df.where(F.col(group).isNotNull()), value, "__rank")
+    d = stats.with_rank(df.where(F.col(group).isNotNull() & F.col(value).isNotNull()), value, "__rank")
     by = d.groupBy(group).agg(F.count("*").alias("n"), F.sum("__rank").alias("r")).agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("q"), F.count("*").alias("k"))
     ties = d.groupBy(value).agg(F.count("*").alias("t")).agg(F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
     one = by.join(F.broadcast(ties))  # one row

@@ -121,9 +121,11 @@ def severity_by_city(df: DataFrame, city: str = "city") -> DataFrame:
 
 def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     """U of the rows with group true, sizes, and z of the normal approximation with tie correction."""
-    d = stats.with_global_rank(df.where(F.col(group).isNotNull()), value, "__rank")
-    ties = d.groupBy(value).agg(F.count("*").alias("t"), F.count_if(F.col(group)).alias("k"), F.min("__rank").alias("rank"))
-    one = ties.agg(F.sum("k").alias("n1"), (F.sum("t") - F.sum("k")).alias("n2"), F.sum(F.col("k") * F.col("rank")).alias("r"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
+    d = df.where(F.col(group).isNotNull())
+    flagged = d.where(F.col(group)).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__k"))
+    table = stats.rank_table(d, value)
+    ties = table.join(flagged, F.col(value) == F.col("__v"), "left")
+    one = ties.agg(F.coalesce(F.sum("__k"), F.lit(0)).alias("n1"), (F.sum("__n") - F.coalesce(F.sum("__k"), F.lit(0))).alias("n2"), F.sum(F.col("__k") * F.col("__rank")).alias("r"), F.sum(F.pow("__n", F.lit(3.0)) - F.col("__n")).alias("ties"))
     n = F.col("n1") + F.col("n2")
     u = F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2.0
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))

@@ -210,7 +210,7 @@ def morans_i(df: DataFrame, features: list[str], lags: list[float], key: str = "
 
 def morans_i_pvalue(df: DataFrame, feature: str, lag: float, permutations: int = 99, key: str = "id", seed: int = 42) -> dict:
     """Moran's I of one table and its pseudo p-value: values dealt anew by hash order for each permutation; pairs found once."""
-    from geotally.operators.stats import with_global_rank
+    from geotally.operators.stats import with_rank
 
     d = df.where(F.col(feature).isNotNull()).select(key, "x", "y", F.col(feature).alias("v"))
     a, b = around(d, lag).alias("a"), in_cells(d, lag).alias("b")
@@ -218,7 +218,7 @@ def morans_i_pvalue(df: DataFrame, feature: str, lag: float, permutations: int =
     if near.isEmpty():
         return {"morans_i": None, "pvalue": None, "permutations": permutations}
     m = d.agg(F.avg("v")).first()[0]
-    place = _saved(with_global_rank(d.withColumn("h", F.col(key).cast("double")), "h", "r").select(key, F.col("r").cast("long").alias("r"), (F.col("v") - m).alias("z")))
+    place = _saved(with_rank(d.withColumn("h", F.col(key).cast("double")), "h", "r").select(key, F.col("r").cast("long").alias("r"), (F.col("v") - m).alias("z")))
 
     def value(z: DataFrame) -> float:
         each = near.join(z.select(F.col(key).alias("j"), F.col("z").alias("zj")), "j").groupBy("i").agg(F.avg("zj").alias("w"))
@@ -227,7 +227,7 @@ def morans_i_pvalue(df: DataFrame, feature: str, lag: float, permutations: int =
 
     observed, above = value(place), 0
     for k in range(permutations):
-        dealt = with_global_rank(place.withColumn("h", F.xxhash64(F.lit(seed + k), key).cast("double")), "h", "s")
+        dealt = with_rank(place.withColumn("h", F.xxhash64(F.lit(seed + k), key)), "h", "s")
         new = dealt.select(key, F.col("s").cast("long").alias("s")).join(place.select("r", "z"), F.col("s") == F.col("r")).select(key, "z")
         above += value(new) >= observed
     return {"morans_i": observed, "pvalue": (above + 1) / (permutations + 1), "permutations": permutations}

@@ -19,45 +19,73 @@ def zscore(v: Column, mean: Column, sd: Column) -> Column:
     return F.when(sd.isNull() | F.isnan(sd) | (sd == 0), F.lit(0.0)).otherwise((v - mean) / sd)
 
 
-def percentile_rank(value: str, keys: list[str]) -> Column:
-    """(values below + values at most + 1) * 50 / n over the non-NULL values of a group; NULL stays."""
-    present = F.col(value).isNotNull()
-    part = [*keys, present]
-    w = Window.partitionBy(*part).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*part))
-    return F.when(present, F.greatest(F.lit(0.0), F.least(F.lit(100.0), (F.rank().over(w) + F.cume_dist().over(w) * n) * 50.0 / n)))
+def _on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with right's other columns, NULL keys matching. right: one row a key; without keys one row in all."""
+    if not keys:
+        return left.join(F.broadcast(right))  # one row
+    renamed = right.select(*(F.col(k).alias(f"__k_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    return left.join(renamed, on, "left").drop(*(f"__k_{k}" for k in keys))
 
 
-def group_scores_with_fallback(df: DataFrame, value: str, cls: str, city: str = "city", least: int = 10) -> DataFrame:
-    """{value}_zscore and {value}_percentile within (city, class), or within the city where the class has few rows there."""
-    v = F.col(value)
+def rank_table(df: DataFrame, value: str, keys: list[str] = (), cuts: int = 100) -> DataFrame:
+    """(keys, value, __n, __rank, __all): every distinct value of a group with its count, its average rank and the group's size.
 
-    def scores(keys: list[str]) -> tuple[Column, Column]:
-        w = Window.partitionBy(*keys)
-        return zscore(v, F.avg(v).over(w), F.stddev_samp(v).over(w)), percentile_rank(value, keys)
+    Distinct values are counted first, so ties cost nothing; within a group they are ranked in ranges cut at approximate quantiles
+    and the ranges' sizes are added up. No task sorts a whole group, whatever share of the rows it has.
+    """
+    keys = list(keys)
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    at = distinct.groupBy(*keys).agg(F.percentile_approx(value, F.array(*(F.lit(i / cuts) for i in range(1, cuts))), F.lit(1000)).alias("__cuts"))
+    ranged = _on(distinct, at, keys).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    sizes = ranged.groupBy(*keys, "__range").agg(F.sum("__n").alias("__s"))
+    group = Window.partitionBy(*keys)  # at most cuts rows of sizes each
+    before = sizes.select(*keys, "__range", (F.sum("__s").over(group.orderBy("__range")) - F.col("__s")).alias("__before"), F.sum("__s").over(group).alias("__all"))
+    up_to = F.sum("__n").over(Window.partitionBy(*keys, "__range").orderBy(value))
+    return _on(ranged.withColumn("__up_to", up_to), before, [*keys, "__range"]).select(*keys, value, "__n", (F.col("__before") + F.col("__up_to") - (F.col("__n") - 1) / 2.0).alias("__rank"), "__all")
 
-    n = F.count(F.lit(1)).over(Window.partitionBy(city, cls))
-    (z1, p1), (z2, p2) = scores([city, cls]), scores([city])
-    out = df.select("*", n.alias("__n"), z1.alias("__z1"), p1.alias("__p1"), z2.alias("__z2"), p2.alias("__p2"))
-    few = F.col("__n") < least
-    return out.select(*df.columns, F.when(few, F.col("__z2")).otherwise(F.col("__z1")).alias(f"{value}_zscore"), F.when(few, F.col("__p2")).otherwise(F.col("__p1")).alias(f"{value}_percentile"))
+
+def with_rank(df: DataFrame, value: str, out: str, keys: list[str] = (), n: str | None = None) -> DataFrame:
+    """df with the average rank of its value in its group (NULL for NULL), and with n the number of values there."""
+    table = rank_table(df, value, keys)
+    return _on(df, table.select(*keys, value, F.col("__rank").alias(out), *([F.col("__all").alias(n)] if n else [])), [*keys, value])
 
 
 def average_rank(value: str, keys: list[str]) -> Column:
-    """Rank of a non-NULL value; ties share their mean rank."""
+    """Rank of a non-NULL value within its group; ties share their mean rank."""
     return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2.0
 
 
-def with_global_rank(df: DataFrame, value: str, out: str, cuts: int = 200) -> DataFrame:
-    """df, rows with a value only, with its average rank over all rows. Ranks are worked out within ranges of values (cut at
-    approximate quantiles, equal values together) and the ranges' sizes added up, so no task sorts the whole table."""
-    d = df.where(F.col(value).isNotNull())
-    at = sorted(set(d.approxQuantile(value, [i / cuts for i in range(1, cuts)], 0.001)))  # at most cuts numbers
-    range_of = F.size(F.filter(F.array(*map(F.lit, at)), lambda c: c < F.col(value))) if at else F.lit(0)
-    d = d.withColumn("__range", range_of)
-    sizes = d.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
-    return d.join(F.broadcast(before), "__range").withColumn(out, average_rank(value, ["__range"]) + F.col("__before")).drop("__range", "__before")
+def city_percentiles(df: DataFrame, rare: DataFrame, value: str, city: str) -> DataFrame:
+    """(city, value, __p): percentile among all values of the city of each distinct value in rare, which is a bounded table.
+
+    The city's rows are only counted between the rare values, so nothing is sorted.
+    """
+    marks = rare.groupBy(city).agg(F.array_sort(F.collect_set(value)).alias("__marks"))
+    below = F.size(F.filter("__marks", lambda u: u < F.col(value)))
+    counted = _on(df.where(F.col(value).isNotNull()), marks, [city]).where("__marks is not null")
+    counts = counted.groupBy(city, below.alias("__j")).agg(F.count("*").alias("__c"), F.count_if(F.array_contains("__marks", F.col(value))).alias("__e"))
+    spread = _on(counts, marks, [city]).select(city, "__c", "__e", "__j", F.get("__marks", F.col("__j")).alias(value))
+    group = Window.partitionBy(city)
+    at_most = F.sum("__c").over(group.orderBy("__j"))
+    rank = at_most - (F.col("__e") - 1) / 2.0
+    return spread.select(city, value, (rank * 100.0 / F.sum("__c").over(group)).alias("__p")).where(F.col(value).isNotNull())
+
+
+def group_scores_with_fallback(df: DataFrame, value: str, cls: str, city: str = "city", least: int = 10) -> DataFrame:
+    """{value}_zscore and {value}_percentile within (city, class), or within the city where the class has few rows there.
+
+    z: 0 for a whole group without spread. Percentile: the average rank in per cent of the group's values.
+    """
+    v, keys = F.col(value), [city, cls]
+    w, part = Window.partitionBy(*keys), [*keys, v.isNotNull()]
+    present = F.when(v.isNotNull(), average_rank(value, part) * 100.0 / F.count(v).over(w))
+    out = df.select("*", F.count(F.lit(1)).over(w).alias("__n"), zscore(v, F.avg(v).over(w), F.stddev_samp(v).over(w)).alias("__z1"), present.alias("__p1"))
+    small = out.where(F.col("__n") < least)  # at most least rows a class and city
+    moments = df.groupBy(city).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
+    out = _on(_on(out, moments, [city]), city_percentiles(df, small.select(city, value), value, city), [city, value])
+    few = F.col("__n") < least
+    return out.select(*df.columns, F.when(few, zscore(v, F.col("__m"), F.col("__s"))).otherwise(F.col("__z1")).alias(f"{value}_zscore"), F.when(few, F.col("__p")).otherwise(F.col("__p1")).alias(f"{value}_percentile"))
 
 
 def group_scores(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
@@ -116,10 +144,7 @@ def correlations(df: DataFrame, features: list[str]) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str, keys: list[str] = ()) -> DataFrame:
     """rho per group: Pearson of average ranks over rows that have both."""
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    if keys:
-        d = d.withColumns({"__ra": average_rank(a, list(keys)), "__rb": average_rank(b, list(keys))})
-    else:
-        d = with_global_rank(with_global_rank(d, a, "__ra"), b, "__rb")
+    d = with_rank(with_rank(d, a, "__ra", keys), b, "__rb", keys)
     return d.groupBy(*keys).agg(F.coalesce(F.corr("__ra", "__rb"), F.lit(0.0)).alias("rho"))
 
 
