@@ -27,16 +27,14 @@ from pyspark.sql import functions as F
 from geotally.llm.common import id_text, read, saved
 
 SPAN, GRAM = 50, 16
+SIDE, ANYWHERE = (SPAN - GRAM) // 2, 255
 #: Strings in a context at most, suffixes merged at a time, shards they are dealt to.
 RUN, BLOCK, SHARDS = 64, 1_500_000, 6
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def contexts(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first string, number of strings, anchor) of every context of a document."""
-    none = np.zeros(0, np.int64)
-    if len(raw) < SPAN:
-        return none, none, none.astype(np.uint64)
+def hashes(raw: bytes) -> np.ndarray:
+    """A hash of every k-gram."""
     h = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
     power, width = MIX[0], 1
     while width < GRAM:
@@ -47,6 +45,15 @@ def contexts(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h ^= h >> np.uint64(29)
     h *= MIX[1]
     h ^= h >> np.uint64(32)
+    return h
+
+
+def contexts(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first string, number of strings, anchor) of every context of a document."""
+    none = np.zeros(0, np.int64)
+    if len(raw) < SPAN:
+        return none, none, none.astype(np.uint64)
+    h = hashes(raw)
     least, width, whole = h, 1, SPAN - GRAM + 1
     while width * 2 <= whole:
         least = np.minimum(least[:-width], least[width:])
@@ -64,6 +71,14 @@ def contexts(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, count, anchor[first]
 
 
+def anchor_places(raw: bytes, first: np.ndarray, count: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Where in each context its anchor's k-gram starts; ANYWHERE if not all strings share one."""
+    h = hashes(raw) >> np.uint64(16)
+    reach = np.arange(SPAN - GRAM + 1)
+    at = (h[first[:, None] + reach] == anchor[:, None]).argmax(axis=1)
+    return np.where(at >= count - 1, at, ANYWHERE).astype(np.uint8)
+
+
 def binaries(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     """values cut at starts (of the first value too), as binary."""
     data = np.ascontiguousarray(values)
@@ -106,7 +121,24 @@ def announced(docs: DataFrame, routes: int) -> DataFrame:
     return docs.mapInArrow(run, "route int, known boolean, doc binary, anchor binary")
 
 
-def shared_anchors(announcements: DataFrame) -> DataFrame:
+def by_document(packed_rows: DataFrame, name: str) -> DataFrame:
+    """Rows (route, doc, values), packed by routes of documents -> one row a document: (doc_id, values as binary under this name)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(np.frombuffer(d, np.int64), np.frombuffer(v, np.uint64)) for batch in batches for d, v in zip(batch.column("doc").to_pylist(), batch.column("values").to_pylist(), strict=True)]
+        if parts:
+            doc, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(doc, kind="stable")
+            starts = cut(doc[order])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[order][starts]), binaries(value[order], starts)], ["doc_id", name])
+
+    return packed_rows.repartition("route").mapInArrow(run, f"doc_id long, {name} binary")
+
+
+def routed(doc: np.ndarray, value: np.ndarray, routes: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(packed(doc.view(np.uint64) * MIX[0] % np.uint64(routes), [doc, value]), ["route", "doc", "values"])
+
+
+def shared_anchors(announcements: DataFrame, routes: int) -> DataFrame:
     """(doc_id, anchors packed): each document's anchors that another document has too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict = {True: [], False: []}
@@ -123,13 +155,9 @@ def shared_anchors(announcements: DataFrame) -> DataFrame:
             some = np.repeat(doc[starts] != doc[starts + sizes - 1], sizes)
             out.append((doc[some], anchor[some]))
         if out:
-            doc, anchor = (np.concatenate(x) for x in zip(*out, strict=True))
-            order = np.argsort(doc, kind="stable")
-            doc, anchor = doc[order], anchor[order]
-            starts = cut(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[starts]), binaries(anchor, starts)], ["doc_id", "anchors"])
+            yield routed(*(np.concatenate(x) for x in zip(*out, strict=True)), routes)
 
-    return announcements.repartition("route").mapInArrow(run, "doc_id long, anchors binary")
+    return by_document(announcements.repartition("route").mapInArrow(run, "route int, doc binary, values binary"), "anchors")
 
 
 def spans_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,24 +169,25 @@ def spans_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def sent_contexts(candidates: DataFrame, routes: int) -> DataFrame:
-    """Rows (route, settled, doc, first, count, anchor, data), packed. candidates: doc_id, text, anchors (list of binaries)."""
+    """Rows (route, settled, doc, first, count, anchor, at, data), packed. candidates: doc_id, text, anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4000):
                 batch = whole.slice(at, 4000)
-                docs, firsts, counts, anchors, texts, base = [], [], [], [], [], 0
+                docs, firsts, counts, anchors, places, texts, base = [], [], [], [], [], [], 0
                 for doc, value, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                     raw = value.as_buffer().to_pybytes()
                     first, count, anchor = contexts(raw)
-                    keep = np.isin(anchor, np.concatenate([np.frombuffer(s, np.uint64) for s in shared]))
+                    keep = np.isin(anchor, np.frombuffer(shared, np.uint64))
                     docs.append(np.full(int(keep.sum()), doc, np.int64))
                     firsts.append(first[keep] + base)
                     counts.append(count[keep])
                     anchors.append(anchor[keep])
+                    places.append(anchor_places(raw, first[keep], count[keep], anchor[keep]) if keep.any() else np.zeros(0, np.uint8))
                     texts.append((raw, base))
                     base += len(raw)
                 joined = b"".join(t for t, _ in texts)
-                doc, first, count, anchor = (np.concatenate(x) for x in (docs, firsts, counts, anchors))
+                doc, first, count, anchor, place_at = (np.concatenate(x) for x in (docs, firsts, counts, anchors, places))
                 origin = np.repeat(np.array([b for _, b in texts], np.int64), [d.size for d in docs])
                 if not doc.size:
                     continue
@@ -171,16 +200,16 @@ def sent_contexts(candidates: DataFrame, routes: int) -> DataFrame:
                 settled = same & (doc[lead] < doc)
                 open_ = ~settled
                 start = first - origin
-                yield _row(True, doc[settled].view(np.uint64) * MIX[0] % np.uint64(routes), doc[settled], start[settled], count[settled], anchor[settled], None)
+                yield _row(True, doc[settled].view(np.uint64) * MIX[0] % np.uint64(routes), doc[settled], start[settled], count[settled], anchor[settled], place_at[settled], None)
                 size = count[open_] + SPAN - 1
-                yield _row(False, anchor[open_] % np.uint64(routes), doc[open_], start[open_], count[open_], anchor[open_], (np.frombuffer(joined, np.uint8), first[open_], size))
+                yield _row(False, anchor[open_] % np.uint64(routes), doc[open_], start[open_], count[open_], anchor[open_], place_at[open_], (np.frombuffer(joined, np.uint8), first[open_], size))
 
-    return candidates.mapInArrow(run, "route int, settled boolean, doc binary, first binary, count binary, anchor binary, data binary")
+    return candidates.mapInArrow(run, "route int, settled boolean, doc binary, first binary, count binary, anchor binary, at binary, data binary")
 
 
-def _row(settled: bool, route, doc, first, count, anchor, data) -> pa.RecordBatch:
+def _row(settled: bool, route, doc, first, count, anchor, at_anchor, data) -> pa.RecordBatch:
     order = np.argsort(route, kind="stable")
-    route, doc, first, count, anchor = (a[order] for a in (route, doc, first, count, anchor))
+    route, doc, first, count, anchor, at_anchor = (a[order] for a in (route, doc, first, count, anchor, at_anchor))
     starts = cut(route)
     if data is None or not route.size:
         body = binaries(np.zeros(0, np.uint8), np.zeros(len(starts), np.int64))
@@ -188,7 +217,7 @@ def _row(settled: bool, route, doc, first, count, anchor, data) -> pa.RecordBatc
         source, at, size = data[0], data[1][order], data[2][order]
         ends = np.cumsum(size)
         body = binaries(source[np.repeat(at - (ends - size), size) + np.arange(ends[-1])], (ends - size)[starts])
-    return pa.RecordBatch.from_arrays([pa.array(route[starts].astype(np.int32)), pa.array([settled] * len(starts), pa.bool_()), *(binaries(c, starts) for c in (doc, first, count.astype(np.uint8), anchor)), body], ["route", "settled", "doc", "first", "count", "anchor", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(route[starts].astype(np.int32)), pa.array([settled] * len(starts), pa.bool_()), *(binaries(c, starts) for c in (doc, first, count.astype(np.uint8), anchor, at_anchor)), body], ["route", "settled", "doc", "first", "count", "anchor", "at", "data"])
 
 
 class Transform:
@@ -205,28 +234,31 @@ class Transform:
         order = np.argsort(keys, kind="stable")
         self.row, self.at = row[order], at[order]
         self.before = np.where(self.at > 0, text[self.row, self.at - 1], 0).astype(np.uint8)
+        place = np.empty((rows.shape[0], width + 1), np.int64)
+        place[self.row, self.at] = np.arange(order.size)
+        self.step = place[self.row, np.where(self.at > 0, self.at - 1, lengths[self.row])]  # the suffix that starts with what precedes
 
 
 def merged(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """For the suffixes of all shards, one shard after another: place in the merged order, and the interval of that place
     in which all suffixes share their first ``depth`` symbols. Refines the interleaving of the transforms symbol by symbol."""
+    base = np.cumsum([0, *(s.before.size for s in shards)])
     before = np.concatenate([s.before for s in shards])
-    source = np.repeat(np.arange(len(shards), dtype=np.uint8), [s.before.size for s in shards])
-    ends = int((before == 0).sum())
-    ends_source = np.repeat(np.arange(len(shards), dtype=np.uint8), [int((s.before == 0).sum()) for s in shards])
-    interval = np.zeros(before.size, np.int64)
+    step = np.concatenate([s.step + b for s, b in zip(shards, base, strict=False)]).astype(np.int32)
+    ends = np.concatenate([b + np.arange(int((s.before == 0).sum())) for s, b in zip(shards, base, strict=False)])  # the empty suffixes come first
+    order, interval = np.arange(before.size, dtype=np.int32), np.zeros(before.size, np.int32)  # the interleaving: each shard's suffixes stay in their order
     for _ in range(depth):
-        place = np.argsort(source, kind="stable")
-        symbol = np.empty_like(before)
-        symbol[place] = before
-        order = np.argsort(symbol, kind="stable")
-        source, symbol, interval = source[order], symbol[order], interval[order]
+        symbol = before[order]
+        by = np.argsort(symbol, kind="stable")
+        symbol, interval = symbol[by], interval[by]
         new = np.ones(before.size, bool)
         new[1:] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
-        source[:ends], new[1:ends] = ends_source, False
-        interval = np.cumsum(new) - 1
-    place = np.argsort(source, kind="stable")
-    return place, interval[place]
+        order = step[order[by]]
+        order[: ends.size], new[1 : ends.size] = ends, False
+        interval = np.cumsum(new, dtype=np.int32) - 1
+    place, found = np.empty(before.size, np.int64), np.empty(before.size, np.int64)
+    place[order], found[order] = np.arange(before.size), interval
+    return place, found
 
 
 def repeated(texts: list[bytes], least: np.ndarray) -> list[np.ndarray]:
@@ -247,21 +279,41 @@ def repeated(texts: list[bytes], least: np.ndarray) -> list[np.ndarray]:
     return np.split(value, np.cumsum(lengths - SPAN + 1)[:-1])
 
 
-def decided(sent: DataFrame) -> DataFrame:
-    """(doc_id, spans): packed starts and ends of what is removed from a document, as found in one partition."""
+def worth_merging(group: dict[bytes, tuple]) -> list[tuple[bytes, list]]:
+    """The contexts of an anchor that may share a string with another. A string has SIDE bytes or more beside its anchor on the left or on
+    the right, so contexts that share one share the anchor with SIDE bytes of that side; contexts alone with both have no repeat."""
+    sides: dict = {}
+    keys = []
+    for text, (at, _) in group.items():
+        if at == ANYWHERE:
+            keys.append(((None,), (None,)))
+            sides[None,] = 2
+            continue
+        own = (0, text[at - SIDE : at]) if at >= SIDE else None, (1, text[at + GRAM : at + GRAM + SIDE]) if at + GRAM + SIDE <= len(text) else None
+        keys.append(own)
+        for k in own:
+            if k is not None:
+                sides[k] = sides.get(k, 0) + 1
+    if (None,) in sides:
+        return [(text, entries) for text, (_, entries) in group.items()]
+    return [(text, entries) for (text, (_, entries)), own in zip(group.items(), keys, strict=True) if any(k is not None and sides[k] > 1 for k in own)]
+
+
+def decided(sent: DataFrame, routes: int) -> DataFrame:
+    """(doc_id, spans): what is removed from a document, each span as start * 2^20 + length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        by_anchor: dict[int, dict[bytes, list]] = {}
+        by_anchor: dict[int, dict[bytes, tuple]] = {}
         for batch in batches:
-            for settled, *columns in zip(*(batch.column(c).to_pylist() for c in ("settled", "doc", "first", "count", "anchor", "data")), strict=True):
-                doc, first, count, anchor = (np.frombuffer(c, t) for c, t in zip(columns, (np.int64, np.int64, np.uint8, np.uint64), strict=False))
+            for settled, *columns in zip(*(batch.column(c).to_pylist() for c in ("settled", "doc", "first", "count", "anchor", "at", "data")), strict=True):
+                doc, first, count, anchor, place = (np.frombuffer(c, t) for c, t in zip(columns, (np.int64, np.int64, np.uint8, np.uint64, np.uint8), strict=False))
                 size = count.astype(np.int64) + SPAN - 1
                 if settled:
                     out.append((doc, first, first + size))
                     continue
-                data, at = columns[4], 0
-                for d, f, s, a in zip(doc.tolist(), first.tolist(), size.tolist(), anchor.tolist(), strict=True):
-                    by_anchor.setdefault(a, {}).setdefault(data[at : at + s], []).append((d, f))
+                data, at = columns[5], 0
+                for d, f, s, a, p in zip(doc.tolist(), first.tolist(), size.tolist(), anchor.tolist(), place.tolist(), strict=True):
+                    by_anchor.setdefault(a, {}).setdefault(data[at : at + s], (p, []))[1].append((d, f))
                     at += s
         held: list[tuple[bytes, list]] = []
         total = 0
@@ -279,26 +331,25 @@ def decided(sent: DataFrame) -> DataFrame:
 
         for group in by_anchor.values():
             if len(group) == 1:  # one context: all its strings repeat, and its smallest document has them first
-                (text, entries), = group.items()
+                (text, (_, entries)), = group.items()
                 smallest = min(entries)[0]
                 later = [e for e in entries if e[0] > smallest]
                 if later:
                     d, f = (np.array(x, np.int64) for x in zip(*later, strict=True))
                     out.append((d, f, f + len(text)))
                 continue
-            held += group.items()
-            total += sum(map(len, group)) + len(group)
+            some = worth_merging(group)
+            held += some
+            total += sum(len(t) + 1 for t, _ in some)
             if total >= BLOCK:
                 settle()
         if held:
             settle()
         if out:
             doc, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-            order = np.argsort(doc, kind="stable")
-            starts = cut(doc[order])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[order][starts]), binaries(np.stack([a, b], 1)[order].ravel(), starts * 2)], ["doc_id", "spans"])
+            yield routed(doc, (a * (1 << 20) + (b - a)).view(np.uint64), routes)
 
-    return sent.repartition("route").mapInArrow(run, "doc_id long, spans binary")
+    return by_document(sent.repartition("route").mapInArrow(run, "route int, doc binary, values binary"), "spans")
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
@@ -310,10 +361,8 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     docs = id_text(df, id_col, text_col)
     routes = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shared = saved(shared_anchors(announced(docs, routes)))
-    wanted = shared.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))  # bounded by the document's own size
-    found = saved(decided(sent_contexts(docs.join(wanted, "doc_id").select("doc_id", "text", "anchors"), routes)))
-    removed = found.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    wanted = saved(shared_anchors(announced(docs, routes), routes))
+    removed = saved(decided(sent_contexts(docs.join(wanted, "doc_id").select("doc_id", "text", "anchors"), routes), routes))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +372,8 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 raw = value.as_buffer().to_pybytes()
                 kept, gone, runs = raw, 0, 0
                 if spans:
-                    a, b = np.concatenate([np.frombuffer(s, np.int64) for s in spans]).reshape(-1, 2).T
+                    packed_spans = np.frombuffer(spans, np.int64)
+                    a, b = packed_spans >> 20, (packed_spans >> 20) + (packed_spans & 0xFFFFF)
                     a, b = spans_of(a, b)
                     gone, runs = int((b - a).sum()), a.size
                     kept = b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True))
