@@ -30,14 +30,6 @@ def _valid(v: Column) -> Column:
     return F.filter(F.transform(v, lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
 
 
-def _last_before(places: str, i: int) -> Column:
-    return F.array_max(F.filter(places, lambda j: j < i))
-
-
-def _first_after(places: str, i: int) -> Column:
-    return F.array_min(F.filter(places, lambda j: j > i))
-
-
 def filter_gappy_series(df: DataFrame, months: list[int], max_missing: int = 2, max_edge: int = 1, least: int = 2) -> DataFrame:
     """Rows in which every base has few missing values, short missing edges and enough values. No shuffle: arrays in the row."""
     ok = F.lit(True)
@@ -51,22 +43,26 @@ def filter_gappy_series(df: DataFrame, months: list[int], max_missing: int = 2,
 
 def interpolate_within_entity(df: DataFrame, months: list[int], max_edge: int = 1) -> DataFrame:
     """Inner gaps linear by position; edge runs of at most max_edge take the nearest value. Only a row's own values matter."""
-    new = {}
-    for base, columns in bases_of(df.columns, months).items():
-        n, v = len(columns), F.array(*columns)
-        values = {i: F.col(c) for i, c in enumerate(columns)}
-        places = f"__at_{base}"
-        new[places] = _valid(v)
-        for i, c in enumerate(columns):
-            left, right = _last_before(places, i), _first_after(places, i)
-            before, after = F.get(v, left), F.get(v, right)
-            inner = before + (after - before) * (F.lit(i) - left) / (right - left)
-            leading, trailing = F.array_min(places), n - 1 - F.array_max(places)
-            edge = F.when(left.isNull() & (leading <= max_edge), after).when(right.isNull() & (trailing <= max_edge), before)
-            new[c] = F.coalesce(values[i], F.when(left.isNotNull() & right.isNotNull(), inner).otherwise(edge))
-    at = {k: c for k, c in new.items() if k.startswith("__at_")}
-    filled = df.select("*", *(c.alias(k) for k, c in at.items()))
-    return filled.select(*(new[c].alias(c) if c in new else F.col(c) for c in df.columns))
+    bases = bases_of(df.columns, months)
+    values, places, filled = ({b: f"__{n}_{b}" for b in bases} for n in ("v", "at", "f"))
+    arrays = df.select("*", *(F.array(*c).alias(values[b]) for b, c in bases.items()), *(_valid(F.array(*c)).alias(places[b]) for b, c in bases.items()))
+    done = arrays.select("*", *(_filled(values[b], places[b], len(c), max_edge).alias(filled[b]) for b, c in bases.items()))
+    new = {c: F.get(filled[b], F.lit(i)) for b, columns in bases.items() for i, c in enumerate(columns)}
+    return done.select(*(new[c].alias(c) if c in new else F.col(c) for c in df.columns))
+
+
+def _filled(values: str, places: str, n: int, max_edge: int) -> Column:
+    """The array of values with its gaps filled; places: where it has values."""
+    at, v = F.col(places), F.col(values)
+    leading, trailing = F.array_min(at) <= max_edge, n - 1 - F.array_max(at) <= max_edge
+
+    def fill(x: Column, i: Column) -> Column:
+        left, right = F.array_max(F.filter(at, lambda j: j < i)), F.array_min(F.filter(at, lambda j: j > i))
+        before, after = F.get(v, left), F.get(v, right)
+        inner = before + (after - before) * (i - left) / (right - left)
+        return F.when(x.isNotNull(), x).when(left.isNotNull() & right.isNotNull(), inner).when(left.isNull() & leading, after).when(right.isNull() & trailing, before)
+
+    return F.transform(v, fill)
 
 
 def assert_no_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
