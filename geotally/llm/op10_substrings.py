@@ -29,7 +29,7 @@ from geotally.llm.common import id_text, read, saved
 SPAN, GRAM = 50, 16
 SIDE, ANYWHERE = (SPAN - GRAM) // 2, 255
 #: Strings in a context at most, suffixes merged at a time, shards they are dealt to.
-RUN, BLOCK, SHARDS = 64, 1_500_000, 6
+RUN, BLOCK, SHARDS = 64, 600_000, 6
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -191,18 +191,18 @@ def sent_contexts(candidates: DataFrame, routes: int) -> DataFrame:
                 origin = np.repeat(np.array([b for _, b in texts], np.int64), [d.size for d in docs])
                 if not doc.size:
                     continue
-                keys = np.fromiter((hash(joined[f : f + c + SPAN - 1]) for f, c in zip(first.tolist(), count.tolist(), strict=True)), np.int64, doc.size)
+                cuts = [joined[f : f + c + SPAN - 1] for f, c in zip(first.tolist(), count.tolist(), strict=True)]
+                keys = np.fromiter(map(hash, cuts), np.int64, doc.size)
                 order = np.lexsort((doc, keys))
                 least, place = order[cut(keys[order])], np.cumsum(np.concatenate(([True], keys[order][1:] != keys[order][:-1]))) - 1
                 lead = np.empty(doc.size, np.int64)
                 lead[order] = least[place]  # the smallest document's entry with these bytes
-                same = np.fromiter((joined[a : a + n + SPAN - 1] == joined[b : b + n + SPAN - 1] for a, b, n in zip(first.tolist(), first[lead].tolist(), count.tolist(), strict=True)), bool, doc.size)
+                same = np.fromiter((c == cuts[k] for c, k in zip(cuts, lead.tolist(), strict=True)), bool, doc.size)
                 settled = same & (doc[lead] < doc)
                 open_ = ~settled
                 start = first - origin
                 yield _row(True, doc[settled].view(np.uint64) * MIX[0] % np.uint64(routes), doc[settled], start[settled], count[settled], anchor[settled], place_at[settled], None)
-                size = count[open_] + SPAN - 1
-                yield _row(False, anchor[open_] % np.uint64(routes), doc[open_], start[open_], count[open_], anchor[open_], place_at[open_], (np.frombuffer(joined, np.uint8), first[open_], size))
+                yield _row(False, anchor[open_] % np.uint64(routes), doc[open_], start[open_], count[open_], anchor[open_], place_at[open_], [cuts[i] for i in np.flatnonzero(open_)])
 
     return candidates.mapInArrow(run, "route int, settled boolean, doc binary, first binary, count binary, anchor binary, at binary, data binary")
 
@@ -214,9 +214,9 @@ def _row(settled: bool, route, doc, first, count, anchor, at_anchor, data) -> pa
     if data is None or not route.size:
         body = binaries(np.zeros(0, np.uint8), np.zeros(len(starts), np.int64))
     else:
-        source, at, size = data[0], data[1][order], data[2][order]
-        ends = np.cumsum(size)
-        body = binaries(source[np.repeat(at - (ends - size), size) + np.arange(ends[-1])], (ends - size)[starts])
+        texts = [data[i] for i in order]
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        body = binaries(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], ends[:-1]))[starts])
     return pa.RecordBatch.from_arrays([pa.array(route[starts].astype(np.int32)), pa.array([settled] * len(starts), pa.bool_()), *(binaries(c, starts) for c in (doc, first, count.astype(np.uint8), anchor, at_anchor)), body], ["route", "settled", "doc", "first", "count", "anchor", "at", "data"])
 
 
@@ -303,6 +303,7 @@ def decided(sent: DataFrame, routes: int) -> DataFrame:
     """(doc_id, spans): what is removed from a document, each span as start * 2^20 + length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        docs, begins, ends = [], [], []
         by_anchor: dict[int, dict[bytes, tuple]] = {}
         for batch in batches:
             for settled, *columns in zip(*(batch.column(c).to_pylist() for c in ("settled", "doc", "first", "count", "anchor", "at", "data")), strict=True):
@@ -325,18 +326,22 @@ def decided(sent: DataFrame, routes: int) -> DataFrame:
                 for d, f in entries:
                     hit = np.flatnonzero(value < d)
                     if hit.size:
-                        a, b = spans_of(hit + f, hit + f + SPAN)
-                        out.append((np.full(a.size, d, np.int64), a, b))
+                        low, high = int(hit[0]), int(hit[-1])
+                        a, b = ([f + low], [f + high + SPAN]) if high - low < hit.size else (x.tolist() for x in spans_of(hit + f, hit + f + SPAN))
+                        docs.extend([d] * len(a))
+                        begins.extend(a)
+                        ends.extend(b)
             held, total = [], 0
 
         for group in by_anchor.values():
             if len(group) == 1:  # one context: all its strings repeat, and its smallest document has them first
                 (text, (_, entries)), = group.items()
                 smallest = min(entries)[0]
-                later = [e for e in entries if e[0] > smallest]
-                if later:
-                    d, f = (np.array(x, np.int64) for x in zip(*later, strict=True))
-                    out.append((d, f, f + len(text)))
+                for d, f in entries:
+                    if d > smallest:
+                        docs.append(d)
+                        begins.append(f)
+                        ends.append(f + len(text))
                 continue
             some = worth_merging(group)
             held += some
@@ -345,6 +350,8 @@ def decided(sent: DataFrame, routes: int) -> DataFrame:
                 settle()
         if held:
             settle()
+        if docs:
+            out.append(tuple(np.array(x, np.int64) for x in (docs, begins, ends)))
         if out:
             doc, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
             yield routed(doc, (a * (1 << 20) + (b - a)).view(np.uint64), routes)
