@@ -334,14 +334,16 @@ def decided(sent: DataFrame, routes: int) -> DataFrame:
             held, total = [], 0
 
         for group in by_anchor.values():
-            if len(group) == 1:  # one context: all its strings repeat, and its smallest document has them first
-                (text, (_, entries)), = group.items()
-                smallest = min(entries)[0]
-                for d, f in entries:
-                    if d > smallest:
-                        docs.append(d)
-                        begins.append(f)
-                        ends.append(f + len(text))
+            for text, (_, entries) in group.items():  # all strings of a context repeat in its copies, and its smallest document has them first
+                if len(entries) > 1:
+                    smallest = min(entries)[0]
+                    for d, f in entries:
+                        if d > smallest:
+                            docs.append(d)
+                            begins.append(f)
+                            ends.append(f + len(text))
+                    entries[:] = [e for e in entries if e[0] == smallest]
+            if len(group) == 1:
                 continue
             some = worth_merging(group)
             held += some

@@ -341,6 +341,44 @@ def test_repeats_against_brute_force(spark):
     assert op10_substrings.without_repeats(empty(spark)).count() == 0
 
 
+def kept_by_brute_force(texts):
+    """What is left of each of some byte strings when strings of 50 bytes of earlier ones go."""
+    first, out = {}, []
+    for i, b in enumerate(texts):
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first.setdefault(b[k : k + 50], i) < i:
+                gone[k : k + 50] = b"\1" * 50
+        out.append(bytes(c for c, g in zip(b, gone, strict=True) if not g))
+    return out
+
+
+def with_one_anchor(n, length=50):
+    """Different texts without a common string of 50 bytes, all with the same anchor gram in the middle."""
+    r = random.Random(21)
+    side = lambda k: "".join(r.choice("abcdefghijklmnop") for _ in range(k))
+    cut = (length - 16) // 2
+    gram = min((side(16) for _ in range(4000)), key=lambda g: int(op10_substrings.hashes(g.encode())[0]))
+    want, out = op10_substrings.hashes(gram.encode())[0] >> np.uint64(16), []
+    while len(out) < n:
+        t = side(cut) + gram + side(length - 16 - cut)
+        if set(op10_substrings.contexts(t.encode())[2].tolist()) == {int(want)}:
+            out.append(t)
+    return out
+
+
+def test_copies_in_different_tasks_beside_a_shared_anchor(spark):
+    copied, other = with_one_anchor(2)
+    texts = ["", copied, copied, other]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # no two documents in a batch
+    try:
+        got = rows(op10_substrings.without_repeats(frame(spark, texts), keep_bytes=True))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [bytes(got[i]["kept"]) for i in range(4)] == kept_by_brute_force([t.encode() for t in texts]) == [b"", copied.encode(), b"", other.encode()]
+
+
 def test_merged_transforms_equal_sorted_suffixes():
     r = random.Random(9)
     texts = [bytes(r.choice(b"ab") for _ in range(r.randint(5, 14))) for _ in range(30)]
