@@ -5,12 +5,14 @@ its k-grams, so equal strings have equal anchors, and neighbouring strings mostl
 run of strings with one anchor. Three steps, each written down:
 
 1. Tasks send the anchors of their documents, packed by hash; an anchor of one document alone can't repeat. An anchor
-   that several documents of a batch share is sent once.
+   that several documents of a batch share is sent once. Anchors with more than HOT contexts are listed.
 2. Contexts of shared anchors go to the partition of their anchor. Of equal contexts in a batch one is sent, the
    smallest document's; the others are settled where they are. A partition sorts the suffixes of each shard of contexts
    into a Burrows-Wheeler transform and merges the shards' transforms by refining their interleaving symbol by symbol, which
    sorts no suffix again. Where the refinement first parts neighbours is their common prefix; after SPAN steps the
    intervals it has not parted are the repeated strings, and the smallest document of each interval decides.
+   Contexts of a listed anchor don't meet in one partition: each batch settles their strings among its own documents
+   and sends what is left, the smallest document's, to the partition of the string.
 3. Documents take out what was found in them.
 """
 
@@ -30,6 +32,10 @@ SPAN, GRAM = 50, 16
 SIDE, ANYWHERE = (SPAN - GRAM) // 2, 255
 #: Strings in a context at most, suffixes merged at a time, shards they are dealt to.
 RUN, BLOCK, SHARDS = 64, 600_000, 6
+#: Contexts of an anchor that are merged in one task at most, and strings that are settled at a time where there are more.
+HOT, STRINGS = 10_000, 300_000
+#: Set in the key of a string that is sent by itself; anchors have 48 bits.
+ALONE = np.uint64(1 << 63)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -100,31 +106,43 @@ def packed(route: np.ndarray, columns: list[np.ndarray]) -> list[pa.Array]:
 
 
 def announced(docs: DataFrame, routes: int) -> DataFrame:
-    """Rows (route, known, doc, anchor), packed: anchors to be matched, and (doc, anchor) pairs known to be shared."""
+    """Rows (route, known, doc, anchor, contexts), packed: anchors to be matched, and (doc, anchor) pairs known to be shared.
+
+    contexts: how many the batch has of an anchor to be matched."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, np.unique(contexts(v.as_buffer().to_pybytes())[2])) for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if i is not None]
-            doc = np.repeat(np.array([i for i, _ in found], np.int64), [a.size for _, a in found])
-            anchor = np.concatenate([a for _, a in found]) if found else np.zeros(0, np.uint64)
+            found = [(i, *np.unique(contexts(v.as_buffer().to_pybytes())[2], return_counts=True)) for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if i is not None]
+            doc = np.repeat(np.array([i for i, *_ in found], np.int64), [a.size for _, a, _ in found])
+            anchor, count = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.uint64) for k in (1, 2))
             order = np.lexsort((doc, anchor))
-            doc, anchor = doc[order], anchor[order]
+            doc, anchor, count = doc[order], anchor[order], count[order]
             if not anchor.size:
                 continue
             starts = cut(anchor)
             sizes = np.diff(np.append(starts, anchor.size))
             last = np.maximum.reduceat(doc, starts)
             known = np.repeat((sizes > 1) & (last > doc[starts]), sizes)
-            for flag, doc_, anchor_, route in ((False, doc[starts], anchor[starts], anchor[starts] % np.uint64(routes)), (True, doc[known], anchor[known], doc[known].view(np.uint64) * MIX[0] % np.uint64(routes))):
-                rows = packed(route, [doc_, anchor_])
-                yield pa.RecordBatch.from_arrays([rows[0], pa.array([flag] * len(rows[0]), pa.bool_()), *rows[1:]], ["route", "known", "doc", "anchor"])
+            total = np.add.reduceat(count, starts).astype(np.int32)
+            for flag, doc_, anchor_, total_, route in ((False, doc[starts], anchor[starts], total, anchor[starts] % np.uint64(routes)), (True, doc[known], anchor[known], None, doc[known].view(np.uint64) * MIX[0] % np.uint64(routes))):
+                rows = packed(route, [doc_, anchor_] if total_ is None else [doc_, anchor_, total_])
+                rows += [pa.nulls(len(rows[0]), pa.binary())] * flag
+                yield pa.RecordBatch.from_arrays([rows[0], pa.array([flag] * len(rows[0]), pa.bool_()), *rows[1:]], ["route", "known", "doc", "anchor", "contexts"])
 
-    return docs.mapInArrow(run, "route int, known boolean, doc binary, anchor binary")
+    return docs.mapInArrow(run, "route int, known boolean, doc binary, anchor binary, contexts binary")
 
 
 def by_document(packed_rows: DataFrame, name: str) -> DataFrame:
-    """Rows (route, doc, values), packed by routes of documents -> one row a document: (doc_id, values as binary under this name)."""
+    """Rows (route, doc, values), packed by routes of documents -> one row a document: (doc_id, values as binary under this name).
+
+    Values without documents (route -1) stay in rows without doc_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(np.frombuffer(d, np.int64), np.frombuffer(v, np.uint64)) for batch in batches for d, v in zip(batch.column("doc").to_pylist(), batch.column("values").to_pylist(), strict=True)]
+        parts = []
+        for batch in batches:
+            for route, d, v in zip(*(batch.column(c).to_pylist() for c in ("route", "doc", "values")), strict=True):
+                if route < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([v], pa.binary())], ["doc_id", name])
+                else:
+                    parts.append((np.frombuffer(d, np.int64), np.frombuffer(v, np.uint64)))
         if parts:
             doc, value = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(doc, kind="stable")
@@ -139,18 +157,23 @@ def routed(doc: np.ndarray, value: np.ndarray, routes: int) -> pa.RecordBatch:
 
 
 def shared_anchors(announcements: DataFrame, routes: int) -> DataFrame:
-    """(doc_id, anchors packed): each document's anchors that another document has too."""
+    """(doc_id, anchors packed): each document's anchors that another document has too; in rows without doc_id those with more than HOT contexts."""
+    most = HOT
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict = {True: [], False: []}
         for batch in batches:
-            for known, doc, anchor in zip(*(batch.column(c).to_pylist() for c in ("known", "doc", "anchor")), strict=True):
-                parts[known].append((np.frombuffer(doc, np.int64), np.frombuffer(anchor, np.uint64)))
+            for known, doc, anchor, n in zip(*(batch.column(c).to_pylist() for c in ("known", "doc", "anchor", "contexts")), strict=True):
+                parts[known].append((np.frombuffer(doc, np.int64), np.frombuffer(anchor, np.uint64), *([] if known else [np.frombuffer(n, np.int32)])))
         out = parts[True]
         if parts[False]:
-            doc, anchor = (np.concatenate(x) for x in zip(*parts[False], strict=True))
+            doc, anchor, n = (np.concatenate(x) for x in zip(*parts[False], strict=True))
             order = np.lexsort((doc, anchor))
             doc, anchor = doc[order], anchor[order]
             starts = cut(anchor)
+            hot = anchor[starts][np.add.reduceat(n[order], starts, dtype=np.int64) > most] if starts.size else anchor
+            if hot.size:
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([hot.tobytes()], pa.binary())], ["route", "doc", "values"])
             sizes = np.diff(np.append(starts, anchor.size))
             some = np.repeat(doc[starts] != doc[starts + sizes - 1], sizes)
             out.append((doc[some], anchor[some]))
@@ -168,8 +191,51 @@ def spans_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts[new], ends[np.append(np.flatnonzero(new)[1:] - 1, ends.size - 1)]
 
 
-def sent_contexts(candidates: DataFrame, routes: int) -> DataFrame:
-    """Rows (route, settled, doc, first, count, anchor, at, data), packed. candidates: doc_id, text, anchors."""
+def string_keys(strings: np.ndarray) -> np.ndarray:
+    """A hash of each row of SPAN bytes."""
+    h = np.full(strings.shape[0], MIX[1])
+    for k in range(SPAN):
+        h = (h ^ strings[:, k]) * MIX[0]
+        h ^= h >> np.uint64(29)
+    return h | ALONE
+
+
+def of_smaller_documents(doc: np.ndarray, keys: np.ndarray, strings: np.ndarray) -> np.ndarray:
+    """Which of some strings (rows of SPAN bytes, keys their hashes) a smaller document among them has too."""
+    found = np.zeros(doc.size, bool)
+    order = np.lexsort((doc, keys))
+    while order.size:
+        starts = cut(keys[order])
+        lead = np.repeat(order[starts], np.diff(np.append(starts, order.size)))
+        same = np.concatenate([(strings[order[i : i + STRINGS]] == strings[lead[i : i + STRINGS]]).all(axis=1) for i in range(0, order.size, STRINGS)])
+        found[order] = same & (doc[lead] < doc[order])
+        order = order[~same]  # other strings with the same hash
+    return found
+
+
+def sent_strings(joined: bytes, doc: np.ndarray, first: np.ndarray, count: np.ndarray, origin: np.ndarray, routes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of sent_contexts for contexts of anchors with too many: string by string."""
+    every = np.lib.stride_tricks.sliding_window_view(np.frombuffer(joined, np.uint8), SPAN)
+    piece = np.cumsum(count) // STRINGS
+    for p in np.unique(piece):
+        own = np.flatnonzero(piece == p)
+        n = count[own]
+        at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        docs, start = np.repeat(doc[own], n), at - np.repeat(origin[own], n)
+        strings = every[at]
+        keys = string_keys(strings)
+        settled = of_smaller_documents(docs, keys, strings)
+        context = np.repeat(np.arange(own.size), n)
+        here = np.flatnonzero(settled)
+        new = cut(here - np.arange(here.size) + (strings.shape[0] + 1) * context[here])  # runs of settled strings within a context
+        size, none = np.diff(np.append(new, here.size)), np.zeros(new.size, np.uint64)
+        yield _row(True, docs[here[new]].view(np.uint64) * MIX[0] % np.uint64(routes), docs[here[new]], start[here[new]], size, none, none.astype(np.uint8), None)
+        left = np.flatnonzero(~settled)
+        yield _row(False, keys[left] % np.uint64(routes), docs[left], start[left], np.ones(left.size, np.int64), keys[left], np.full(left.size, ANYWHERE, np.uint8), [s.tobytes() for s in strings[left]])
+
+
+def sent_contexts(candidates: DataFrame, routes: int, hot: np.ndarray) -> DataFrame:
+    """Rows (route, settled, doc, first, count, anchor, at, data), packed. candidates: doc_id, text, anchors. hot: the anchors with too many contexts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4000):
@@ -199,10 +265,13 @@ def sent_contexts(candidates: DataFrame, routes: int) -> DataFrame:
                 lead[order] = least[place]  # the smallest document's entry with these bytes
                 same = np.fromiter((c == cuts[k] for c, k in zip(cuts, lead.tolist(), strict=True)), bool, doc.size)
                 settled = same & (doc[lead] < doc)
-                open_ = ~settled
+                many = ~settled & np.isin(anchor, hot)
+                open_ = ~settled & ~many
                 start = first - origin
                 yield _row(True, doc[settled].view(np.uint64) * MIX[0] % np.uint64(routes), doc[settled], start[settled], count[settled], anchor[settled], place_at[settled], None)
                 yield _row(False, anchor[open_] % np.uint64(routes), doc[open_], start[open_], count[open_], anchor[open_], place_at[open_], [cuts[i] for i in np.flatnonzero(open_)])
+                if many.any():
+                    yield from sent_strings(joined, doc[many], first[many], count[many], origin[many], routes)
 
     return candidates.mapInArrow(run, "route int, settled boolean, doc binary, first binary, count binary, anchor binary, at binary, data binary")
 
@@ -305,6 +374,7 @@ def decided(sent: DataFrame, routes: int) -> DataFrame:
         out: list[tuple] = []
         docs, begins, ends = [], [], []
         by_anchor: dict[int, dict[bytes, tuple]] = {}
+        alone: list[tuple] = []
         for batch in batches:
             for settled, *columns in zip(*(batch.column(c).to_pylist() for c in ("settled", "doc", "first", "count", "anchor", "at", "data")), strict=True):
                 doc, first, count, anchor, place = (np.frombuffer(c, t) for c, t in zip(columns, (np.int64, np.int64, np.uint8, np.uint64, np.uint8), strict=False))
@@ -313,6 +383,9 @@ def decided(sent: DataFrame, routes: int) -> DataFrame:
                     out.append((doc, first, first + size))
                     continue
                 data, at = columns[5], 0
+                if anchor.size and anchor[0] >= ALONE:
+                    alone.append((doc, first, anchor, np.frombuffer(data, np.uint8).reshape(-1, SPAN)))
+                    continue
                 for d, f, s, a, p in zip(doc.tolist(), first.tolist(), size.tolist(), anchor.tolist(), place.tolist(), strict=True):
                     by_anchor.setdefault(a, {}).setdefault(data[at : at + s], (p, []))[1].append((d, f))
                     at += s
@@ -354,6 +427,10 @@ def decided(sent: DataFrame, routes: int) -> DataFrame:
             settle()
         if docs:
             out.append(tuple(np.array(x, np.int64) for x in (docs, begins, ends)))
+        if alone:
+            doc, first, keys, strings = (np.concatenate(x) for x in zip(*alone, strict=True))
+            gone = of_smaller_documents(doc, keys, strings)
+            out.append((doc[gone], first[gone], first[gone] + SPAN))
         if out:
             doc, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
             yield routed(doc, (a * (1 << 20) + (b - a)).view(np.uint64), routes)
@@ -371,7 +448,9 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = id_text(df, id_col, text_col)
     routes = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     wanted = saved(shared_anchors(announced(docs, routes), routes))
-    removed = saved(decided(sent_contexts(docs.join(wanted, "doc_id").select("doc_id", "text", "anchors"), routes), routes))
+    listed = [np.frombuffer(r[0], np.uint64) for r in wanted.where("doc_id is null").select("anchors").collect()]  # at most one anchor in HOT contexts
+    hot = np.concatenate([np.zeros(0, np.uint64), *listed])
+    removed = saved(decided(sent_contexts(docs.join(wanted, "doc_id").select("doc_id", "text", "anchors"), routes, hot), routes))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

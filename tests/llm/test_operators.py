@@ -379,6 +379,39 @@ def test_copies_in_different_tasks_beside_a_shared_anchor(spark):
     assert [bytes(got[i]["kept"]) for i in range(4)] == kept_by_brute_force([t.encode() for t in texts]) == [b"", copied.encode(), b"", other.encode()]
 
 
+def test_a_passage_of_many_documents_among_different_surroundings(spark, monkeypatch):
+    """No task gets more than HOT contexts of an anchor, and the result is the whole one."""
+    monkeypatch.setattr(op10_substrings, "HOT", 5)
+    monkeypatch.setattr(op10_substrings, "STRINGS", 150)
+    passage, sent = prose(14, 80), op10_substrings.sent_contexts
+    texts = [prose(12, 300 + i) + passage * (1 + i % 2) + prose(12, 400 + i) if i % 3 else prose(25, 500 + i // 6) for i in range(60)] + ["a" * 300, "b" + "a" * 200] + with_one_anchor(12) * 2
+    got_sent = []
+
+    def watched(*args):
+        got_sent.append(sent(*args))
+        return got_sent[-1]
+
+    monkeypatch.setattr(op10_substrings, "sent_contexts", watched)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = rows(op10_substrings.without_repeats(frame(spark, texts).repartition(3), keep_bytes=True))
+        groups: dict = {}
+        for r in got_sent[0].where("not settled").collect():
+            for a in np.frombuffer(r["anchor"], np.uint64).tolist():
+                groups[a] = groups.get(a, 0) + (a < 1 << 48)  # contexts, not single strings
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [bytes(got[i]["kept"]) for i in range(len(texts))] == kept_by_brute_force([t.encode() for t in texts])
+    assert 0 < max(groups.values()) <= 5 and 0 in groups.values()
+
+
+def test_strings_with_one_hash():
+    strings = np.frombuffer(b"".join(c * 50 for c in (b"x", b"y", b"x", b"z", b"y", b"x")), np.uint8).reshape(-1, 50)
+    doc = np.array([3, 2, 2, 9, 1, 2])
+    assert op10_substrings.of_smaller_documents(doc, np.ones(6, np.uint64), strings).tolist() == [True, True, False, False, False, False]
+
+
 def test_merged_transforms_equal_sorted_suffixes():
     r = random.Random(9)
     texts = [bytes(r.choice(b"ab") for _ in range(r.randint(5, 14))) for _ in range(30)]
