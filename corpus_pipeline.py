@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each an operator of geotally.llm applied to all that the last one kept.
 
 Quality classifier: rejected documents go. Exact dedup: of equal texts the largest doc_id stays. Near-dedup: of each group of
-near-duplicates (five-word shingles, similarity 0.85) the smallest doc_id stays. Secret scans: secrets in the texts are
+near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays. Secret scans: secrets in the texts are
 replaced by a mark and n_chars follows; no document goes. Packing: pieces of at most 2048 tokens in sequences.
 All but the last return the columns of documents. Null and empty texts, repeated rows and empty tables have the results that
 the operators state.
@@ -26,7 +26,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op8_minhash.one_of_each(docs, 85)
+    return op8_minhash.one_of_each(docs, 80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -445,3 +445,14 @@ def test_pipeline(spark, tmp_path):
     assert not any(len(TEXTS) <= i < len(TEXTS) + 40 for i in left) and 4 not in left and not (6 in left and 7 in left)
     assert "hunter22x" not in " ".join(t or "" for t in left.values())
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(left)
+
+
+def test_pipeline_drops_near_copies_of_four_fifths(spark):
+    import corpus_pipeline
+
+    words = prose(55, 90).split()
+    words[27] = "replaced"
+    texts = [prose(55, 90), " ".join(words), prose(55, 91)]
+    a, b = map(shingle_set, texts[:2])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85
+    assert {r["doc_id"] for r in corpus_pipeline.near(spark, frame(spark, texts), "").collect()} == {0, 2}
