@@ -91,6 +91,11 @@ def ra10_snap_to_peak(spark, d):
     return rounded(raster.snap_to_peak(tree_points(spark, d).where("id % 7 = 0"), cells(spark, d)).select("id", "x", "y", "position_corrected", "correction_distance"))
 
 
+@query()
+def ra10_snap_to_peak_every_point(spark, d):
+    return rounded(raster.snap_to_peak(tree_points(spark, d), cells(spark, d)).select("id", "x", "y", "position_corrected", "correction_distance"))
+
+
 @query()
 def ra11_adaptive_radius(spark, d):
     t = tree_points(spark, d)
