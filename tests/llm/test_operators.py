@@ -263,7 +263,7 @@ def shingle_set(t):
 
 
 def test_near_duplicates_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(op8_minhash, "BLOCK", 400)  # many blocks to a cluster
+    monkeypatch.setattr(op8_minhash, "PAIR", 40)  # many blocks to a cluster
     r, texts = random.Random(4), list(TEXTS)
     for g in range(4):  # groups round a base, some members linked only through others
         words = prose(90, 50 + g).split()
@@ -295,6 +295,37 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch):
     assert {r["doc_id"] for r in op8_minhash.one_of_each(df, 85).collect()} == {i for i in range(len(texts)) if root(i) == i}
 
 
+def test_edges_are_fewer_than_members():
+    """2,000 near copies, each with a label of its own: the edges join them all and are fewer than the documents."""
+    import pyarrow as pa
+
+    words, r, texts = prose(400, 31).split(), random.Random(8), []
+    for _ in range(2000):
+        w = list(words)
+        w[r.randrange(400)] = r.choice(WORDS)
+        texts.append(" ".join(w))
+    n = range(2000)
+    for i, j in ((0, 0), (0, 1)):
+        table = pa.table({"rep": [*n], "label": [*n], "block": [k % 2 if j else 0 for k in n], "text": texts, "i": [i] * 2000, "j": [j] * 2000})
+        edges = op8_minhash.linked(table, 5, 85)
+        assert edges.num_rows == 1999  # a tree
+        label = [*n]
+        for a, b in zip(*edges.to_pydict().values(), strict=True):
+            label = [label[a] if x == label[b] else x for x in label]
+        assert len(set(label)) == 1
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id with two texts is one document with the links of both; repeated rows and a null id change nothing for others."""
+    df = frame(spark, [BASE, BASE, prose(90, 40), NEAR, prose(70, 41)])
+    more = frame(spark, [prose(70, 42), prose(90, 40)] ).where("doc_id = 1")
+    null = frame(spark, [BASE]).withColumn("doc_id", F.lit(None).cast("long"))
+    got = op8_minhash.near_duplicates(df.unionByName(df).unionByName(more).unionByName(null), 85).collect()
+    assert len(got) == 12
+    label = {r["doc_id"]: r["component_id"] for r in got}
+    assert label == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, None: 0}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert op8_minhash.near_duplicates(empty(spark), 85).count() == 0
     assert all(r["kept"] for r in op8_minhash.near_duplicates(frame(spark, [None, "", " "]), 85).collect())
