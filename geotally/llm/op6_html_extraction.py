@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -18,15 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotally.llm.common import read
+from geotally.llm.common import read, unused
 from geotally.llm.crf import Chains, Model, viterbi
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-#: Elements whose content is not text of the page, those that hold no content, and those that break text into blocks.
-HIDDEN = frozenset("script style template noscript head title textarea select option iframe object svg canvas audio video math".split())
+TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: Elements whose content is no markup (it ends at their end tag alone), others whose content is not text of the page, elements that
+#: hold no content, and elements that break text into blocks.
+RAW = frozenset("script style title textarea iframe".split())
+HIDDEN = frozenset("template noscript select option optgroup object svg canvas audio video annotation annotation-xml".split())
+ENDS = re.compile(rf"</({'|'.join(sorted(RAW | HIDDEN))})(?=[\s/>])", re.I | re.A)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
-CLOSED_BY = {"p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header head hgroup hr html label legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+CLOSED_BY = {"head": BLOCK, "p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+#: Elements that end an svg element which is still open.
+LEAVES_SVG = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head hr li menu ol p pre table ul article main section footer".split())
 #: Words of class, id and role attributes that tell what an element holds, and elements that do.
 KINDS = {
     "nav": "nav menu menubar navigation navbar breadcrumb breadcrumbs pagination pager toc tabs",
@@ -50,15 +56,14 @@ LENGTHS, LINKS, WORDS = np.array([8, 20, 50, 120, 300, 800]), np.array([0.01, 0.
 
 @cache
 def _kind(tag: str, attributes: str) -> str:
-    """What an element holds, by its class words or else its tag; "" if neither tells."""
+    """What an element holds, by its class words or else its tag; "" if neither tells. Of a word's parts what isn't content counts first."""
     if attributes:
         for value in re.findall(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", attributes, re.I)[:6]:
             for word in value.strip("\"'").lower().split():
-                for part in (word, *re.split(r"[-_]", word)):
-                    if part in KIND_OF:
-                        found = KIND_OF[part]
-                        if not (found == "header" and tag in ("h1", "h2", "h3")):
-                            return found
+                found = {KIND_OF[part] for part in (word, *re.split(r"[-_]", word)) if part in KIND_OF}
+                for k in KINDS:
+                    if k in found and not (k == "header" and (tag in ("h1", "h2", "h3") or "content" in found)):
+                        return k
     return TAG_KIND.get(tag, "")
 
 
@@ -75,7 +80,8 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     found: list[tuple] = []
     parts: list[str] = []
     linked = links = 0
-    at, hidden = 0, ""
+    at, hidden, inner = 0, "", Counter()  # inner: what is open inside the hidden element
+    last_end: dict[str, int] | None = None
 
     def close() -> None:
         nonlocal linked
@@ -93,7 +99,14 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         if links:
             linked += len(raw)
 
-    for m in TOKEN.finditer(page):
+    def ends(tag: str) -> bool:
+        """Whether an end tag of this name comes later."""
+        nonlocal last_end
+        if last_end is None:
+            last_end = {m[1].lower(): m.start() for m in ENDS.finditer(page)}
+        return last_end.get(tag, -1) >= at
+
+    while m := TOKEN.search(page, at):
         if m.start() > at and not hidden:
             say(page[at : m.start()])
         at = m.end()
@@ -101,14 +114,32 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         if not name:
             continue
         tag, closing = name.lower(), bool(m.group(1) or m.group(4))
+        if tag in RAW and not closing:
+            end = next((e for e in ENDS.finditer(page, at) if e[1].lower() == tag), None) if ends(tag) else None
+            if end:
+                at = end.start()
+            elif tag in ("script", "style"):
+                at = len(page)
+            continue
         if hidden:
+            if closing and inner[tag]:
+                inner[tag] -= 1
+                continue
             if closing and tag == hidden:
                 hidden = ""
-            continue
+                continue
+            outside = closing and any(tag == t for t, _ in stack)  # the end of what the hidden element stands in
+            if not outside and not (hidden == "svg" and not closing and tag in LEAVES_SVG and not inner["foreignobject"]):
+                if not closing and tag not in VOID:
+                    inner[tag] += 1
+                continue
+            hidden = ""
         if not closing and tag in HIDDEN:
-            if tag in BLOCK or tag == "head":
-                close()
-            hidden = tag
+            if ends(tag) and not (tag == "svg" and m.group().endswith("/>")):
+                hidden, inner = tag, Counter()
+            elif tag in ("option", "optgroup", "select"):  # without an end tag: hides text up to the next tag
+                text = TOKEN.search(page, at)
+                at = text.start() if text else len(page)
         elif tag in BLOCK:
             close()
             links = 0
@@ -201,10 +232,10 @@ def extracted(df: DataFrame, model: Model | None = None, html_col: str = "html",
     """The columns in keep, text and n_chars (code points) of every page.
 
     Null and empty pages, and pages of which no block is main text, give an empty text. Repeated rows each give theirs.
-    An empty table gives none.
+    Very long pages are taken whole, in the memory of one task. An empty table gives none.
     """
     shared = df.sparkSession.sparkContext.broadcast(model or trained())  # a few hundred numbers
-    source = df.select(*keep, F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("__html"))
+    source = df.select(*keep, F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias(unused(df, "whole_html")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

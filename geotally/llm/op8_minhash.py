@@ -244,7 +244,9 @@ def _labels(docs: DataFrame, rows: DataFrame, words: int, per_cent: int) -> Data
     left = saved(may_link(saved(cluster.join(texts, "rep")), words, per_cent))
     wide = F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sqrt(F.sum("n") / PAIR))).cast("int")
     blocks = left.groupBy("cluster").agg(wide.alias("blocks"), F.min("label").alias("l"), F.max("label").alias("g")).where("l <> g").select("cluster", "blocks")
-    placed = left.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")  # so that a large cluster doesn't meet its row of blocks in one task
+    every = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = left.withColumn("salt", salt).join(every, ["cluster", "salt"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = placed.select("*", other.alias("o")).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rep", "label", "text")
     more = saved(spread.groupBy("cluster", "i", "j").applyInArrow(lambda t: linked(t, words, per_cent), "a long, b long"))
