@@ -5,15 +5,16 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geotally.llm.bpe import PairCoder, PieceMemo, read_ranks
+from geotally.llm.characters import explicit, of_tiktoken
 from geotally.llm.common import id_text, read
 
 #: What the tokenizers' split pattern means on texts of ASCII characters alone, where Python's faster re can find it.
@@ -22,15 +23,28 @@ ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t
 STEP = 200_000
 
 
+@dataclass(frozen=True)
+class Split:
+    """A split pattern with its classes written out; short: whether ASCII_PATTERN does the same on ASCII texts."""
+
+    pattern: str
+    short: bool
+
+
+def split_by(pattern: str, members: Callable[[str], str] = of_tiktoken) -> Split:
+    """members: what a class of characters holds, as the library to be matched knows it."""
+    import public_tokenizers
+
+    return Split(explicit(pattern, members), pattern == public_tokenizers.PATTERN)
+
+
 class TextCoder:
     """Ids of whole texts: split by the pattern, each piece by the coder, pieces kept in a bounded memo."""
 
-    def __init__(self, coder: PairCoder, pattern: str, special: dict[str, int] | None = None):
+    def __init__(self, coder: PairCoder, split: Split, special: dict[str, int] | None = None):
         """special: strings that stand for one id wherever they are in a text."""
-        import public_tokenizers
-
-        self.pattern, self.memo = regex.compile(pattern), PieceMemo(coder)
-        self.ascii = ASCII_PATTERN if pattern == public_tokenizers.PATTERN else self.pattern
+        self.pattern, self.memo = re.compile(split.pattern), PieceMemo(coder)
+        self.ascii = ASCII_PATTERN if split.short else self.pattern
         self.special = {k: array("I", [v]).tobytes() for k, v in (special or {}).items()}
         self.marks = re.compile("|".join(map(re.escape, self.special))) if special else None
 
@@ -54,11 +68,11 @@ class TextCoder:
         return b"".join(out)
 
 
-def text_coder(shared, pattern: str, special: dict[str, int] | None = None) -> TextCoder:
+def text_coder(shared, split: Split, special: dict[str, int] | None = None) -> TextCoder:
     """The TextCoder of a broadcast PairCoder; a Python worker makes it once and keeps it."""
     coder = shared.value
     if not hasattr(coder, "texts"):
-        coder.texts = TextCoder(coder, pattern, special)
+        coder.texts = TextCoder(coder, split, special)
     return coder.texts
 
 
@@ -67,10 +81,10 @@ def encode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text
 
     ranks: path of a .tiktoken file on the driver. No shuffle: one pass over the input, a batch at a time.
     """
-    shared = df.sparkSession.sparkContext.broadcast(PairCoder.from_ranks(read_ranks(ranks)))  # the vocabulary: fixed size
+    shared, split = df.sparkSession.sparkContext.broadcast(PairCoder.from_ranks(read_ranks(ranks))), split_by(pattern)  # the vocabulary: fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = text_coder(shared, pattern)
+        coder = text_coder(shared, split)
         for batch in batches:
             ids = [array("i", coder.packed(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -95,12 +109,13 @@ def decode(df: DataFrame, ranks: str) -> DataFrame:
 def round_trip(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text and decode its ids: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    Null and empty texts: 0 tokens and the digests of nothing. Repeated rows each give their row. An empty table gives none.
+    Null and empty texts: 0 tokens and the digests of nothing. Repeated rows each give their row. Of texts over STEP characters
+    that many pieces are held at a time, and their ids whole. An empty table gives none.
     """
-    shared = df.sparkSession.sparkContext.broadcast(PairCoder.from_ranks(read_ranks(ranks)))
+    shared, split = df.sparkSession.sparkContext.broadcast(PairCoder.from_ranks(read_ranks(ranks))), split_by(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = text_coder(shared, pattern)
+        coder = text_coder(shared, split)
         if not hasattr(coder, "bytes_of"):
             coder.bytes_of = [t.encode("latin-1") for t in shared.value.tokens].__getitem__
         sha, word = hashlib.sha256, coder.bytes_of

@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geotally.llm.bpe import PairCoder
+from geotally.llm.characters import of_tokenizers
 from geotally.llm.common import id_text, read, saved
-from geotally.llm.op1_bpe import text_coder
+from geotally.llm.op1_bpe import split_by, text_coder
 from geotally.llm.op9_token_counts import byte_symbols
 
 #: Choices the search makes, fillings tried for one space, and steps to find them.
@@ -189,10 +190,10 @@ def pieces(df: DataFrame, vocabulary: str, capacity: int, end: int, id_col: str,
     import public_tokenizers
 
     coder, special = json_coder(vocabulary)
-    shared, pattern = df.sparkSession.sparkContext.broadcast(coder), public_tokenizers.PATTERN  # the vocabulary: fixed size
+    shared, split = df.sparkSession.sparkContext.broadcast(coder), split_by(public_tokenizers.PATTERN, of_tokenizers)  # the vocabulary: fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, stop = text_coder(shared, pattern, special), array("I", [end]).tobytes()
+        texts, stop = text_coder(shared, split, special), array("I", [end]).tobytes()
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

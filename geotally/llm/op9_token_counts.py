@@ -6,16 +6,20 @@ for each place in it where a token may begin, the last token before it and the c
 the one token that may end there (op1's rule of neighbours) and emits the change of the token count; a word's last symbol
 leads back to the start.
 
-Texts are cut into chunks at word ends. Whatever the state before, a chunk's state map then is constant (it ends at the
-start), so the maps of chunks form a monoid of counts: all chunks run side by side, one symbol a step, and a prefix
-scan over the composed maps gives each text's count. Transitions live in a bounded hash table of arrays.
+Texts are cut into chunks of CHUNK code points, wherever that is. A chunk's state map takes the state before it to the state after it
+and a count. It has two parts: up to the first word end it depends on the state before (the head), from there on the state is the
+start whatever came before, so the rest (the tail) is a constant. All tails run side by side, one symbol a step. Then maps are
+composed with those before them: what a map gives becomes the next head's state, again side by side for all chunks whose
+predecessor's map has become a constant; only a word longer than a chunk takes more rounds. A prefix scan over the
+composed counts gives each text's. Transitions live in a bounded hash table of arrays.
+
+Classes of characters are the library's own (see characters.py).
 """
 
 from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from geotally.llm.bpe import PairCoder
+from geotally.llm.characters import Normalizer, of_tokenizers, strange
 from geotally.llm.common import id_text, read
 
 #: Code points to a chunk and to a run over chunks; the hash table's size as a power of two.
@@ -64,19 +69,10 @@ def word_coder(path: str) -> tuple[PairCoder, list[str]]:
 class Transducer:
     """Compiled as it is used; start state 0."""
 
-    def __init__(self, coder: PairCoder):
-        self.coder = coder
+    def __init__(self, coder: PairCoder, kinds: np.ndarray):
+        """kinds: GAP, LETTER, NUMBER or OTHER of every code point."""
+        self.coder, self.kinds = coder, kinds
         self.begins = {t[:i] for t in coder.ids for i in range(1, len(t) + 1)} | {""}
-        kinds = np.full(0x110000, OTHER, np.uint8)
-        for i in range(0x110000):
-            c = unicodedata.category(chr(i))[0]
-            if c == "L":
-                kinds[i] = LETTER
-            elif c == "N":
-                kinds[i] = NUMBER
-        #: The code points with Unicode's White_Space property.
-        kinds[[*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]] = GAP
-        self.kinds = kinds
         self.reset()
 
     def reset(self) -> None:
@@ -113,7 +109,7 @@ class Transducer:
         state, change, symbol = key >> 22, 0, key & 0x3FFFFF
         if symbol == 0:
             return 0, 0
-        raw = chr(symbol >> 1).encode()
+        raw = chr((symbol >> 1) - 1).encode()
         for i, b in enumerate(raw):
             state, d = self.read_byte(state, b + 256 * (symbol & 1 and i == len(raw) - 1))
             change += d
@@ -161,34 +157,68 @@ class Transducer:
             last[quote[short] + 1] = True
             last[quote[long] + 2] = True
         gap = kind == GAP
-        symbol = np.where(gap, 0, points.astype(np.int64) * 2 + last)
-        free = np.flatnonzero(last | gap) + 1  # where the start state holds, whatever came before
-        cuts = free[np.minimum(np.searchsorted(free, np.arange(CHUNK, n, CHUNK)), free.size - 1)]
-        bounds = np.unique(np.concatenate(([0], cuts, ends)))
-        begin, length = bounds[:-1], np.diff(bounds)
+        symbol = np.where(gap, 0, points.astype(np.int64) * 2 + 2 + last)
+        free = np.concatenate(([0], np.flatnonzero(last | gap) + 1))  # where the start state holds, whatever came before
+        bounds = np.unique(np.concatenate((np.arange(0, n, CHUNK), [0], ends)))
+        begin, end = bounds[:-1], bounds[1:]
+        where = np.searchsorted(free, begin)
+        tail = np.minimum(free[np.minimum(where, free.size - 1)], end)
+        constant = (where < free.size) & (free[np.minimum(where, free.size - 1)] <= end)
+        after, count = self.run(symbol, tail, end - tail, np.zeros(begin.size, np.int64))
+        heads = np.flatnonzero(tail > begin)
+        while heads.size:  # the state before the head is what the map before gives, once that is a constant
+            now = heads[constant[heads - 1]]
+            state, emitted = self.run(symbol, begin[now], tail[now] - begin[now], after[now - 1])
+            count[now] += emitted
+            within = ~constant[now]  # no word ended in the chunk
+            after[now[within]] = state[within]
+            constant[now] = True
+            heads = heads[~np.isin(heads, now)]
+        scan = np.concatenate(([0], np.cumsum(count)))
+        return np.diff(scan[np.searchsorted(bounds, ends)], prepend=0)
+
+    def run(self, symbol: np.ndarray, begin: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after some ranges of symbols and the changes of the count, all ranges side by side."""
         order = np.argsort(-length, kind="stable")
-        begin, length = begin[order], length[order]
-        state, emitted = np.zeros(begin.size, np.int64), np.zeros(begin.size, np.int64)
+        begin, length, state = begin[order], length[order], state[order].astype(np.int64)
+        emitted = np.zeros(begin.size, np.int64)
         live = np.searchsorted(-length, -np.arange(length[0] if length.size else 0), side="left")
-        for step, m in enumerate(live):  # chunks of this length or more come first
+        for step, m in enumerate(live):  # ranges of this length or more come first
             at = self.look_up((state[:m] << 22) | symbol[begin[:m] + step])
             state[:m] = self.to[at]
             emitted[:m] += self.emits[at]
-        scan = np.zeros(begin.size + 1, np.int64)
-        in_order = np.empty_like(emitted)
-        in_order[order] = emitted
-        np.cumsum(in_order, out=scan[1:])  # the maps before each bound, composed
-        total = scan[np.searchsorted(bounds, ends)]
-        return np.diff(total, prepend=0)
+        back = np.empty_like(order)
+        back[order] = np.arange(order.size)
+        return state[back], emitted[back]
 
 
-def normalised(text: str) -> str:
-    """NFC and lower case, character by character (a final sigma is an ordinary one)."""
-    if not text.isascii():
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ")
-    return text.lower()
+def kinds_of(letters: str, numbers: str, gaps: str) -> np.ndarray:
+    kinds = np.full(0x110000, OTHER, np.uint8)
+    for members, kind in ((letters, LETTER), (numbers, NUMBER), (gaps, GAP)):
+        kinds[np.frombuffer(members.encode("utf-32-le"), np.uint32)] = kind
+    return kinds
+
+
+class Compiled:
+    """What workers get: the coder, the library's classes and normalizer, special strings; each makes its own transducer."""
+
+    def __init__(self, path: str):
+        self.coder, self.special = word_coder(path)
+        self.classes = [of_tokenizers(c) for c in (r"\p{L}", r"\p{N}", r"\s")]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        bare = {"version": spec["version"], "truncation": None, "padding": None, "added_tokens": [], "normalizer": spec["normalizer"], "pre_tokenizer": None, "post_processor": None, "decoder": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}
+        self.normalised = Normalizer(strange(), json.dumps(bare))
+        self._machine = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_machine": None}
+
+    @property
+    def machine(self) -> Transducer:
+        if self._machine is None:
+            self._machine = Transducer(self.coder, kinds_of(*self.classes))
+        return self._machine
 
 
 def pieces(text: str, most: int = RUN) -> Iterator[str]:
@@ -209,16 +239,15 @@ def token_counts(df: DataFrame, vocabulary: str, limit: int = 2048, id_col: str
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than limit tokens) of every whole text.
 
     vocabulary: path of a .json file of the word-end kind on the driver. Null and empty texts: 0 bytes, 0 tokens.
-    Strings of the file's special tokens count as one token wherever they stand. An empty table gives none.
+    Strings of the file's special tokens count as one token wherever they stand. Texts over RUN code points are counted in parts
+    cut at white space. Repeated rows each give theirs. An empty table gives none.
     """
-    coder, special = word_coder(vocabulary)
-    shared = df.sparkSession.sparkContext.broadcast(coder)  # the vocabulary: fixed size
-    marks = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+    compiled = Compiled(vocabulary)
+    shared = df.sparkSession.sparkContext.broadcast(compiled)  # the vocabulary: fixed size
+    marks = re.compile("|".join(map(re.escape, compiled.special)) or r"(?!)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not hasattr(shared.value, "transducer"):
-            shared.value.transducer = Transducer(shared.value)
-        machine = shared.value.transducer
+        machine, normalised = shared.value.machine, shared.value.normalised
         for batch in batches:
             n_tokens = np.zeros(batch.num_rows, np.int64)
             held, owner, size = [], [], 0

@@ -67,7 +67,7 @@ def test_bpe_equals_the_library(spark, docs):
 def test_bpe_on_random_pieces():
     coder = op1_bpe.PairCoder.from_ranks(op1_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")))
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=op1_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
-    texts = op1_bpe.TextCoder(coder, P.PATTERN)
+    texts = op1_bpe.TextCoder(coder, op1_bpe.split_by(P.PATTERN))
     r = random.Random(1)
     for _ in range(600):
         s = "".join(r.choice("ab \n\t'sé漢😀1²_-=\x1cABz") for _ in range(r.randint(0, 40)))
@@ -337,13 +337,15 @@ def test_token_counts_equal_the_library(spark, docs):
     for i, t in enumerate(TEXTS):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
         assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 2048)
-    coder, _ = op9_token_counts.word_coder(P.path("word_bpe_49k.json"))
-    machine, r = op9_token_counts.Transducer(coder), random.Random(3)
+    compiled, r = op9_token_counts.Compiled(P.path("word_bpe_49k.json")), random.Random(3)
+    machine, normalised = compiled.machine, compiled.normalised
     texts = ["".join(r.choice("abtsrevlmd '''.!1²é漢😀ÉİΣ\n\x1c\x85 é") for _ in range(r.randint(0, 60))) for _ in range(800)]
-    counts = machine.counts([op9_token_counts.normalised(t) for t in texts])
+    counts = machine.counts([normalised(t) for t in texts])
     assert counts.tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
     long = prose(4000, 8)
-    assert sum(machine.counts(list(map(op9_token_counts.normalised, op9_token_counts.pieces(long, 500))))) == len(library.encode(long, add_special_tokens=False).ids)
+    assert sum(machine.counts(list(map(normalised, op9_token_counts.pieces(long, 500))))) == len(library.encode(long, add_special_tokens=False).ids)
+    words = ["x" * 3000, "a" + "ab" * 700 + " b", "".join(r.choice("abcde") for _ in range(5000)), "", "1" * 600]  # longer than a chunk
+    assert machine.counts(words).tolist() == [len(e.ids) for e in library.encode_batch(words, add_special_tokens=False)]
     assert op9_token_counts.token_counts(empty(spark), P.path("word_bpe_49k.json")).count() == 0
 
 
