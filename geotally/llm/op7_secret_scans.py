@@ -1,12 +1,19 @@
 """Operator 7: secret scans by patterns and a battery of randomness tests; DataFrame functions only.
 
 Base spans come from three patterns. Beyond them, every long run of encoding characters that has letters and digits is a
-candidate. Its encoding is inferred from its characters, which fixes the alphabet, and three tests ask whether it could be
-a uniformly random string over it: chi-squared of the alphabet's eighths, runs above and below the middle, and serial
-correlation. Fisher's method combines them to a p-value of randomness. Over the whole corpus and for each class of length,
-Benjamini-Hochberg at level LEVEL picks the candidates that are not random; those left are secrets. Long candidates
-thus must look random on their own scale, and few true secrets of any length are lost. The procedure needs only a
-histogram of p-values by class of length, whose size is fixed.
+candidate. Two questions are asked of each, both answered with p-values.
+
+Is it a uniformly random string over its inferred encoding's alphabet? Three tests: chi-squared of the alphabet's eighths, runs above and
+below the middle, and serial correlation, combined by Fisher's method. For each class of length, Benjamini-Hochberg at level LEVEL
+names the candidates that are not random; they are no secrets.
+
+Is it ordinary text? Ordinary text has the pairs of neighbouring characters that the words of the whole corpus have, with their spread
+from word to word. A candidate whose pairs are far less likely than that gets a small p-value. For each class of length,
+Benjamini-Hochberg at level LEVEL over these p-values, those of candidates named before counting as 1, makes the discoveries. So at
+most LEVEL of what is reported in a class of length is expected to be ordinary text.
+
+All of it is counted over all documents; what comes to the driver are tables of fixed size: pairs of characters and
+histograms of p-values by class of length.
 """
 
 from __future__ import annotations
@@ -14,15 +21,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geotally.llm.common import id_text, read, saved
+from geotally.llm.common import id_text, passing, read, saved, unused
 
 #: The patterns of the three base kinds, in the order of their listing.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
-#: A candidate run, the share of true secrets that may be taken for ordinary text, and the classes' least lengths.
+#: A candidate run, the level of both controls of false discoveries, and the classes' least lengths.
 CANDIDATE, LEVEL, CLASSES = r"[A-Za-z0-9+/_-]{24,}={0,2}", 0.01, (24, 32, 48, 96)
+#: The characters whose pairs are counted.
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: p-values are kept as -log10 p in this many steps a unit, up to TOP steps.
 STEPS, TOP = 20, 1000
 #: Inferred encodings: what their strings match, and their alphabets in order.
@@ -44,10 +53,14 @@ def let(value: Column, then) -> Column:
 
 
 def located(text: Column, pattern: str, group: int = 0) -> Column:
-    """Leftmost non-overlapping matches: array of (start, end, part), in code points; part: the group asked for."""
+    """Leftmost non-overlapping matches: array of (start, end, part), in code points; part: the group asked for.
+
+    The fold goes over blocks of matches, as many as a block has, so that long lists aren't copied once a match.
+    """
     pattern = F.lit(pattern)
     found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("whole"), F.regexp_extract_all(text, pattern, F.lit(group)).alias("part"))
     empty = F.expr("cast(array() as array<struct<start:int, end:int, part:string>>)")
+    none = F.expr("cast(array() as array<array<struct<start:int, end:int, part:string>>>)")
 
     def step(acc: Column, m: Column) -> Column:
         start = acc["at"] + F.length(m["gap"])
@@ -55,8 +68,17 @@ def located(text: Column, pattern: str, group: int = 0) -> Column:
         one = F.array(F.struct(start.alias("start"), end.alias("end"), m["part"].alias("part")))
         return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
 
+    def block(acc: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(acc["at"].alias("at"), empty.alias("out")), step)
+        return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    def blocks(matches: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(matches))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.size(matches) - 1, width), lambda k: F.slice(matches, k + 1, width))
+
     matches = F.filter(found, lambda m: m["whole"].isNotNull())
-    return F.when(F.rlike(text, pattern), F.aggregate(matches, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])).otherwise(empty)
+    spans = let(matches, lambda x: F.aggregate(blocks(x), F.struct(F.lit(0).alias("at"), none.alias("out")), block, lambda acc: F.flatten(acc["out"])))
+    return F.when(F.rlike(text, pattern), spans).otherwise(empty)
 
 
 def two_sided(z: Column) -> Column:
@@ -94,40 +116,100 @@ def randomness(token: Column) -> Column:
     return let(F.struct(alphabet.alias("a"), F.split(core, "").alias("c")), lambda d: let(F.transform(F.filter(d["c"], lambda c: c != ""), lambda c: F.call_function("locate", c, d["a"]) - 1), lambda v: battery(v, F.length(d["a"]).cast("double"))))
 
 
-def scanned(df: DataFrame, text: Column) -> DataFrame:
-    """df with column __found: base spans and, for each candidate, its span and p-value. One pass."""
+class Ordinary:
+    """What pairs of neighbouring characters are like in the words of a corpus."""
+
+    def __init__(self, df: DataFrame, text: Column):
+        spark, width = df.sparkSession, len(SYMBOLS)
+        with passing(spark):
+            word = F.explode(F.split(text, " ", -1)).alias("w")  # other characters between words stand in no pair of symbols
+            words = saved(df.select(word).where(F.length("w") > 1).groupBy("w").agg(F.count("*").alias("n")))
+            letters = F.filter(F.split("w", ""), lambda c: c != "")
+            two = F.explode(let(letters, lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.concat(F.get(c, i - 1), F.get(c, i))))).alias("two")
+            counted = words.select(two, "n").groupBy("two").agg(F.sum("n").alias("n"))
+            symbol = lambda i: F.substring(F.lit(SYMBOLS), i.cast("int") + 1, F.lit(1))
+            every = spark.range(width * width).select("id", F.concat(symbol(F.floor(F.col("id") / width)), symbol(F.col("id") % width)).alias("two"))
+            smooth = every.join(counted, "two", "left").select("id", "two", (F.coalesce("n", F.lit(0)) + 1).alias("n"))
+            score = F.ln(F.col("n") / F.sum("n").over(Window.partitionBy(F.substring("two", 1, 1))) * width)
+            pairs = saved(smooth.select("id", "two", "n", score.alias("s")))
+            mean = F.sum(F.col("n") * F.col("s")) / F.sum("n")
+            self.mean, self.variance = pairs.agg(mean, F.sum(F.col("n") * F.col("s") * F.col("s")) / F.sum("n") - mean * mean).first()
+            self.scores = [r["s"] for r in pairs.select("id", "s").orderBy("id").collect()]  # a number a pair of symbols
+            # how much more words differ than independent pairs would
+            likeness = words.select("n", let(self.places(F.col("w")), self.likeness).alias("x")).where("x.m > 0")
+            excess = F.pow(F.col("x.s") - F.col("x.m") * self.mean, 2) / F.col("x.m")
+            found = likeness.agg(F.sum(F.col("n") * excess) / F.sum("n")).first()[0]
+            self.spread = max(self.variance, found or 0.0, 1e-6)
+
+    @staticmethod
+    def places(token: Column) -> Column:
+        """The place of each character in SYMBOLS; -1: none."""
+        return F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.call_function("locate", c, F.lit(SYMBOLS)) - 1)
+
+    def likeness(self, v: Column) -> Column:
+        """(s, m): the sum of scores of the pairs of symbols among some places, and how many they are."""
+        scores, width = F.split(F.lit(",".join(f"{s:.6f}" for s in self.scores)), ",").cast("array<double>"), len(SYMBOLS)
+        pairs = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(v) - 1)), lambda i: F.when((F.get(v, i - 1) >= 0) & (F.get(v, i) >= 0), F.get(v, i - 1) * width + F.get(v, i))), lambda p: p.isNotNull())
+        return let(pairs, lambda x: F.struct(F.aggregate(x, F.lit(0.0), lambda acc, p: acc + F.get(scores, p)).alias("s"), F.size(x).cast("double").alias("m")))
+
+    def probability(self, token: Column) -> Column:
+        """p-value of "this string has the pairs of ordinary text": small if they are less likely than its words' are."""
+        def tail(x: Column) -> Column:
+            return let((x["s"] - x["m"] * self.mean) / F.sqrt(x["m"] * self.spread), lambda z: F.when(z < 0, two_sided(z) / 2).otherwise(1 - two_sided(z) / 2))
+
+        return let(let(self.places(F.rtrim(token, F.lit("="))), self.likeness), tail)
+
+
+def scanned(df: DataFrame, text: Column, ordinary: Ordinary, name: str) -> DataFrame:
+    """df with a column of this name: base spans and, for each candidate, its span and two p-values as steps. One pass."""
     def base(kind: int, found: Column) -> Column:
         return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
 
+    def step(p: Column) -> Column:
+        return F.least(F.lit(TOP), F.floor(-F.log10(p) * STEPS)).cast("int")
+
     assigned = F.filter(located(text, ASSIGN, 1), lambda m: F.length(m["part"]) >= 6)
     spans = F.array_sort(F.concat(base(0, assigned), base(1, located(text, ACCESS)), base(2, located(text, HEX))))
     likely = F.filter(located(text, CANDIDATE), lambda m: m["part"].rlike("[0-9]") & m["part"].rlike("[A-Za-z]"))
     kind = len(KINDS) - 1
-    tested = F.transform(likely, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"), F.least(F.lit(TOP), F.floor(-F.log10(randomness(m["part"])) * STEPS)).cast("int").alias("step")))
-    return df.withColumn("__found", F.struct(spans.alias("base"), tested.alias("tested")))
+    tested = F.transform(likely, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"), step(randomness(m["part"])).alias("step"), step(ordinary.probability(m["part"])).alias("unlike")))
+    return df.withColumn(name, F.struct(spans.alias("base"), tested.alias("tested")))
 
 
 def length_class(span: Column) -> Column:
     return F.coalesce(*(F.when(span["end"] - span["start"] >= n, n) for n in reversed(CLASSES)), F.lit(CLASSES[0]))
 
 
-def with_spans(scan: DataFrame) -> DataFrame:
-    """scan (what scanned() gave, saved) with columns __base and __spans: arrays of (start, kind, end) in order."""
-    one = scan.select(F.explode("__found.tested").alias("t")).groupBy(length_class(F.col("t")).alias("class"), F.col("t.step").alias("step")).agg(F.count("*").alias("n"))
-    up_to = Window.partitionBy("class").orderBy(F.desc("step"))
-    ranked = one.withColumn("k", F.sum("n").over(up_to)).withColumn("m", F.sum("n").over(Window.partitionBy("class")))
-    ordinary = ranked.where(F.pow(F.lit(10.0), -F.col("step") / STEPS) <= LEVEL * F.col("k") / F.col("m")).groupBy("class").agg(F.min("step").alias("step"))
-    least = {r["class"]: r["step"] for r in ordinary.collect()}  # at most a row a class
+def by_class(column: Column, least: dict[int, int]) -> Column:
+    return F.coalesce(*(F.when(length_class(column) == c, s) for c, s in least.items()), F.lit(TOP + 1))
+
+
+def discoveries(histogram: DataFrame, p: str, where: Column) -> dict[int, int]:
+    """class -> the least step of p that Benjamini-Hochberg rejects. histogram: class, n and steps; what isn't in where has p-value 1."""
+    up_to = Window.partitionBy("class").orderBy(F.desc(p))
+    some = histogram.groupBy("class", p).agg(F.sum(F.when(where, F.col("n")).otherwise(0)).alias("n"), F.sum("n").alias("all"))
+    ranked = some.withColumn("k", F.sum("n").over(up_to)).withColumn("m", F.sum("all").over(Window.partitionBy("class")))
+    rejected = ranked.where((F.col("n") > 0) & (F.pow(F.lit(10.0), -F.col(p) / STEPS) <= LEVEL * F.col("k") / F.col("m")))
+    return {r["class"]: r[p] for r in rejected.groupBy("class").agg(F.min(p).alias(p)).collect()}  # at most a row a class
+
+
+def base_and_all(scan: DataFrame, name: str) -> tuple[Column, Column]:
+    """Base spans and all spans of scan (what scanned() gave, saved): arrays of (start, kind, end) in order."""
+    one = scan.select(F.explode(f"{name}.tested").alias("t")).select(length_class(F.col("t")).alias("class"), "t.step", "t.unlike")
+    histogram = saved(one.groupBy("class", "step", "unlike").agg(F.count("*").alias("n")))
+    even = discoveries(histogram, "step", F.lit(True))
+    regular = F.coalesce(*(F.when(F.col("class") == c, F.col("step") >= s) for c, s in even.items()), F.lit(False))
+    strange = discoveries(histogram, "unlike", ~regular)
+    found = F.col(name)
 
-    def random(t: Column) -> Column:
-        limit = F.coalesce(*(F.when(length_class(t) == c, s) for c, s in least.items()), F.lit(TOP + 1))
-        return t["step"] < limit
+    def secret(t: Column) -> Column:
+        return (t["step"] < by_class(t, even)) & (t["unlike"] >= by_class(t, strange))
 
-    def added(found: Column) -> Column:
-        inside = lambda t: F.exists(found["base"], lambda b: (b["start"] <= t["start"]) & (b["end"] >= t["end"]))
-        return F.transform(F.filter(found["tested"], lambda t: random(t) & ~inside(t)), lambda t: F.struct(t["start"].alias("start"), t["kind"].alias("kind"), t["end"].alias("end")))
+    def inside(t: Column) -> Column:
+        return F.exists(found["base"], lambda b: (b["start"] <= t["start"]) & (b["end"] >= t["end"]))
 
-    return scan.withColumn("__base", F.col("__found.base")).withColumn("__spans", F.array_sort(F.concat(F.col("__found.base"), added(F.col("__found"))))).drop("__found")
+    added = F.transform(F.filter(found["tested"], lambda t: secret(t) & ~inside(t)), lambda t: F.struct(t["start"].alias("start"), t["kind"].alias("kind"), t["end"].alias("end")))
+    return found["base"], F.array_sort(F.concat(found["base"], added))
 
 
 def listed(spans: Column) -> Column:
@@ -138,28 +220,33 @@ def listed(spans: Column) -> Column:
 def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row.
 
-    Null and empty texts have no spans. Repeated rows each give theirs. An empty table gives none.
+    Null and empty texts have no spans. Repeated rows each give theirs, and count as often in the statistics. Very long texts are
+    taken whole. An empty table gives none.
     """
-    found = with_spans(saved(scanned(id_text(df, id_col, text_col), F.col("text")).drop("text")))
+    docs, text = id_text(df, id_col, text_col), F.col("text")
+    scan = saved(scanned(docs, text, Ordinary(docs, text), "found").drop("text"))
+    base, spans = base_and_all(scan, "found")
 
     def count(kind: int) -> Column:
-        return F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long")
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
 
-    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(listed(F.col("__base")), 256).alias("base_sha256"), listed(F.col("__spans")).alias("spans"))
+    return scan.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"))
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
     """docs, all columns, each run of touching spans in the text replaced by mark. Texts without spans, null ones too, stay."""
-    found = with_spans(saved(scanned(docs, F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
-    text = F.col(text_col)
+    text, whole = F.col(text_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    name = unused(docs, "found")
+    scan = saved(scanned(docs, whole, Ordinary(docs, whole), name))
+    _, spans = base_and_all(scan, name)
 
     def step(acc: Column, s: Column) -> Column:
         apart = s["start"] > acc["at"]
         out = F.when(apart | (acc["out"] == ""), F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("__spans") > 0, clean).otherwise(text)).drop("__base", "__spans")
+    clean = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    return scan.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
