@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The form of monthly names, metadata columns of the point table beside ids and outlier columns, outlier and height columns.
 MONTHLY = re.compile(r"^(.+)_([0-1][0-9])$")
-#: Metadata columns of the point table beside ids and outlier columns.
-METADATA = ("city", "block_id", "genus_german", "species_latin", "species_german", "tree_type", "plant_year", "position_corrected", "correction_distance")
+METADATA = ("city", "genus_latin", "genus_german", "species_latin", "species_german", "tree_type", "plant_year", "correction_distance", "position_corrected", "is_conifer")
 OUTLIER = ("outlier_zscore", "outlier_mahalanobis", "outlier_iqr", "outlier_severity", "outlier_method_count")
 HEIGHT = ("CHM_1m", "CHM_1m_zscore", "CHM_1m_percentile")
 
@@ -67,16 +67,19 @@ def resolve(df: DataFrame, name: str) -> str:
 
 
 def metadata_columns(df: DataFrame) -> list[str]:
+    """Ids, the label and what else describes a row without being a feature."""
     return sorted({c for c in df.columns if c.endswith("_id") or c in METADATA or c.startswith("outlier_")})
 
 
 def feature_columns(df: DataFrame, target: str = "genus_latin", height: list[str] | None = None, expected: list[str] | None = None) -> list[str]:
-    """Features: neither id, target, metadata nor outlier column. height: the height columns to take; expected: exactly these, in order."""
+    """Features: neither id, target, metadata, outlier column nor place. height: the height columns to take (None: those there are; empty:
+    none); expected: exactly these, in order. Unknown or absent height columns and absent expected ones are errors."""
+    other = {target, *metadata_columns(df), "x", "y", "height_m"}
+    every = [c for c in df.columns if c not in other]
+    if unknown := [c for c in height or () if c not in HEIGHT]:
+        raise ValueError(f"not height features: {unknown}")
+    if missing := [c for c in (height if expected is None else expected) or () if c not in every]:
+        raise ValueError(f"missing features {missing}")
     if expected is not None:
-        missing = sorted(set(expected) - set(df.columns))
-        if missing:
-            raise ValueError(f"missing features {missing}")
         return list(expected)
-    taken = set(HEIGHT if height is None else height)
-    other = {target, *metadata_columns(df), "x", "y", "height_m"}
-    return sorted(c for c in df.columns if c not in other and (c not in HEIGHT or c in taken))
+    return sorted(c for c in every if c not in HEIGHT or height is None or c in height)

@@ -8,14 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geotally.functions.folders import shared_folder
+
 
 def _saved(df: DataFrame) -> DataFrame:
     """A checkpoint in the session's shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="geotally-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -220,16 +220,16 @@ def morans_i_pvalue(df: DataFrame, feature: str, lag: float, permutations: int =
     m = d.agg(F.avg("v")).first()[0]
     place = _saved(with_rank(d.withColumn("h", F.col(key).cast("double")), "h", "r").select(key, F.col("r").cast("long").alias("r"), (F.col("v") - m).alias("z")))
 
-    def value(z: DataFrame) -> float:
-        each = near.join(z.select(F.col(key).alias("j"), F.col("z").alias("zj")), "j").groupBy("i").agg(F.avg("zj").alias("w"))
-        s = z.join(each, z[key] == each["i"], "left").agg(F.count("*").alias("n"), F.count("w").alias("k"), F.sum(F.col("z") * F.col("w")).alias("c"), F.sum(F.col("z") ** 2).alias("q")).first()
-        return s["n"] / s["k"] * s["c"] / s["q"]
+    def values(z: DataFrame) -> list[float]:
+        """I of each k of (k, key, z), in one job."""
+        each = near.join(z.select(F.col(key).alias("j"), "k", F.col("z").alias("zj")), "j").groupBy("k", F.col("i").alias(key)).agg(F.avg("zj").alias("w"))
+        sums = z.join(each, ["k", key], "left").groupBy("k").agg(F.count("*").alias("n"), F.count("w").alias("c"), F.sum(F.col("z") * F.col("w")).alias("zw"), F.sum(F.col("z") ** 2).alias("zz"))
+        return [s["n"] / s["c"] * s["zw"] / s["zz"] for s in sums.collect()]  # a row a permutation
 
-    observed, above = value(place), 0
-    for k in range(permutations):
-        dealt = with_rank(place.withColumn("h", F.xxhash64(F.lit(seed + k), key)), "h", "s")
-        new = dealt.select(key, F.col("s").cast("long").alias("s")).join(place.select("r", "z"), F.col("s") == F.col("r")).select(key, "z")
-        above += value(new) >= observed
+    observed = values(place.select(F.lit(0).alias("k"), key, "z"))[0]
+    many = place.select(key, F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("k")).withColumn("h", F.xxhash64(F.lit(seed), "k", key))
+    dealt = with_rank(many, "h", "s", ["k"]).select(key, "k", F.col("s").cast("long").alias("s"))
+    above = sum(v >= observed for v in values(dealt.join(place.select("r", "z"), F.col("s") == F.col("r")).select("k", key, "z")))
     return {"morans_i": observed, "pvalue": (above + 1) / (permutations + 1), "permutations": permutations}
 
 

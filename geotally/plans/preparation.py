@@ -36,14 +36,6 @@ def io6_raw_layers(spark, d):
     return prep.union_layers(layers).select("source_layer", "key", "bal", "segment")
 
 
-@query(f"WITH {PTS} SELECT id, city, cls, CAST(plant_year AS DOUBLE) AS plant_year FROM pts WHERE id % 3 <> 0")
-def io1_read_points(spark, d):
-    from geotally.functions.columns import null_nan
-
-    p = points(spark, d).withColumn("bad", F.when(F.col("id") % 3 == 0, F.lit(float("nan"))).otherwise(F.lit(1.0)))
-    return null_nan(p).where("bad is not null").select("id", "city", "cls", F.col("plant_year").cast("double"))
-
-
 @query(f"WITH {CAD} SELECT * REPLACE (CAST(plant_year AS DOUBLE) AS plant_year) FROM cad")
 def pr1_harmonize(spark, d):
     return cadastre(spark, d).withColumn("plant_year", F.col("plant_year").cast("double"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotally.functions.columns import OUTLIER, null_nan
+from geotally.functions.columns import METADATA, OUTLIER, null_nan
 from geotally.operators.prep import union_layers
 
-REQUIRED = ("tree_id", "city", "block_id", "genus_latin", *OUTLIER)
+REQUIRED = ("tree_id", "block_id", *METADATA, *OUTLIER)
 PARTITIONS = ("variant", "feature_set", "city", "split")
 
 

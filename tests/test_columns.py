@@ -17,7 +17,12 @@ def test_names(spark):
     with pytest.raises(ValueError, match="differ"):
         columns.same_temporal_columns({"a": df, "b": names(spark, ["NDVI_04"])})
     assert columns.feature_names(["A", "B"], [4, 11]) == ["A_04", "B_04", "A_11", "B_11"]
-    assert columns.metadata_columns(df) == ["city", "outlier_iqr", "tree_id"]
+    assert columns.metadata_columns(df) == ["city", "genus_latin", "outlier_iqr", "tree_id"]
+    conifer = names(spark, ["tree_id", "city", "genus_latin", "is_conifer", "NDVI_04", "CHM_1m"])
+    assert columns.feature_columns(conifer) == ["CHM_1m", "NDVI_04"] and columns.metadata_columns(conifer) == ["city", "genus_latin", "is_conifer", "tree_id"]
+    for wrong in ({"height": ["NDVI_04"]}, {"height": ["CHM_1m_zscore"]}, {"expected": ["is_conifer"]}):
+        with pytest.raises(ValueError):
+            columns.feature_columns(conifer, **wrong)
     assert columns.feature_columns(df) == ["CHM_1m", "EVI_04", "NDVI_04", "NDVI_05"] and columns.feature_columns(df, height=[]) == ["EVI_04", "NDVI_04", "NDVI_05"]
     with pytest.raises(ValueError):
         columns.feature_columns(df, expected=["NDVI_09"])

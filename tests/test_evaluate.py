@@ -42,6 +42,7 @@ def test_param_candidates():
 
 def test_io_round_trip_and_contracts(spark, tmp_path):
     df = spark.createDataFrame([("t1", "a", "b1", "T", False, False, False, "none", 0, 1.0, 2.0, 3.0, float("nan"), "plain", "reduced", "train")], "tree_id string, city string, block_id string, genus_latin string, outlier_zscore boolean, outlier_mahalanobis boolean, outlier_iqr boolean, outlier_severity string, outlier_method_count int, x double, y double, height_m double, f double, variant string, feature_set string, split string")
+    df = df.withColumns({c: F.lit(None).cast("string") for c in io.REQUIRED if c not in df.columns})
     path = str(tmp_path / "splits")
     io.write_splits(df, path)
     back = io.read_splits(spark, path, "a", ("train", "test"))
