@@ -85,8 +85,8 @@ class Model:
         around = (x, *chains.neighbours(x, outside))
         return sum(self.weights[w, f, a].sum(axis=1) for w, a in enumerate(around))
 
-    def fit(self, x: np.ndarray, labels: np.ndarray, chains: Chains, rounds: int = 250, penalty: float = 1e-3, rate: float = 0.1) -> Model:
-        """Penalised maximum likelihood of labels (one a position) by Adam over all chains; deterministic."""
+    def fit(self, x: np.ndarray, labels: np.ndarray, chains: Chains, rounds: int = 250, penalty: float = 1e-3, rate: float = 0.1, enough: float = 1e-3) -> Model:
+        """Penalised maximum likelihood of labels (one a position) by Adam over all chains, until no part of the gradient exceeds ``enough``; deterministic."""
         outside, n_f = self.weights.shape[2] - 1, x.shape[1]
         flat = [a.astype(np.int64) + np.arange(n_f) * (outside + 1) for a in (x, *chains.neighbours(x, outside))]
         inner = np.ones(chains.total, bool)
@@ -100,7 +100,10 @@ class Model:
             error = labels - p
             g = np.stack([np.bincount(a.ravel(), np.repeat(error, n_f), n_f * (outside + 1)).reshape(n_f, outside + 1) for a in flat])
             n = max(1, chains.lengths.size)
-            for k, grad in enumerate((g / n - penalty * self.weights, (seen - expected) / n - penalty * self.moves)):
+            grads = (g / n - penalty * self.weights, (seen - expected) / n - penalty * self.moves)
+            if max(np.abs(grad).max() for grad in grads) < enough:
+                break
+            for k, grad in enumerate(grads):
                 m, v = moments[k]
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad * grad - v)

@@ -2,8 +2,8 @@
 
 Every line is labelled good or bad from features of its own text and of its neighbours. Only documents carry labels, so
 in training a document's label stands for each of its lines. A document's score is the mean of its lines' forward-backward
-marginals of "good", weighted by length in bytes. The field is fitted on at most SAMPLE labelled documents (by hash of the
-id); scoring is one pass over all documents, without a shuffle.
+marginals of "good", weighted by length in bytes. The field is fitted on at most SAMPLE labelled documents of LINES lines in all (by
+hash of the id); scoring is one pass over all documents, without a shuffle.
 """
 
 from __future__ import annotations
@@ -12,14 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geotally.llm.common import id_text, read
+from geotally.llm.common import id_text, read, saved
 from geotally.llm.crf import Chains, Model, forward_backward
 
-#: Labelled documents used to fit at most; a score from here on predicts label 1.
-SAMPLE, PREDICTS = 4000, 0.3
+#: Labelled documents and lines used to fit at most; a score from here on predicts label 1; texts and bytes scored at a time.
+SAMPLE, LINES, PREDICTS, TEXTS, BYTES = 4000, 400_000, 0.3, 2000, 16 << 20
 #: Values of a feature.
 VALUES = 8
 #: Byte classes: 0 other, 1 lower case letter or part of a longer character, 2 upper case, 3 digit, 4 white space, 5 symbol, 6 bar, 7 exclamation mark, 8 sentence punctuation.
@@ -77,7 +78,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             found = [line_features(v.as_buffer().to_pybytes())[0].tobytes() for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "quality", "x"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary").collect()  # of at most sample documents
+    found = saved(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary"))  # of at most sample documents
+    lines = F.sum(F.octet_length("x") / FEATURES).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")))
+    within = {r[0] for r in found.select(F.xxhash64("doc_id", "x").alias("k"), lines.alias("n")).where(F.col("n") <= LINES).select("k").collect()}
+    rows = [r for r in found.select("doc_id", "quality", "x", F.xxhash64("doc_id", "x").alias("k")).where(F.col("k").isin(list(within))).collect()] if within else []
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     model = Model(FEATURES, VALUES)
     if rows:
@@ -90,8 +94,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def batch_scores(texts: pa.Array, model: Model) -> np.ndarray:
     """Length-weighted mean marginal of the lines of each text; null counts as empty."""
     out = []
-    for at in range(0, len(texts), 2000):
-        found = [line_features(v.as_buffer().to_pybytes() if v.is_valid else b"") for v in texts.slice(at, 2000)]
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
+    at = 0
+    while at < len(texts):
+        most = int(np.searchsorted(size, (size[at - 1] if at else 0) + BYTES, side="right"))
+        n = max(1, min(TEXTS, most - at))
+        found = [line_features(v.as_buffer().to_pybytes() if v.is_valid else b"") for v in texts.slice(at, n)]
+        at += n
         x, weight = np.concatenate([f[0] for f in found]), np.maximum(1, np.concatenate([f[1] for f in found]))
         chains = Chains(np.array([len(f[0]) for f in found]))
         good, _, _ = forward_backward(model.score(x, chains), model.moves, chains)
@@ -115,7 +124,7 @@ def classified(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, held_out, score, predicted of every row.
 
     Null counts as the empty text, which gets the score of one empty line. Repeated rows get equal scores. A null doc_id
-    is never held out. An empty table gives none.
+    is never held out. Very long texts are scored whole, in the memory of one task. An empty table gives none.
     """
     docs = id_text(df, id_col, text_col)
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))

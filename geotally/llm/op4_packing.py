@@ -4,9 +4,9 @@ Documents of one length are interchangeable, so what has to be packed is the his
 ``capacity`` numbers, however large the corpus. The driver solves it. Around the largest length left it enumerates
 fillings of the remaining space, drops dominated ones (every part of one fits beside the others into a part of another),
 and applies a filling as often as the counts allow. A search over these choices is cut where the waste so far
-exceeds what the best solution known leaves to waste; that incumbent starts as best-fit decreasing. It ends at the
-waste bound (the total over capacity, rounded up) or after NODES choices; the limit bounds the time of the search, never
-what is packed. Executors then number the pieces of each length and read sequence and offset off the plan's ranges.
+exceeds what the best solution known leaves to waste; that incumbent starts as best-fit decreasing. It ends with a proof, at the
+bound of least() or when every choice was tried, or after NODES choices; the limit bounds the time of the search, never what is
+packed. Executors then number the pieces of each length and read sequence and offset off the plan's ranges.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from geotally.llm.common import id_text, read, saved
 from geotally.llm.op1_bpe import split_by, text_coder
 from geotally.llm.op9_token_counts import byte_symbols
 
-#: Choices the search makes, fillings tried for one space, and steps to find them.
-NODES, FILLINGS, STEPS = 400, 6, 2000
+#: Choices the search makes (its first descent takes about one a length), fillings tried for one space, steps to find them, and parts of
+#: fillings up to which dominance is settled by trying everything.
+NODES, FILLINGS, STEPS, PARTS = 8000, 6, 2000, 10
 Filling = tuple[tuple[int, int], ...]  # (length, times), longest first
 
 
@@ -86,41 +87,78 @@ def fillings(space: int, sizes: list[int], count: dict[int, int]) -> list[Fillin
 
 
 def dominates(a: Filling, b: Filling) -> bool:
-    """Whether b's parts fit, together, into a's parts (for fillings of a few parts; else told apart)."""
-    parts, rooms = [s for s, n in b for _ in range(min(n, 5))], [s for s, n in a for _ in range(min(n, 5))]
-    if len(parts) > 4 or len(rooms) > 4 or sum(n for _, n in b) > 4:
-        return a == b
+    """Whether b's parts fit, together, into a's parts. Of fillings with many parts only what filling one after another shows counts."""
+    parts, rooms = ([s for s, n in f for _ in range(n)] for f in (b, a))
+    if sum(parts) > sum(rooms) or (parts and (not rooms or parts[0] > rooms[0])):
+        return False
+    every = len(parts) <= PARTS and len(rooms) <= PARTS
 
     def fit(i: int) -> bool:
         if i == len(parts):
             return True
+        tried = set()
         for j, room in enumerate(rooms):
-            if parts[i] <= room:
+            if parts[i] <= room and room not in tried:
+                tried.add(room)
                 rooms[j] -= parts[i]
                 if fit(i + 1):
                     return True
+                if not every:
+                    return False
                 rooms[j] += parts[i]
         return False
 
-    return fit(0)
+    return len(parts) <= 900 and fit(0)
+
+
+def least(histogram: dict[int, int], capacity: int) -> int:
+    """A lower bound on the sequences: for each size, longer pieces that can't share one with a piece of that size or more have their own,
+    those over half a sequence too, and what of the rest doesn't fit beside these needs more."""
+    count = np.zeros(capacity + 1, np.int64)
+    for s, n in histogram.items():
+        count[s] = n
+    n, size = np.concatenate(([0], np.cumsum(count))), np.concatenate(([0], np.cumsum(count * np.arange(capacity + 1))))
+    at = np.arange(capacity // 2 + 1)  # pieces of at least this, of at most half
+    half, alone = capacity // 2 + 1, capacity - at + 1  # first sizes over half, and too long for a piece of this size
+    big, middle = n[-1] - n[alone], n[alone] - n[half]
+    room = middle * capacity - (size[alone] - size[half])
+    rest = size[half] - size[at]
+    return int((big + middle + np.maximum(0, -((room - rest) // capacity))).max(initial=0))
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
-    """Best-fit decreasing over a histogram: (filling of a whole sequence, times)."""
-    count = {s: n for s, n in histogram.items() if n}
-    sizes, out = sorted(count), []
-    while sizes:
-        left, taken = capacity, []
-        i = len(sizes) - 1
-        while i >= 0 and left:
-            size = sizes[i]
-            n = min(count[size], left // size)
-            if n:
-                taken.append((size, n))
-                left -= n * size
-            i = bisect_right(sizes, min(left, size - 1)) - 1
-        out.append(_apply(tuple(taken), sizes, count))
-    return out
+    """Best-fit decreasing: each piece, longest first, goes to the fullest sequence that takes it. Equal sequences are handled together."""
+    rooms: dict[int, dict[Filling, int]] = {}
+    order: list[int] = []  # what is left in open sequences
+
+    def put(left: int, filling: Filling, times: int) -> None:
+        if left not in rooms:
+            rooms[left] = {}
+            insort(order, left)
+        rooms[left][filling] = rooms[left].get(filling, 0) + times
+
+    for s in sorted((s for s, n in histogram.items() if n), reverse=True):
+        left_over = histogram[s]
+        while left_over:
+            i = bisect_left(order, s)
+            if i < len(order):
+                room = order[i]
+                filling, times = next(iter(rooms[room].items()))
+            else:
+                room, filling, times = capacity, (), left_over
+            k = room // s  # the sequence just filled is the fullest one as long as it takes more
+            used, each = (min(times, left_over // k), k) if left_over >= k else (1, left_over)
+            if i < len(order):
+                if used == times:
+                    del rooms[room][filling]
+                    if not rooms[room]:
+                        del rooms[room]
+                        order.pop(i)
+                else:
+                    rooms[room][filling] = times - used
+            put(room - each * s, (*filling, (s, each)), used)
+            left_over -= used * each
+    return [(f, n) for r in rooms.values() for f, n in r.items()]
 
 
 def _apply(filling: Filling, sizes: list[int], count: dict[int, int]) -> tuple[Filling, int]:
@@ -137,7 +175,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
     """Fillings and how often each is used; they hold exactly the histogram's pieces."""
     best = best_fit(histogram, capacity)
     most = sum(t for _, t in best)
-    bound = -(-sum(s * n for s, n in histogram.items()) // capacity)
+    bound = least(histogram, capacity)
     nodes = 0
 
     def search(sizes: list[int], count: dict[int, int], done: list, used: int, waste: int) -> bool:

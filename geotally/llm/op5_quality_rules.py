@@ -3,7 +3,7 @@
 Two multinomials over hashed byte n-grams: one of trusted documents, one of the whole corpus. A document's ratio is the
 mean over its n-grams of log p(trusted) - log p(raw), so length doesn't matter; every document is kept or not by a
 fixed threshold, never by chance. The corpus is counted whole: each task sums its own documents, and what it sends
-is at most one row a bucket. The trusted documents are named by id, at most TRUSTED of them (by hash of the id).
+is at most one row a bucket. So are all trusted documents, which are named by id.
 Simple counts of words, symbols, repeated lines and repeated word windows go before it.
 """
 
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from geotally.llm.common import id_text, read
 
-#: Buckets, bytes to an n-gram, trusted documents at most, the threshold of the mean log ratio.
-BUCKETS, GRAM, TRUSTED, THRESHOLD = 1 << 15, 4, 20_000, -0.5
+#: Buckets, bytes to an n-gram, the threshold of the mean log ratio.
+BUCKETS, GRAM, THRESHOLD = 1 << 15, 4, -0.5
 #: Words in a window, and the fewest words and most repeated words (per cent) of a document that passes.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 SYMBOLS, SPACES = b"#*$%&|<>", b"\t\n\x0b\x0c\r "
@@ -87,22 +87,22 @@ def base_counts(text: str, raw: bytes) -> tuple[int, int, int, int, int]:
 
 def log_ratios(df: DataFrame, trusted: DataFrame) -> np.ndarray:
     """log p(trusted) - log p(raw) of each bucket, add-one smoothed; zeros if no document is trusted. df: doc_id, text."""
-    chosen = frozenset(r[0] for r in trusted.select(F.col("doc_id").cast("long")).dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).collect())
-    shared = df.sparkSession.sparkContext.broadcast(chosen)  # at most TRUSTED numbers
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct().withColumn("known", F.lit(True))
+    flagged = df.join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("known", F.lit(False)).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = shared.value, np.zeros((2, BUCKETS), np.int64)
+        counts = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for value, known in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 for g in grams(value.as_buffer().to_pybytes()):
                     c = np.bincount(g, minlength=BUCKETS)
                     counts[0] += c
-                    if doc_id in known:
+                    if known:
                         counts[1] += c
         some = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0][some]), pa.array(counts[1][some])], ["bucket", "raw", "trusted"])
 
-    sums = df.mapInArrow(run, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
+    sums = flagged.mapInArrow(run, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
     counts = np.ones((2, BUCKETS))
     for r in sums.collect():  # at most BUCKETS rows
         counts[0, r[0]] += r[1]
@@ -117,7 +117,8 @@ def quality_rules(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOL
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_ratio of every row.
 
     trusted: rows with the doc_id of trusted documents (repeated and null ids don't matter; none: all ratios are 0).
-    Null and empty texts have no words and fail the base rules. An empty table gives none.
+    Null and empty texts have no words and fail the base rules. Very long texts are taken whole, STEP bytes of n-grams at a time.
+    Repeated rows each give theirs and count as often. An empty table gives none.
     """
     docs = id_text(df, id_col, text_col)
     shared = df.sparkSession.sparkContext.broadcast(log_ratios(docs, trusted))  # BUCKETS numbers

@@ -89,8 +89,9 @@ def test_cuckoo_index_against_a_dictionary():
                 plain[k] = (plain[k][0], plain[k][1] - 1)
                 if not plain[k][1]:
                     del plain[k]
-    assert index.rebuilds > 3 and {e[1]: tuple(e[2]) for e in index.items()} == plain and index.size == len(plain)
+    assert index.rebuilds > 3 and {e[0]: tuple(e[1]) for e in index.items()} == plain and index.size == len(plain)
     assert all((index.find(k) is not None) == (k in plain) for k in keys)
+    assert sum(map(len, index.filter)) == len(plain)  # a fingerprint a live key
 
 
 def test_exact_dedup(spark, docs):
@@ -105,9 +106,12 @@ def test_exact_dedup(spark, docs):
 
 def test_index_updates(spark):
     keys = lambda t: op2_exact_dedup.content_keys(frame(spark, t))
-    first = op2_exact_dedup.groups(keys(["a", "b", "b"]))
-    after = op2_exact_dedup.update(first, keys(["b", "c"]), keys(["a", "b"]))
-    assert sorted(r["rows"] for r in after.collect()) == [1, 2]
+    live = op2_exact_dedup.live_rows(keys(["a", "b", "b", "b"]))  # b: 1, 2, 3
+    gone = keys(["a", "x", "y", "b"])  # a: 0, b: 3, and two that aren't there
+    after = op2_exact_dedup.update(live, keys(["b", "c"]), gone)  # b: 0, c: 1 come
+    found = {(r["keep_id"], r["rows"]) for r in op2_exact_dedup.group_of(after).collect()}
+    assert found == {(2, 3), (1, 1)}  # the largest id of b is one that lives
+    assert op2_exact_dedup.update(after, keys([]), after.select("doc_id", "key")).count() == 0
 
 
 def test_classifier_learns_lines(spark):
@@ -191,6 +195,23 @@ def test_packing_plan_against_all_partitions(n):
         assert sum(t for _, t in plan) == fewest(sorted(sizes, reverse=True), [])
 
 
+def test_packing_parts():
+    fit = op4_packing.dominates
+    assert fit(((7, 1), (3, 1)), ((4, 1), (3, 2))) and not fit(((4, 1), (3, 2)), ((7, 1),)) and fit(((10, 3),), ((5, 6),)) and not fit(((5, 6),), ((10, 3),))
+    assert op4_packing.least({6: 5, 4: 1}, 10) == 5 and op4_packing.least({6: 3, 5: 3}, 10) == 5 and op4_packing.least({3: 4}, 10) == 2 and op4_packing.least({}, 10) == 0
+    r = random.Random(3)
+    for _ in range(30):
+        h = {r.randint(1, 100): r.randint(1, 40) for _ in range(30)}
+        bins = op4_packing.best_fit(h, 100)
+        plain: list[int] = []
+        for s in sorted((s for s, n in h.items() for _ in range(n)), reverse=True):  # each piece to the fullest sequence that takes it
+            rooms = [x for x in plain if x >= s]
+            if rooms:
+                plain.remove(min(rooms))
+            plain.append(min(rooms, default=100) - s)
+        assert sum(n for _, n in bins) == len(plain) and op4_packing.least(h, 100) <= sum(t for _, t in op4_packing.plan(h, 100)) <= len(plain)
+
+
 def test_quality_rules(spark, docs):
     trusted = spark.createDataFrame([(4,), (8,), (15,), (None,), (4,)], "doc_id long")
     got = rows(op5_quality_rules.quality_rules(docs, trusted))
@@ -207,6 +228,22 @@ def test_quality_rules(spark, docs):
         failed = want[0] < 20 or 100 * want[4] > 30 * want[0]
         assert got[i]["base_failed"] == failed and not (failed and got[i]["kept"])
     assert got[8]["kept"] and not got[16]["kept"]
+
+    def counts(some):
+        c = {}
+        for t in some:
+            b = (t or "").encode()
+            for k in range(len(b) - 3):
+                bucket = int.from_bytes(b[k : k + 4], "big") * 2654435761 % (1 << 32) >> 17
+                c[bucket] = c.get(bucket, 0) + 1
+        return c, sum(c.values()) + (1 << 15)
+
+    (raw, n_raw), (good, n_good) = counts(TEXTS), counts(TEXTS[i] for i in (4, 8, 15))
+    for i, t in enumerate(TEXTS):
+        b = (t or "").encode()
+        each = [int.from_bytes(b[k : k + 4], "big") * 2654435761 % (1 << 32) >> 17 for k in range(len(b) - 3)]
+        ratio = sum(np.log((good.get(g, 0) + 1) / n_good) - np.log((raw[g] + 1) / n_raw) for g in each) / max(1, len(each))
+        assert got[i]["log_ratio"] == pytest.approx(ratio, abs=1e-9) and got[i]["kept"] == (not got[i]["base_failed"] and ratio >= op5_quality_rules.THRESHOLD)
     assert all(r["log_ratio"] == 0 for r in op5_quality_rules.quality_rules(docs, trusted.limit(0)).collect())
     assert op5_quality_rules.quality_rules(empty(spark), trusted).count() == 0
 
