@@ -9,11 +9,13 @@ run of strings with one anchor. Three steps, each written down:
 2. Contexts of shared anchors go to the partition of their anchor. Of equal contexts in a batch one is sent, the
    smallest document's; the others are settled where they are. A partition sorts the suffixes of each shard of contexts
    into a Burrows-Wheeler transform and merges the shards' transforms by refining their interleaving symbol by symbol, which
-   sorts no suffix again. Where the refinement first parts neighbours is their common prefix; after SPAN steps the
-   intervals it has not parted are the repeated strings, and the smallest document of each interval decides.
+   sorts no suffix again. The step in which the refinement first parts neighbours is the length of their common prefix; runs of
+   neighbours with SPAN or more in common are the repeated strings, and the smallest document of each decides.
    Contexts of a listed anchor don't meet in one partition: each batch settles their strings among its own documents
    and sends what is left, the smallest document's, to the partition of the string.
 3. Documents take out what was found in them.
+
+There are as many partitions as the corpus has PART bytes, and each gets the anchors, documents or strings of one route.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ SIDE, ANYWHERE = (SPAN - GRAM) // 2, 255
 RUN, BLOCK, SHARDS = 64, 600_000, 6
 #: Contexts of an anchor that are merged in one task at most, and strings that are settled at a time where there are more.
 HOT, STRINGS = 10_000, 300_000
+#: Bytes of text to a partition.
+PART = 12 << 20
 #: Set in the key of a string that is sent by itself; anchors have 48 bits.
 ALONE = np.uint64(1 << 63)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -131,7 +135,12 @@ def announced(docs: DataFrame, routes: int) -> DataFrame:
     return docs.mapInArrow(run, "route int, known boolean, doc binary, anchor binary, contexts binary")
 
 
-def by_document(packed_rows: DataFrame, name: str) -> DataFrame:
+def in_routes(rows: DataFrame, routes: int) -> DataFrame:
+    """A partition a route; rows without one (-1) go anywhere."""
+    return rows.repartitionById(routes, F.pmod("route", F.lit(routes)).cast("int"))
+
+
+def by_document(packed_rows: DataFrame, name: str, routes: int) -> DataFrame:
     """Rows (route, doc, values), packed by routes of documents -> one row a document: (doc_id, values as binary under this name).
 
     Values without documents (route -1) stay in rows without doc_id."""
@@ -149,7 +158,7 @@ def by_document(packed_rows: DataFrame, name: str) -> DataFrame:
             starts = cut(doc[order])
             yield pa.RecordBatch.from_arrays([pa.array(doc[order][starts]), binaries(value[order], starts)], ["doc_id", name])
 
-    return packed_rows.repartition("route").mapInArrow(run, f"doc_id long, {name} binary")
+    return in_routes(packed_rows, routes).mapInArrow(run, f"doc_id long, {name} binary")
 
 
 def routed(doc: np.ndarray, value: np.ndarray, routes: int) -> pa.RecordBatch:
@@ -180,7 +189,7 @@ def shared_anchors(announcements: DataFrame, routes: int) -> DataFrame:
         if out:
             yield routed(*(np.concatenate(x) for x in zip(*out, strict=True)), routes)
 
-    return by_document(announcements.repartition("route").mapInArrow(run, "route int, doc binary, values binary"), "anchors")
+    return by_document(in_routes(announcements, routes).mapInArrow(run, "route int, doc binary, values binary"), "anchors", routes)
 
 
 def spans_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,14 +318,16 @@ class Transform:
 
 
 def merged(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the suffixes of all shards, one shard after another: place in the merged order, and the interval of that place
-    in which all suffixes share their first ``depth`` symbols. Refines the interleaving of the transforms symbol by symbol."""
+    """The merged order of the suffixes of all shards (counted one shard after another), and at each place the length of the common
+    prefix with the suffix before, up to depth. Refines the interleaving of the transforms symbol by symbol."""
     base = np.cumsum([0, *(s.before.size for s in shards)])
     before = np.concatenate([s.before for s in shards])
     step = np.concatenate([s.step + b for s, b in zip(shards, base, strict=False)]).astype(np.int32)
     ends = np.concatenate([b + np.arange(int((s.before == 0).sum())) for s, b in zip(shards, base, strict=False)])  # the empty suffixes come first
     order, interval = np.arange(before.size, dtype=np.int32), np.zeros(before.size, np.int32)  # the interleaving: each shard's suffixes stay in their order
-    for _ in range(depth):
+    common, parted = np.full(before.size, depth, np.uint8), 0
+    common[0] = 0
+    for length in range(depth):
         symbol = before[order]
         by = np.argsort(symbol, kind="stable")
         symbol, interval = symbol[by], interval[by]
@@ -325,9 +336,10 @@ def merged(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]
         order = step[order[by]]
         order[: ends.size], new[1 : ends.size] = ends, False
         interval = np.cumsum(new, dtype=np.int32) - 1
-    place, found = np.empty(before.size, np.int64), np.empty(before.size, np.int64)
-    place[order], found[order] = np.arange(before.size), interval
-    return place, found
+        if (now := int(interval[-1])) != parted:  # places that are parted stay where they are
+            common[new & (common == depth)] = length
+            parted = now
+    return order, common
 
 
 def repeated(texts: list[bytes], least: np.ndarray) -> list[np.ndarray]:
@@ -336,15 +348,17 @@ def repeated(texts: list[bytes], least: np.ndarray) -> list[np.ndarray]:
     width = int(lengths.max())
     rows = np.frombuffer(b"".join(t.ljust(width, b"\xff") for t in texts), np.uint8).reshape(-1, width) + np.uint8(1)  # UTF-8 has no byte 255
     shards = [Transform(rows[i::SHARDS], lengths[i::SHARDS]) for i in range(min(SHARDS, len(texts)))]
-    _, interval = merged(shards, SPAN)
+    order, common = merged(shards, SPAN)
+    interval = np.empty(order.size, np.int64)
+    interval[order] = np.cumsum(common < SPAN) - 1  # neighbours with SPAN symbols in common are in one
     row = np.concatenate([s.row * SHARDS + i for i, s in enumerate(shards)])
     at = np.concatenate([s.at for s in shards])
     string = at + SPAN <= lengths[row]
     row, at, interval = row[string], at[string], interval[string]
     smallest = np.full(int(interval.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(smallest, interval, least[row])
-    order = np.lexsort((at, row))
-    value = smallest[interval[order]]
+    in_order = np.lexsort((at, row))
+    value = smallest[interval[in_order]]
     return np.split(value, np.cumsum(lengths - SPAN + 1)[:-1])
 
 
@@ -435,18 +449,19 @@ def decided(sent: DataFrame, routes: int) -> DataFrame:
             doc, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
             yield routed(doc, (a * (1 << 20) + (b - a)).view(np.uint64), routes)
 
-    return by_document(sent.repartition("route").mapInArrow(run, "route int, doc binary, values binary"), "spans")
+    return by_document(in_routes(sent, routes).mapInArrow(run, "route int, doc binary, values binary"), "spans", routes)
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with keep_bytes the kept bytes as column kept.
 
-    Null and empty texts have nothing to remove, and texts under SPAN bytes neither. Rows that repeat a doc_id don't repeat each
+    Null and empty texts have nothing to remove, and texts under SPAN bytes neither. Very long texts are taken whole. Rows that repeat a doc_id don't repeat each
     other: only a smaller doc_id counts. A row without doc_id neither loses bytes nor makes others lose some. An empty table gives none.
     """
     spark = df.sparkSession
     docs = id_text(df, id_col, text_col)
-    routes = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    routes = max(8, -(-size // PART))
     wanted = saved(shared_anchors(announced(docs, routes), routes))
     listed = [np.frombuffer(r[0], np.uint64) for r in wanted.where("doc_id is null").select("anchors").collect()]  # at most one anchor in HOT contexts
     hot = np.concatenate([np.zeros(0, np.uint64), *listed])
