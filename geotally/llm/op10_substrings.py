@@ -33,7 +33,7 @@ from geotally.llm.common import id_text, read, saved
 SPAN, GRAM = 50, 16
 SIDE, ANYWHERE = (SPAN - GRAM) // 2, 255
 #: Strings in a context at most, suffixes merged at a time, shards they are dealt to.
-RUN, BLOCK, SHARDS = 64, 600_000, 6
+RUN, BLOCK, SHARDS = 64, 120_000, 6
 #: Contexts of an anchor that are merged in one task at most, and strings that are settled at a time where there are more.
 HOT, STRINGS = 10_000, 300_000
 #: Bytes of text to a partition.
@@ -325,9 +325,8 @@ def merged(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]
     step = np.concatenate([s.step + b for s, b in zip(shards, base, strict=False)]).astype(np.int32)
     ends = np.concatenate([b + np.arange(int((s.before == 0).sum())) for s, b in zip(shards, base, strict=False)])  # the empty suffixes come first
     order, interval = np.arange(before.size, dtype=np.int32), np.zeros(before.size, np.int32)  # the interleaving: each shard's suffixes stay in their order
-    common, parted = np.full(before.size, depth, np.uint8), 0
-    common[0] = 0
-    for length in range(depth):
+    common = np.zeros(before.size, np.uint8)
+    for _ in range(depth):
         symbol = before[order]
         by = np.argsort(symbol, kind="stable")
         symbol, interval = symbol[by], interval[by]
@@ -336,9 +335,7 @@ def merged(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]
         order = step[order[by]]
         order[: ends.size], new[1 : ends.size] = ends, False
         interval = np.cumsum(new, dtype=np.int32) - 1
-        if (now := int(interval[-1])) != parted:  # places that are parted stay where they are
-            common[new & (common == depth)] = length
-            parted = now
+        common += ~new  # places that are parted stay where they are
     return order, common
 
 
