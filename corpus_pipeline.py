@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geotally.llm import op2_exact_dedup, op3_quality_classifier, op4_packing, op7_secret_scans, op8_minhash
-from geotally.llm.common import read, saved
+from geotally.llm.common import passing, read, saved
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +48,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+        with passing(spark):  # a stage's own intermediate tables go when its result is written
+            docs = saved(stage(spark, docs, sf_dir), lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)
