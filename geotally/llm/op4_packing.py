@@ -30,7 +30,7 @@ from geotally.llm.op9_token_counts import byte_symbols
 
 #: Choices the search makes (its first descent takes about one a length), fillings tried for one space, steps to find them, and parts of
 #: fillings up to which dominance is settled by trying everything.
-NODES, FILLINGS, STEPS, PARTS = 8000, 6, 2000, 10
+NODES, FILLINGS, STEPS, PARTS = 4000, 6, 2000, 10
 Filling = tuple[tuple[int, int], ...]  # (length, times), longest first
 
 
@@ -174,52 +174,50 @@ def _apply(filling: Filling, sizes: list[int], count: dict[int, int]) -> tuple[F
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
     """Fillings and how often each is used; they hold exactly the histogram's pieces."""
     best = best_fit(histogram, capacity)
-    most = sum(t for _, t in best)
-    bound = least(histogram, capacity)
-    nodes = 0
-
-    def search(sizes: list[int], count: dict[int, int], done: list, used: int, waste: int) -> bool:
-        nonlocal best, most, nodes
-        while sizes:
-            largest = sizes[-1]
-            count[largest] -= 1
-            if not count[largest]:
-                sizes.pop()
-            options = fillings(capacity - largest, sizes, count) or [()]
-            if not count[largest]:
-                insort(sizes, largest)
-            count[largest] += 1
-            whole = [tuple(sorted((dict(f) | {largest: dict(f).get(largest, 0) + 1}).items(), reverse=True)) for f in options]
-            nodes += 1
-            if nodes < NODES:
-                for other in whole[1:]:
-                    room = capacity - sum(s * n for s, n in other)
-                    if waste + room > most * capacity - total - capacity:  # even one sequence fewer can't waste so much
-                        continue
-                    s2, c2 = list(sizes), dict(count)
-                    step = _apply(other, s2, c2)
-                    branches.append((s2, c2, [*done, step], used + step[1], waste + room * step[1]))
-            step = _apply(whole[0], sizes, count)
-            done, used = [*done, step] if len(done) < 3 else _push(done, step), used + step[1]
-            waste += step[1] * (capacity - sum(s * n for s, n in step[0]))
-            if used >= most or waste > most * capacity - total - capacity:
-                return False
-        if used < most:
-            best, most = done, used
-        return most <= bound
-
-    def _push(done: list, step) -> list:
-        done.append(step)
-        return done
-
+    most, bound, nodes = sum(t for _, t in best), least(histogram, capacity), 0
     total = sum(s * n for s, n in histogram.items())
-    branches: list[tuple] = []
-    count = {s: n for s, n in histogram.items() if n}
-    if most > bound and not search(sorted(count), count, [], 0, 0):
-        while branches and nodes < NODES and most > bound:
-            s, c, done, used, waste = branches.pop()
-            if search(s, c, done, used, waste):
+    # choices still open: (what was done before, as a chain of (before, filling, times), and the filling to use next); so a choice takes no copy of the counts
+    open_: list[tuple] = [(None, None)]
+
+    def steps(done) -> list[tuple[Filling, int]]:
+        out = []
+        while done is not None:
+            done, filling, times = done
+            out.append((filling, times))
+        return out[::-1]
+
+    while open_ and nodes < NODES and most > bound:
+        done, following = open_.pop()
+        before, count = steps(done), {s: n for s, n in histogram.items() if n}
+        for filling, times in before:
+            for s, n in filling:
+                count[s] -= times * n
+        count = {s: n for s, n in count.items() if n}
+        sizes, used = sorted(count), sum(t for _, t in before)
+        waste = sum(t * (capacity - sum(s * n for s, n in f)) for f, t in before)
+        while sizes:
+            if following is None:
+                largest = sizes[-1]
+                count[largest] -= 1
+                if not count[largest]:
+                    sizes.pop()
+                options = fillings(capacity - largest, sizes, count) or [()]
+                if not count[largest]:
+                    insort(sizes, largest)
+                count[largest] += 1
+                whole = [tuple(sorted((dict(f) | {largest: dict(f).get(largest, 0) + 1}).items(), reverse=True)) for f in options]
+                nodes += 1
+                # even one sequence fewer than the best can't waste more than this
+                open_ += [(done, f) for f in whole[:0:-1] if waste + capacity - sum(s * n for s, n in f) <= (most - 1) * capacity - total]
+                following = whole[0]
+            filling, times = _apply(following, sizes, count)
+            done, following = (done, filling, times), None
+            used, waste = used + times, waste + times * (capacity - sum(s * n for s, n in filling))
+            if used >= most or waste > (most - 1) * capacity - total:
                 break
+        else:
+            if used < most:
+                best, most = steps(done), used
     return best
 
 
