@@ -51,11 +51,6 @@ def with_rank(df: DataFrame, value: str, out: str, keys: list[str] = (), n: str
     return _on(df, table.select(*keys, value, F.col("__rank").alias(out), *([F.col("__all").alias(n)] if n else [])), [*keys, value])
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Rank of a non-NULL value within its group; ties share their mean rank."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2.0
-
-
 def city_percentiles(df: DataFrame, rare: DataFrame, value: str, city: str) -> DataFrame:
     """(city, value, __p): percentile among all values of the city of each distinct value in rare, which is a bounded table.
 
@@ -77,23 +72,23 @@ def group_scores_with_fallback(df: DataFrame, value: str, cls: str, city: str =
 
     z: 0 for a whole group without spread. Percentile: the average rank in per cent of the group's values.
     """
-    v, keys = F.col(value), [city, cls]
-    w, part = Window.partitionBy(*keys), [*keys, v.isNotNull()]
-    present = F.when(v.isNotNull(), average_rank(value, part) * 100.0 / F.count(v).over(w))
-    out = df.select("*", F.count(F.lit(1)).over(w).alias("__n"), zscore(v, F.avg(v).over(w), F.stddev_samp(v).over(w)).alias("__z1"), present.alias("__p1"))
-    small = out.where(F.col("__n") < least)  # at most least rows a class and city
+    v, keys, few = F.col(value), [city, cls], F.col("__g") < least
+    groups = df.groupBy(*keys).agg(F.count("*").alias("__g"), F.avg(value).alias("__m1"), F.stddev_samp(value).alias("__s1"))
+    ranked = _on(rank_table(df, value, keys).withColumn("__p1", F.col("__rank") * 100.0 / F.col("__all")), groups, keys)
+    fallback = city_percentiles(df, ranked.where(few).select(city, value), value, city)  # under least rows a class and city
+    scores = _on(ranked, fallback, [city, value]).select(*keys, value, F.when(few, F.col("__p")).otherwise(F.col("__p1")).alias("__percentile"))
     moments = df.groupBy(city).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
-    out = _on(_on(out, moments, [city]), city_percentiles(df, small.select(city, value), value, city), [city, value])
-    few = F.col("__n") < least
-    return out.select(*df.columns, F.when(few, zscore(v, F.col("__m"), F.col("__s"))).otherwise(F.col("__z1")).alias(f"{value}_zscore"), F.when(few, F.col("__p")).otherwise(F.col("__p1")).alias(f"{value}_percentile"))
+    out = _on(_on(_on(df, scores, [*keys, value]), groups, keys), moments, [city])
+    z = F.when(few, zscore(v, F.col("__m"), F.col("__s"))).otherwise(zscore(v, F.col("__m1"), F.col("__s1")))
+    return out.select(*df.columns, z.alias(f"{value}_zscore"), F.col("__percentile").alias(f"{value}_percentile"))
 
 
 def group_scores(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """zscore (ddof 1) and pct_rank (average rank / n * 100) per group, NULL values left out."""
     d = df.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*keys)
-    v = F.col(value)
-    return d.withColumns({"zscore": zscore(v, F.avg(v).over(w), F.stddev_samp(v).over(w)), "pct_rank": average_rank(value, keys) * 100.0 / F.count(F.lit(1)).over(w)})
+    by = d.groupBy(*keys).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
+    out = _on(with_rank(d, value, "__r", keys, "__of"), by, keys)
+    return out.select(*df.columns, zscore(F.col(value), F.col("__m"), F.col("__s")).alias("zscore"), (F.col("__r") * 100.0 / F.col("__of")).alias("pct_rank"))
 
 
 def eta_squared(df: DataFrame, value: str, cls: str, least: int = 2) -> DataFrame:
@@ -150,9 +145,9 @@ def spearman(df: DataFrame, a: str, b: str, keys: list[str] = ()) -> DataFrame:
 
 def base_correlations(long: DataFrame, bases: list[str], entity: str = "id", month: str = "month", base: str = "base", value: str = "v") -> DataFrame:
     """(a, b, r) between bases: each (base, month) column standardised (ddof 0), a base's months stacked."""
-    w = Window.partitionBy(base, month)
-    sd = F.stddev_pop(value).over(w)
-    z = long.withColumn("z", F.when(sd > 0, (F.col(value) - F.avg(value).over(w)) / sd).otherwise(F.when(F.col(value).isNotNull(), 0.0)))
+    by = long.groupBy(base, month).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
+    v = F.col(value)
+    z = _on(long, by, [base, month]).withColumn("z", F.when(F.col("__s") > 0, (v - F.col("__m")) / F.col("__s")).otherwise(F.when(v.isNotNull(), 0.0)))
     wide = z.groupBy(entity, month).pivot(base, bases).agg(F.first("z"))
     return correlations(wide, bases)
 
