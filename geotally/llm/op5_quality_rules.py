@@ -25,6 +25,8 @@ BUCKETS, GRAM, THRESHOLD = 1 << 15, 4, -0.5
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 SYMBOLS, SPACES = b"#*$%&|<>", b"\t\n\x0b\x0c\r "
 STEP = 1 << 22
+#: Ids of trusted documents that are broadcast at most (16 bytes each and their table); more are joined by a shuffle.
+HELD_IDS = 1_000_000
 
 
 class WordHashes(dict):
@@ -85,9 +87,16 @@ def base_counts(text: str, raw: bytes) -> tuple[int, int, int, int, int]:
     return n, len(text) - spaces, symbols, len(lines) - len(set(lines)), repeated
 
 
-def log_ratios(df: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """log p(trusted) - log p(raw) of each bucket, add-one smoothed; zeros if no document is trusted. df: doc_id, text."""
+def log_ratios(df: DataFrame, trusted: DataFrame, held_ids: int = HELD_IDS) -> np.ndarray:
+    """log p(trusted) - log p(raw) of each bucket, add-one smoothed; zeros if no document is trusted. df: doc_id, text.
+
+    Up to held_ids trusted ids go to the texts; only beyond that are the texts shuffled to the ids. The result is the same.
+    """
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct().withColumn("known", F.lit(True))
+    if ids.count() <= held_ids:
+        ids = F.broadcast(ids)
+    else:
+        ids = ids.hint("merge")
     flagged = df.join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("known", F.lit(False)).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

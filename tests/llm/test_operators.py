@@ -245,6 +245,9 @@ def test_quality_rules(spark, docs):
         ratio = sum(np.log((good.get(g, 0) + 1) / n_good) - np.log((raw[g] + 1) / n_raw) for g in each) / max(1, len(each))
         assert got[i]["log_ratio"] == pytest.approx(ratio, abs=1e-9) and got[i]["kept"] == (not got[i]["base_failed"] and ratio >= op5_quality_rules.THRESHOLD)
     assert all(r["log_ratio"] == 0 for r in op5_quality_rules.quality_rules(docs, trusted.limit(0)).collect())
+    given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    few, many = (op5_quality_rules.log_ratios(given, trusted, held) for held in (op5_quality_rules.HELD_IDS, 0))
+    assert (few == many).all() and few.any()
     assert op5_quality_rules.quality_rules(empty(spark), trusted).count() == 0
 
 
