@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,3 +16,11 @@ def shared_folder(spark: SparkSession) -> str:
         top = "file://" + tempfile.mkdtemp(prefix="geotally-")
         spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the session's shared folder: later steps start there."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

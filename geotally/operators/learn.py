@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geotally.operators import evaluate, prep, splits
+from geotally.operators import boost, evaluate, prep, splits
 
 
 def scale_table(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
@@ -183,3 +183,19 @@ def learning_curve(source_model: PipelineModel, pool: DataFrame, test: DataFrame
             p = p.select(F.lit(f).alias("fraction"), F.lit(name).alias("model"), "*")
             out = p if out is None else out.unionByName(p)
     return out
+
+
+def boosted_learning_curve(source: boost.Boosted, pool: DataFrame, test: DataFrame, fractions: list[float], rounds: int, cls: str = "label", key: str = "id", seed: int = 42, **params) -> DataFrame:
+    """(fraction, model, key, y_true, y_pred) on one fixed test set: of the source model with rounds added on each subset of the pool, of models fitted on the subset alone, and of the source model itself (fraction 0)."""
+    nested = splits.stratified_fractions(pool, cls, fractions, key, seed)
+
+    def judged(model: boost.Boosted, fraction: float, name: str) -> DataFrame:
+        return boost.classified(test, model, "y_pred").select(F.lit(fraction).alias("fraction"), F.lit(name).alias("model"), key, F.col(cls).cast("int").alias("y_true"), "y_pred")
+
+    out = judged(source, 0.0, "source")
+    for f in fractions:
+        part = balanced_weights(nested.where(F.col("min_fraction") <= f).drop("min_fraction", "weight"), cls)
+        tuned = boost.fit(part, source.features, source.classes, cls, "weight", rounds, start=source, **params)
+        scratch = boost.fit(part, source.features, source.classes, cls, "weight", rounds, **params)
+        out = out.unionByName(judged(tuned, f, "finetuned")).unionByName(judged(scratch, f, "scratch"))
+    return out

@@ -8,15 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geotally.functions.folders import shared_folder
-
-
-def _saved(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+from geotally.functions.folders import checkpointed
 
 
 def cells(size: float, x: str = "x", y: str = "y") -> tuple[Column, Column]:
@@ -143,11 +135,11 @@ def nearest_other_class_distance(df: DataFrame, cls: str, key: str = "id", start
     open_, found = d.where("__c is not null"), []
     while True:
         near = around(open_, r).alias("a").join(in_cells(sites, r).alias("b"), ["__cx", "__cy"]).where(~F.col("a.__c").eqNullSafe(F.col("b.__c")) & (distance() <= r))
-        best = _saved(near.groupBy(F.col(f"a.{key}").alias(key)).agg(F.min(distance()).alias("distance")))
+        best = checkpointed(near.groupBy(F.col(f"a.{key}").alias(key)).agg(F.min(distance()).alias("distance")))
         found.append(best)
         if r >= limit:
             break
-        open_ = _saved(open_.join(best, key, "left_anti"))
+        open_ = checkpointed(open_.join(best, key, "left_anti"))
         if open_.isEmpty():
             break
         r = min(limit, r * 2)
@@ -214,11 +206,11 @@ def morans_i_pvalue(df: DataFrame, feature: str, lag: float, permutations: int =
 
     d = df.where(F.col(feature).isNotNull()).select(key, "x", "y", F.col(feature).alias("v"))
     a, b = around(d, lag).alias("a"), in_cells(d, lag).alias("b")
-    near = _saved(a.join(b, ["__cx", "__cy"]).where((F.col(f"a.{key}") != F.col(f"b.{key}")) & (distance() <= lag)).select(F.col(f"a.{key}").alias("i"), F.col(f"b.{key}").alias("j")))
+    near = checkpointed(a.join(b, ["__cx", "__cy"]).where((F.col(f"a.{key}") != F.col(f"b.{key}")) & (distance() <= lag)).select(F.col(f"a.{key}").alias("i"), F.col(f"b.{key}").alias("j")))
     if near.isEmpty():
         return {"morans_i": None, "pvalue": None, "permutations": permutations}
     m = d.agg(F.avg("v")).first()[0]
-    place = _saved(with_rank(d.withColumn("h", F.col(key).cast("double")), "h", "r").select(key, F.col("r").cast("long").alias("r"), (F.col("v") - m).alias("z")))
+    place = checkpointed(with_rank(d.withColumn("h", F.col(key).cast("double")), "h", "r").select(key, F.col("r").cast("long").alias("r"), (F.col("v") - m).alias("z")))
 
     def values(z: DataFrame) -> list[float]:
         """I of each k of (k, key, z), in one job."""

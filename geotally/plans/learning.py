@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geotally.operators import evaluate, learn, splits
+from geotally.operators import boost, evaluate, learn, splits
 from geotally.plans.bindings import FEATURES, PTS, R, points, rounded
 from geotally.plans.registry import query
 
@@ -106,3 +106,28 @@ def ml12_learning_curve(spark, d):
     t = p.where("city = 'target'")
     curve = learn.learning_curve(source, t.where("id % 10 <> 0"), t.where("id % 10 = 0"), SOME, 10, [0.5, 1.0], **SMALL)
     return evaluate.metrics(curve, ["fraction", "model"])
+
+
+def source_model(p, rounds=2):
+    return boost.fit(p.where("city = 'source'"), SOME, 10, weight="weight", rounds=rounds, depth=2)
+
+
+@query()
+def ml6_softmax_boosted(spark, d):
+    p = labelled(spark, d)
+    return boost.classified(p.where("city = 'target'"), source_model(p), "y_pred").select("id", F.col("label").cast("int").alias("y_true"), "y_pred")
+
+
+@query()
+def ml6_finetuned(spark, d):
+    p = labelled(spark, d)
+    tuned = boost.fit(p.where("city = 'target' and id % 10 <> 0"), SOME, 10, weight="weight", rounds=2, depth=2, start=source_model(p))
+    return boost.classified(p.where("city = 'target'"), tuned, "y_pred").select("id", F.col("label").cast("int").alias("y_true"), "y_pred")
+
+
+@query()
+def ml12_boosted_learning_curve(spark, d):
+    p = labelled(spark, d)
+    t = p.where("city = 'target'")
+    curve = learn.boosted_learning_curve(source_model(p), t.where("id % 10 <> 0"), t.where("id % 10 = 0"), [0.5, 1.0], 1, depth=2)
+    return rounded(evaluate.metrics(curve, ["fraction", "model"]))
