@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geotally.functions.folders import checkpointed
+from geotally.operators import quadtree
 
 
 def cells(size: float, x: str = "x", y: str = "y") -> tuple[Column, Column]:
@@ -120,38 +121,72 @@ def grid_counts(df: DataFrame, sizes: list[float], least_blocks: int = 30, city:
     return cell.groupBy(city, "size").agg(F.count("*").alias("n_blocks"), F.avg("n").alias("mean_per_block"), (F.count("*") >= least_blocks).alias("feasible"))
 
 
-def nearest_other_class_distance(df: DataFrame, cls: str, key: str = "id", start: float | None = None, max_radius: float | None = None) -> DataFrame:
+#: Points of a leaf in searches; points of a grid cell from which on a radius is searched by the tree instead of by the grid's cells.
+LEAF, CROWD = 64, 512
+
+
+def _classed(df: DataFrame, cls: str) -> Column:
+    """The class as text; rows without one make up a class of their own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(cls).cast("string")), F.lit(""))
+
+
+def nearest_other_class_distance(df: DataFrame, cls: str, key: str = "id", max_radius: float | None = None) -> DataFrame:
     """df with distance: exact to the nearest row of another class; inf if there is none (or none within max_radius); NULL without class or place.
 
-    Rows without class count as neighbours of another class. A neighbour nearer than r is in the nine cells of size r; rows
-    without one go to the next round with twice r. Coincident rows of one class collapse on the neighbours' side.
+    Rows without class count as neighbours of another class. Rows of one class and place are searched for once, in a quadtree of the places.
+    """
+    d = df.select(_classed(df, cls).alias("c"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null")
+    kinds = checkpointed(d.distinct().withColumn("q", F.monotonically_increasing_id()))
+    places = kinds.groupBy("x", "y").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    tree = quadtree.build(places, LEAF, {"lo": (F.min("lo"), F.min("lo")), "hi": (F.max("hi"), F.max("hi"))})
+    queries = kinds.where("c <> ''").join(tree.points.select("x", "y", "__g", "leaf"), ["x", "y"])
+    sites = tree.points.select("__g", "leaf", "x", "y", F.lit(0).cast("long").alias("q"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("c"))
+    found = quadtree.nearest(queries, tree, sites, 1, "q", other_class=True, limit=max_radius).select("q", "distance")
+    known = kinds.join(found, "q").select(F.col("c").alias("__c"), F.col("x").alias("__x"), F.col("y").alias("__y"), "distance")
+    has = F.col(cls).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()
+    joined = df.join(known, (_classed(df, cls) == F.col("__c")) & (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y")), "left")
+    return joined.withColumn("distance", F.when(has, F.coalesce("distance", F.lit(math.inf)))).drop("__c", "__x", "__y")
+
+
+def k_nearest(df: DataFrame, k: int, key: str = "id", cls: str | None = None) -> DataFrame:
+    """(key, rank, site, site_c, distance): the k nearest rows of each row with a place, itself included; equal distances by key. Keys are unique.
+
+    Of rows at one place only the k with the least keys can be among anybody's nearest; the others aren't searched for.
+    """
+    c = _classed(df, cls) if cls else F.lit("")
+    d = df.select(key, c.alias("c"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null")
+    first = d.withColumn("__k", F.row_number().over(Window.partitionBy("x", "y").orderBy(key))).where(F.col("__k") <= k).drop("__k")
+    tree = quadtree.build(first, max(LEAF, 2 * k))
+    queries = d.join(tree.points.select("x", "y", "__g", "leaf").distinct(), ["x", "y"])
+    return quadtree.nearest(queries, tree, tree.points, k, key)
+
+
+def nearest_other_class_knn(df: DataFrame, cls: str, k: int = 50, key: str = "id") -> DataFrame:
+    """df with distance to the first row of another class among the k nearest besides the row itself (k + 1 with it).
+
+    inf in two cases: all of them have its class, or the very first of the k + 1 is of another class, which is a row at the same place with
+    a smaller key. NULL without class or place.
     """
-    d = df.select(key, F.col(cls).alias("__c"), "x", "y").where("x is not null and y is not null")
-    sites = d.select("__c", "x", "y").distinct()
-    box = d.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"), F.count("*").alias("n")).first()
-    extent = math.hypot((box["b"] or 0) - (box["a"] or 0), (box["d"] or 0) - (box["c"] or 0))
-    limit = max_radius or max(extent, 1e-9) * 1.000001
-    r = min(limit, start or max(limit / math.sqrt(box["n"] + 1), limit / 1e6))
-    open_, found = d.where("__c is not null"), []
-    while True:
-        near = around(open_, r).alias("a").join(in_cells(sites, r).alias("b"), ["__cx", "__cy"]).where(~F.col("a.__c").eqNullSafe(F.col("b.__c")) & (distance() <= r))
-        best = checkpointed(near.groupBy(F.col(f"a.{key}").alias(key)).agg(F.min(distance()).alias("distance")))
-        found.append(best)
-        if r >= limit:
-            break
-        open_ = checkpointed(open_.join(best, key, "left_anti"))
-        if open_.isEmpty():
-            break
-        r = min(limit, r * 2)
-    known = reduce(DataFrame.unionByName, found)
+    near = k_nearest(df, k + 1, key, cls).select(F.col(key).alias("__key"), "rank", "site_c", F.col("distance").alias("__d"))
+    both = df.join(near, df[key] == F.col("__key")).where(F.col("site_c") != _classed(df, cls))
+    first = both.groupBy(F.col("__key")).agg(F.min(F.struct("rank", "__d")).alias("__first"))
     has = F.col(cls).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()
-    return df.join(known, key, "left").withColumn("distance", F.when(has, F.coalesce("distance", F.lit(math.inf))))
+    found = F.when(F.col("__first.rank") > 1, F.col("__first.__d"))
+    return df.join(first, df[key] == F.col("__key"), "left").withColumn("distance", F.when(has, F.coalesce(found, F.lit(math.inf)))).drop("__key", "__first")
+
+
+def crowded(df: DataFrame, size: float, *keys: str) -> bool:
+    """Whether a cell of this size holds over CROWD points (of one combination of keys): then its points aren't compared by the grid's cells."""
+    cx, cy = cells(size)
+    return not df.groupBy(*keys, cx.alias("__cx"), cy.alias("__cy")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).isEmpty()
 
 
 def proximity_filter(df: DataFrame, threshold: float, cls: str, key: str = "id") -> DataFrame:
     """Rows with class and place and no row of another class strictly nearer than the threshold."""
     d = df.where(F.col(cls).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
     sites = df.select(F.col(cls).alias("__c"), "x", "y").where("x is not null and y is not null").distinct()
+    if crowded(sites, threshold):
+        return nearest_other_class_distance(df, cls, key, max_radius=threshold).where(F.col("distance") >= threshold).select(*df.columns)
     a = around(d.select(key, F.col(cls).alias("__c"), "x", "y"), threshold).alias("a")
     close = a.join(in_cells(sites, threshold).alias("b"), ["__cx", "__cy"]).where(~F.col("a.__c").eqNullSafe(F.col("b.__c")) & (distance() < threshold)).select(F.col(f"a.{key}").alias(key)).distinct()
     return d.join(close, key, "left_anti")
@@ -182,17 +217,34 @@ def distance_distribution(distances: DataFrame, city: str = "city") -> DataFrame
     return by.select(city, "n", "mean", "std", "min", "max", *(F.col("__q")[i].alias(k) for i, k in enumerate(qs)))
 
 
-def morans_i(df: DataFrame, features: list[str], lags: list[float], key: str = "id", city: str = "city") -> DataFrame:
-    """(city, feature, lag, morans_i): binary distance bands, row-standardised; rows without neighbour count 0. One pair scan for all lags and features."""
-    mean = df.groupBy(F.col(city).alias("__city")).agg(*(F.avg(f).alias(f"__m_{f}") for f in features))
-    z = df.join(mean, df[city] == mean["__city"]).select(key, city, "x", "y", *((F.col(f) - F.col(f"__m_{f}")).alias(f) for f in features))
+def _of_neighbours(z: DataFrame, features: list[str], lags: list[float], key: str, city: str) -> DataFrame:
+    """(key, n0.., s0_feature..): of each row, the other rows of its city within each lag and the sums of their values."""
     size = max(lags)
+    names = [(i, f) for i in range(len(lags)) for f in features]
+    if crowded(z, size, city):
+        placed = z.where("x is not null and y is not null").select(key, F.col(city), "x", "y", *(F.coalesce(F.col(f), F.lit(0.0)).alias(f"v{j}") for j, f in enumerate(features)))
+        values = [f"v{j}" for j in range(len(features))]
+        tree = quadtree.build(placed, LEAF, {v: (F.sum(v), F.sum(v)) for v in values}, city)
+        near = quadtree.within(tree, lags, values, key).join(placed.select(key, *(F.col(v).alias(f"own_{v}") for v in values)), key)
+        mine = [F.when(F.col("lag") == float(lag), F.col("n") - 1) for lag in lags]
+        sums = [F.coalesce(F.max(n), F.lit(0)).alias(f"n{i}") for i, n in enumerate(mine)]
+        sums += [F.max(F.when(F.col("lag") == float(lags[i]), F.col(f"v{features.index(f)}") - F.col(f"own_v{features.index(f)}"))).alias(f"s{i}_{f}") for i, f in names]
+        return near.groupBy(key).agg(*sums)
     a, b = around(z.select(key, city, "x", "y"), size).alias("a"), in_cells(z, size).alias("b")
     near = a.join(b, [city, "__cx", "__cy"]).where((F.col(f"a.{key}") != F.col(f"b.{key}")) & (distance() <= size))
     sums = [F.count_if(distance() <= lag).alias(f"n{i}") for i, lag in enumerate(lags)]
-    sums += [F.sum(F.when(distance() <= lag, F.col(f"b.{f}"))).alias(f"s{i}_{f}") for i, lag in enumerate(lags) for f in features]
-    around_each = near.groupBy(F.col(f"a.{key}").alias(key)).agg(*sums)
-    joined = z.join(around_each, key, "left")
+    sums += [F.sum(F.when(distance() <= lags[i], F.col(f"b.{f}"))).alias(f"s{i}_{f}") for i, f in names]
+    return near.groupBy(F.col(f"a.{key}").alias(key)).agg(*sums)
+
+
+def morans_i(df: DataFrame, features: list[str], lags: list[float], key: str = "id", city: str = "city") -> DataFrame:
+    """(city, feature, lag, morans_i): binary distance bands, row-standardised; rows without neighbour count 0. One search for all lags and features.
+
+    Where a cell of the largest lag is crowded, cells that lie within a lag as a whole count by number and sum; only the others' points are compared.
+    """
+    mean = df.groupBy(F.col(city).alias("__city")).agg(*(F.avg(f).alias(f"__m_{f}") for f in features))
+    z = df.join(mean, df[city] == mean["__city"]).select(key, city, "x", "y", *((F.col(f) - F.col(f"__m_{f}")).alias(f) for f in features))
+    joined = z.join(_of_neighbours(z, features, lags, key, city), key, "left")
     out = [F.sum(F.when(F.col(f"n{i}") > 0, F.col(f) * F.col(f"s{i}_{f}") / F.col(f"n{i}"))).alias(f"w{i}_{f}") for i in range(len(lags)) for f in features]
     out += [F.count_if(F.col(f"n{i}") > 0).alias(f"k{i}") for i in range(len(lags))] + [F.sum(F.col(f) * F.col(f)).alias(f"q_{f}") for f in features]
     by = joined.groupBy(city).agg(F.count("*").alias("n"), *out)
@@ -242,6 +294,9 @@ def block_size_recommendation(decay: DataFrame) -> DataFrame:
 
 def split_boundary_rows(df: DataFrame, split: str, a: str, b: str, buffer: float = 250.0) -> DataFrame:
     """Rows of two splits within buffer of a row of the other."""
+    both = df.where(F.col(split).isin(a, b))
+    if crowded(both.select(split, "x", "y").distinct(), buffer):
+        return nearest_other_class_distance(both, split, max_radius=buffer).where(F.col("distance") <= buffer).select(*df.columns)
     out = None
     for x, y in ((a, b), (b, a)):
         left, right = around(df.where(F.col(split) == x), buffer), in_cells(df.where(F.col(split) == y).select("x", "y").distinct(), buffer)
@@ -264,8 +319,12 @@ def post_split_independence(df: DataFrame, split: str, feature: str, lag: float,
 def ripley_k(df: DataFrame, distances: list[float], area: float, key: str = "id") -> DataFrame:
     """(distance, k, expected): area * ordered pairs within the distance / (n (n - 1)), against pi d^2."""
     size = max(distances)
-    a, b = around(df.select(key, "x", "y"), size).alias("a"), in_cells(df.select(key, "x", "y"), size).alias("b")
-    near = a.join(b, ["__cx", "__cy"]).where(F.col(f"a.{key}") != F.col(f"b.{key}")).agg(*(F.count_if(distance() <= d).alias(f"n{i}") for i, d in enumerate(distances)))
+    if crowded(df, size):
+        tree = quadtree.build(df.select(key, "x", "y").where("x is not null and y is not null"), LEAF)
+        near = quadtree.within(tree, distances, [], key).agg(*(F.coalesce(F.sum(F.when(F.col("lag") == float(d), F.col("n") - 1)), F.lit(0)).alias(f"n{i}") for i, d in enumerate(distances)))
+    else:
+        a, b = around(df.select(key, "x", "y"), size).alias("a"), in_cells(df.select(key, "x", "y"), size).alias("b")
+        near = a.join(b, ["__cx", "__cy"]).where(F.col(f"a.{key}") != F.col(f"b.{key}")).agg(*(F.count_if(distance() <= d).alias(f"n{i}") for i, d in enumerate(distances)))
     both = near.join(F.broadcast(df.agg(F.count("*").alias("n"))))  # one row
     return both.select(F.inline(F.array(*(F.struct(F.lit(float(d)).alias("distance"), (area * F.col(f"n{i}") / (F.col("n") * (F.col("n") - 1))).alias("k"), F.lit(math.pi * d * d).alias("expected")) for i, d in enumerate(distances)))))
 

@@ -67,6 +67,16 @@ def sp8_nearest_other_class_bounded(spark, d):
     return rounded(spatial.nearest_other_class_distance(points(spark, d), "cls", max_radius=20.0).select("id", "distance"))
 
 
+@query(f"WITH {PTS}, k AS (SELECT a.id, a.cls, b.cls AS other, {DIST} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS rank FROM pts a, pts b), f AS (SELECT id, min(rank) FILTER (WHERE cls <> other) AS first FROM k WHERE rank <= 4 GROUP BY id) SELECT id, {R("coalesce((SELECT d FROM k WHERE k.id = f.id AND k.rank = f.first AND f.first > 1), 'infinity'::DOUBLE)")} AS distance FROM f")
+def sp8_nearest_other_class_knn(spark, d):
+    return rounded(spatial.nearest_other_class_knn(points(spark, d), "cls", 3).select("id", "distance"))
+
+
+@query(f"WITH {PTS}, k AS (SELECT a.id, b.id AS site, {DIST} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS rank FROM pts a, pts b) SELECT id, CAST(rank AS INTEGER) AS rank, site, {R('d')} AS distance FROM k WHERE rank <= 51")
+def sp8_k_nearest(spark, d):
+    return rounded(spatial.k_nearest(points(spark, d), 51).select("id", "rank", "site", "distance"))
+
+
 @query(f"WITH {PTS}, {NEAR} SELECT id, cls FROM nd WHERE distance >= 5")
 def sp9_proximity_filter(spark, d):
     return spatial.proximity_filter(points(spark, d), 5.0, "cls").select("id", "cls")
