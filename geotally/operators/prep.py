@@ -80,7 +80,8 @@ def select_features(df: DataFrame, features: list[str], metadata: list[str] | No
 
 
 def height_strategy(df: DataFrame, strategy: str) -> DataFrame:
-    keep = {"no_chm": (), "zscore_only": HEIGHT[1:2], "percentile_only": HEIGHT[2:], "both_engineered": HEIGHT[1:], "raw": HEIGHT[:1]}
+    """df without the height features that the strategy leaves out."""
+    keep = {"no_chm": (), "zscore_only": HEIGHT[1:2], "percentile_only": HEIGHT[2:], "both_engineered": HEIGHT[1:], "raw_chm": HEIGHT[:1]}
     if strategy not in keep:
         raise ValueError(f"unknown height strategy {strategy}")
     return df.drop(*(c for c in HEIGHT if c not in keep[strategy]))

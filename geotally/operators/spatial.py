@@ -47,15 +47,34 @@ def utm_from_lonlat(lon: Column, lat: Column, central: float = 15.0) -> tuple[Co
     return 500000.0 + 0.9996 * radius * east, 0.9996 * radius * north
 
 
-def reproject(df: DataFrame, crs: str | None, lon: str = "x", lat: str = "y") -> DataFrame:
-    """x and y in metres (zone of 15 degrees east). Already projected tables stay; a missing reference system is an error."""
+def lonlat_from_utm(x: Column, y: Column, central: float = 15.0) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees of an easting and northing: the inverse of utm_from_lonlat(), fourth order."""
+    a, f = 6378137.0, 1 / 298.257222101
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
+    xi, eta = y / (0.9996 * radius), (x - 500000.0) / (0.9996 * radius)
+    north = xi - reduce(lambda s, k: s + beta[k] * F.sin(2 * (k + 1) * xi) * F.cosh(2 * (k + 1) * eta), range(4), F.lit(0.0))
+    east = eta - reduce(lambda s, k: s + beta[k] * F.cos(2 * (k + 1) * xi) * F.sinh(2 * (k + 1) * eta), range(4), F.lit(0.0))
+    conformal = F.asin(F.sin(north) / F.cosh(east))
+    phi = conformal + reduce(lambda s, k: s + delta[k] * F.sin(2 * (k + 1) * conformal), range(4), F.lit(0.0))
+    return central + F.degrees(F.atan2(F.sinh(east), F.cos(north))), F.degrees(phi)
+
+
+METRES, DEGREES = "EPSG:25833", ("EPSG:4326", "EPSG:4258")
+
+
+def reproject(df: DataFrame, crs: str | None, lon: str = "x", lat: str = "y", to: str = METRES) -> DataFrame:
+    """x and y in metres (zone of 15 degrees east) or, with to="EPSG:4326", in degrees. A table already in that system stays; a missing reference system is an error."""
     if crs is None:
         raise ValueError("the table has no reference system")
-    if crs == "EPSG:25833":
+    for name in (crs, to):
+        if name != METRES and name not in DEGREES:
+            raise ValueError(f"unsupported reference system {name}")
+    if (crs == METRES) == (to == METRES):
         return df
-    if crs not in ("EPSG:4326", "EPSG:4258"):
-        raise ValueError(f"unsupported reference system {crs}")
-    x, y = utm_from_lonlat(F.col(lon), F.col(lat))
+    x, y = (utm_from_lonlat if to == METRES else lonlat_from_utm)(F.col(lon), F.col(lat))
     return df.withColumns({"x": x, "y": y})
 
 

@@ -53,6 +53,15 @@ def io3_write_splits(spark, d):
     return rounded(back.groupBy("city").agg(F.count("*").alias("n"), F.lit(len({"x", "y", "height_m"} & set(back.columns))).alias("n_geometry"), F.avg("f02").alias("f02")))
 
 
+@query(f"WITH {PTS} SELECT city, CASE WHEN id % 3 = 0 THEN 'filtered' ELSE 'plain' END AS variant, CASE WHEN id % 4 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM pts GROUP BY ALL")
+def io3_two_cities(spark, d):
+    """City after city and variant after variant in one place; the first city is written twice."""
+    c, path = contract(spark, d), folder(spark)
+    for city, variant in (("source", "plain"), ("target", "plain"), ("target", "filtered"), ("source", "filtered"), ("source", "plain")):
+        io.write_splits(c.where((F.col("city") == city) & (F.col("variant") == variant)), path)
+    return spark.read.parquet(path).groupBy("city", "variant", "split").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {cells_sql('c')} SELECT 'A' AS city, col - (SELECT min(col) FROM c WHERE city = 'A') AS col, (SELECT max(row) FROM c WHERE city = 'A') - row AS row, round(value, 3) + 0.0 AS value FROM c WHERE city = 'A'")
 def io5_read_xyz(spark, d):
     lines = cells(spark, d).where("city = 'A'").select(F.concat_ws(" ", F.col("col") + 4000, F.col("row") + 5000, F.round("value", 3)).alias("value"))

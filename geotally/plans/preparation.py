@@ -85,7 +85,21 @@ def pr9_select_features(spark, d):
 @query(f"WITH {PTS} SELECT id, {R('CHM_1m', 4)} AS CHM_1m FROM pts")
 def pr12_height_strategy(spark, d):
     p = points(spark, d).withColumns({"CHM_1m_zscore": F.lit(0.0), "CHM_1m_percentile": F.lit(1.0)})
-    return rounded(prep.height_strategy(p, "raw").select("id", *(c for c in prep.HEIGHT if c in prep.height_strategy(p, "raw").columns)), 4)
+    return rounded(prep.height_strategy(p, "raw_chm").select("id", *(c for c in prep.HEIGHT if c in prep.height_strategy(p, "raw_chm").columns)), 4)
+
+
+STRATEGIES = {"no_chm": "", "zscore_only": "CHM_1m_zscore", "percentile_only": "CHM_1m_percentile", "both_engineered": "CHM_1m_zscore,CHM_1m_percentile", "raw_chm": "CHM_1m"}
+
+
+@query(f"WITH {PTS} SELECT strategy, count(*) AS n, kept FROM pts, (VALUES {', '.join(map(str, STRATEGIES.items()))}) AS s(strategy, kept) GROUP BY strategy, kept")
+def pr12_every_height_strategy(spark, d):
+    p = points(spark, d).withColumns({"CHM_1m_zscore": F.lit(0.0), "CHM_1m_percentile": F.lit(1.0)})
+    out = None
+    for k in STRATEGIES:
+        part = prep.height_strategy(p, k)
+        part = part.agg(F.lit(k).alias("strategy"), F.count("*").alias("n"), F.lit(",".join(c for c in prep.HEIGHT if c in part.columns)).alias("kept"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("SELECT o_orderkey AS o_orderkey, o_custkey AS o_custkey, CAST(o_totalprice AS FLOAT) > 1000 AS big FROM orders")

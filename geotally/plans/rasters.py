@@ -82,13 +82,13 @@ def ra9_local_maxima(spark, d):
     return rounded(raster.local_maxima(cells(spark, d), 3))
 
 
-@query(f"""WITH {cells_sql('c')}, {TREES}, g AS (SELECT id, floor(x) AS pc, floor(y) AS pr, city FROM trees WHERE id % 7 = 0),
- s AS (SELECT id, c.col - pc AS i, c.row - pr AS j, c.col, c.row, value FROM g JOIN c ON c.city = g.city AND abs(c.col - pc) <= 3 AND abs(c.row - pr) <= 3),
- p AS (SELECT a.*, sqrt(i * i + j * j) AS dd FROM s a WHERE value >= 3 AND sqrt(i * i + j * j) <= 3 AND value >= (SELECT max(b.value) FROM s b WHERE b.id = a.id AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1)),
- best AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY dd / (value + 1), row, col) = 1)
- SELECT t.id, coalesce(best.col + 0.5, t.x) AS x, coalesce(best.row + 0.5, t.y) AS y, best.id IS NOT NULL AS position_corrected, {R('coalesce(dd, 0)')} AS correction_distance FROM trees t LEFT JOIN best USING (id) WHERE t.id % 7 = 0""")
+@query(f"""WITH {cells_sql('c')}, {TREES}, g AS (SELECT DISTINCT city, floor(x) AS pc, floor(y) AS pr FROM trees),
+ s AS (SELECT g.city, pc, pr, c.col - pc AS i, c.row - pr AS j, c.col, c.row, value FROM g JOIN c ON c.city = g.city AND abs(c.col - pc) <= 3 AND abs(c.row - pr) <= 3),
+ p AS (SELECT a.*, sqrt(i * i + j * j) AS dd FROM s a WHERE value >= 3 AND sqrt(i * i + j * j) <= 3 AND value >= (SELECT max(b.value) FROM s b WHERE b.city = a.city AND b.pc = a.pc AND b.pr = a.pr AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1)),
+ best AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY city, pc, pr ORDER BY dd / (value + 1), row, col) = 1)
+ SELECT t.id, coalesce(best.col + 0.5, t.x) AS x, coalesce(best.row + 0.5, t.y) AS y, best.city IS NOT NULL AS position_corrected, {R('coalesce(dd, 0)')} AS correction_distance FROM trees t LEFT JOIN best ON best.city = t.city AND pc = floor(t.x) AND pr = floor(t.y)""")
 def ra10_snap_to_peak(spark, d):
-    return rounded(raster.snap_to_peak(tree_points(spark, d).where("id % 7 = 0"), cells(spark, d)).select("id", "x", "y", "position_corrected", "correction_distance"))
+    return rounded(raster.snap_to_peak(tree_points(spark, d), cells(spark, d)).select("id", "x", "y", "position_corrected", "correction_distance"))
 
 
 @query()

@@ -162,3 +162,10 @@ def sp21_remove_near(spark, d):
 def sp1_reproject(spark, d):
     lonlat = points(spark, d).select("id", (13.4 + F.col("x") / 100000).alias("x"), (52.5 + F.col("y") / 100000).alias("y"))
     return rounded(spatial.reproject(lonlat, "EPSG:4326"), 3)
+
+
+@query(f"WITH {PTS} SELECT id, {R('13.4 + x / 100000', 8)} AS x, {R('52.5 + y / 100000', 8)} AS y FROM pts")
+def sp1_there_and_back(spark, d):
+    """Degrees to metres and back to degrees; 1e-8 degrees are a millimetre."""
+    lonlat = points(spark, d).select("id", (13.4 + F.col("x") / 100000).alias("x"), (52.5 + F.col("y") / 100000).alias("y"))
+    return rounded(spatial.reproject(spatial.reproject(lonlat, "EPSG:4326"), "EPSG:25833", to="EPSG:4326"), 8)

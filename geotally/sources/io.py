@@ -22,10 +22,13 @@ def read_points(spark: SparkSession, path: str, required: tuple[str, ...] = REQU
 
 
 def write_splits(df: DataFrame, path: str) -> None:
-    """One snappy dataset partitioned by variant, feature_set, city and split, without geometry and height_m. An empty table is an error."""
+    """One snappy dataset partitioned by variant, feature_set, city and split, without geometry and height_m. An empty table is an error.
+
+    Only the partitions that df has are replaced, all in one commit: other cities, variants and feature sets written before stay as they are.
+    """
     if df.isEmpty():
         raise ValueError("an empty split can't be written")
-    df.drop("x", "y", "height_m").write.mode("overwrite").option("compression", "snappy").partitionBy(*PARTITIONS).parquet(path)
+    df.drop("x", "y", "height_m").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(*PARTITIONS).parquet(path)
 
 
 def read_splits(spark: SparkSession, path: str, city: str, splits: tuple[str, ...], variant: str = "", feature_set: str = "reduced") -> dict[str, DataFrame]:

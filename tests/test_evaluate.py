@@ -48,6 +48,10 @@ def test_io_round_trip_and_contracts(spark, tmp_path):
     back = io.read_splits(spark, path, "a", ("train", "test"))
     assert back["train"].first()["f"] is None and "height_m" not in back["train"].columns and back["test"].count() == 0
     assert io.read_split_by_strategy(spark, path, "a", "train", "baseline").count() == 1
+    io.write_splits(df.withColumn("city", F.lit("b")), path)
+    io.write_splits(df.withColumn("variant", F.lit("filtered")).unionByName(df.withColumn("variant", F.lit("filtered"))), path)
+    io.write_splits(df, path)
+    assert [io.read_splits(spark, path, c, ("train",), v)["train"].count() for c, v in (("a", ""), ("b", ""), ("a", "filtered"), ("b", "filtered"))] == [1, 1, 2, 0]
     with pytest.raises(ValueError):
         io.read_split_by_strategy(spark, path, "a", "train", "other")
     with pytest.raises(ValueError):

@@ -73,3 +73,15 @@ def test_peaks(spark):
     assert (out[0]["x"], out[0]["y"], out[0]["correction_distance"]) == (3.5, 2.5, 2.0) and not out[1]["position_corrected"]
     with pytest.raises(ValueError):
         raster.local_maxima(cells, 4)
+
+
+def test_projection_there_and_back(spark):
+    grid = spark.createDataFrame([(float(lon), float(lat)) for lon in (9, 11.5, 13.4, 15, 16.2, 21) for lat in (-60, 0.5, 30, 47.3, 52.5, 55, 70)], "x double, y double")
+    there = spatial.reproject(grid.select("*", F.col("x").alias("lon"), F.col("y").alias("lat")), "EPSG:4326")
+    back = spatial.reproject(there, "EPSG:25833", to="EPSG:4326").collect()
+    assert all(abs(r["x"] - r["lon"]) < 1e-8 * 0.9 and abs(r["y"] - r["lat"]) < 1e-8 * 0.9 for r in back)  # a millimetre
+    known = spatial.reproject(spark.createDataFrame([(500000.0, 5761038.212)], "x double, y double"), "EPSG:25833", to="EPSG:4326").first()
+    assert known["x"] == pytest.approx(15.0) and known["y"] == pytest.approx(52.0, abs=1e-7)
+    assert spatial.reproject(grid, "EPSG:4258", to="EPSG:4326") is grid
+    with pytest.raises(ValueError):
+        spatial.reproject(grid, "EPSG:4326", to="EPSG:3857")
