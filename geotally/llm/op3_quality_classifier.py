@@ -2,8 +2,8 @@
 
 Every line is labelled good or bad from features of its own text and of its neighbours. Only documents carry labels, so
 in training a document's label stands for each of its lines. A document's score is the mean of its lines' forward-backward
-marginals of "good", weighted by length in bytes. The field is fitted on at most SAMPLE labelled documents of LINES lines in all (by
-hash of the id); scoring is one pass over all documents, without a shuffle.
+marginals of "good", weighted by length in bytes. The field is fitted on at most SAMPLE labelled documents (by hash of the id) of LINES lines in
+all: of the sample, the documents of most lines are left out until the rest has no more than that; scoring is one pass over all documents, without a shuffle.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geotally.llm.common import id_text, read, saved
@@ -79,9 +79,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "quality", "x"])
 
     found = saved(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary"))  # of at most sample documents
-    lines = F.sum(F.octet_length("x") / FEATURES).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")))
-    within = {r[0] for r in found.select(F.xxhash64("doc_id", "x").alias("k"), lines.alias("n")).where(F.col("n") <= LINES).select("k").collect()}
-    rows = [r for r in found.select("doc_id", "quality", "x", F.xxhash64("doc_id", "x").alias("k")).where(F.col("k").isin(list(within))).collect()] if within else []
+    text = F.xxhash64("doc_id", "x").alias("k")
+    sizes = found.groupBy(text).agg(F.sum(F.octet_length("x") / FEATURES).cast("long").alias("n")).collect()  # at most sample texts; repeated rows count each
+    within, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["n"], r["k"])):
+        total += r["n"]
+        if total > LINES:
+            break
+        within.append(r["k"])
+    rows = found.select("doc_id", "quality", "x", text).where(F.col("k").isin(within)).collect() if within else []
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     model = Model(FEATURES, VALUES)
     if rows:

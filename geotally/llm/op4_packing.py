@@ -1,11 +1,13 @@
 """Operator 4: packing documents into sequences by bin completion.
 
 Documents of one length are interchangeable, so what has to be packed is the histogram of piece lengths: at most
-``capacity`` numbers, however large the corpus. The driver solves it. Around the largest length left it enumerates
-fillings of the remaining space, drops dominated ones (every part of one fits beside the others into a part of another),
-and applies a filling as often as the counts allow. A search over these choices is cut where the waste so far
-exceeds what the best solution known leaves to waste; that incumbent starts as best-fit decreasing. It ends with a proof, at the
-bound of least() or when every choice was tried, or after NODES choices; the limit bounds the time of the search, never what is
+``capacity`` numbers, however large the corpus. The driver solves it. Around the largest length left it enumerates the
+fillings of the remaining space that nothing more fits into, each length as often as it goes or less often, and drops dominated ones
+(every part of one fits beside the others into a part of another). A choice is a filling and how often it is used, the most
+first; after fewer uses than could be, that filling isn't taken again for this length. A search over these choices is cut where the waste so
+far, or what is left by the bound of least(), can't beat the best solution known; that incumbent starts as best-fit decreasing.
+The search ends with a proof at the bound of least(), or when every choice was tried and no list of fillings was cut short, or without one after NODES
+choices. Where there are too many fillings only some are tried. Limits bound the time of the search, never what is
 packed. Executors then number the pieces of each length and read sequence and offset off the plan's ranges.
 """
 
@@ -16,6 +18,7 @@ import zlib
 from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +31,9 @@ from geotally.llm.common import id_text, read, saved
 from geotally.llm.op1_bpe import split_by, text_coder
 from geotally.llm.op9_token_counts import byte_symbols
 
-#: Choices the search makes (its first descent takes about one a length), fillings tried for one space, steps to find them, and parts of
-#: fillings up to which dominance is settled by trying everything.
-NODES, FILLINGS, STEPS, PARTS = 4000, 6, 2000, 10
+#: Choices the search makes (its first descent takes about one a length), fillings tried for one space where not all are, steps to find them, all
+#: fillings that are compared at most, sizes decided on within one another, and parts of fillings up to which dominance is settled by trying everything.
+NODES, FILLINGS, STEPS, MANY, DEEP, PARTS = 4000, 6, 2000, 150, 500, 10
 Filling = tuple[tuple[int, int], ...]  # (length, times), longest first
 
 
@@ -50,8 +53,37 @@ def json_coder(path: str) -> tuple[PairCoder, dict[str, int]]:
     return PairCoder.from_merges(tokens, 256, [(own(a), own(b)) for a, b in pairs]), {t["content"]: t["id"] for t in spec["added_tokens"]}
 
 
-def fillings(space: int, sizes: list[int], count: dict[int, int]) -> list[Filling]:
-    """Undominated fillings of a space from what is left, least waste first."""
+def all_fillings(space: int, sizes: list[int], count: dict[int, int]) -> list[tuple[int, int, Filling]] | None:
+    """(left over, parts, filling) of every filling that none of what is left still fits into; None if there are too many."""
+    found: list[tuple[int, int, Filling]] = []
+    steps = 0
+
+    def grow(i: int, left: int, skipped: int, taken: Filling, depth: int = 0) -> bool:
+        """Sizes up to the i-th are still to decide on; skipped is the least that was passed over."""
+        nonlocal steps
+        steps += 1
+        if steps > STEPS or len(found) > MANY or depth > DEEP:
+            return False
+        while i >= 0 and sizes[i] > left:
+            i -= 1
+        if i < 0:
+            if left < skipped:
+                found.append((left, sum(n for _, n in taken), taken))
+            return True
+        size = sizes[i]
+        most = min(count[size], left // size)
+        for n in range(most, -1, -1):
+            rest = left - n * size
+            passed = min(skipped, size) if n < count[size] else skipped
+            if not grow(i - 1, rest, passed, (*taken, (size, n)) if n else taken, depth + 1):
+                return False
+        return True
+
+    return found if grow(len(sizes) - 1, space, space + 1, ()) else None
+
+
+def some_fillings(space: int, sizes: list[int], count: dict[int, int]) -> list[tuple[int, int, Filling]]:
+    """Fillings found in STEPS steps: a few next sizes are tried at each place, each as often as it goes."""
     found: list[tuple[int, int, Filling]] = []
     steps, least = 0, space
 
@@ -76,14 +108,20 @@ def fillings(space: int, sizes: list[int], count: dict[int, int]) -> list[Fillin
             i, tried = i - 1, tried + 1
 
     grow(space, space, ())
-    found.sort()
+    return found
+
+
+def fillings(space: int, sizes: list[int], count: dict[int, int]) -> tuple[list[Filling], bool]:
+    """Undominated fillings of a space from what is left, least waste first, and whether these are all."""
+    every = all_fillings(space, sizes, count)
+    found = sorted(some_fillings(space, sizes, count) if every is None else every)
     kept: list[Filling] = []
     for _, _, f in found:
-        if len(kept) == FILLINGS:
+        if every is None and len(kept) == FILLINGS:
             break
         if not any(dominates(g, f) for g in kept):
             kept.append(f)
-    return kept
+    return kept or [()], every is not None
 
 
 def dominates(a: Filling, b: Filling) -> bool:
@@ -161,64 +199,90 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, in
     return [(f, n) for r in rooms.values() for f, n in r.items()]
 
 
-def _apply(filling: Filling, sizes: list[int], count: dict[int, int]) -> tuple[Filling, int]:
-    """Take a filling out of what is left, as often as it goes."""
-    times = min(count[s] // n for s, n in filling)
-    for s, n in filling:
-        count[s] -= times * n
-        if not count[s]:
-            sizes.pop(bisect_left(sizes, s))
-    return filling, times
+class Left:
+    """The pieces that aren't packed yet: count by size, sizes in order."""
+
+    def __init__(self, histogram: dict[int, int]):
+        self.count = {s: n for s, n in histogram.items() if n}
+        self.sizes = sorted(self.count)
+
+    def take(self, filling: Filling, times: int) -> None:
+        for s, n in filling:
+            self.count[s] -= n * times
+            if not self.count[s]:
+                del self.count[s]
+                self.sizes.pop(bisect_left(self.sizes, s))
+
+    def give(self, filling: Filling, times: int) -> None:
+        for s, n in filling:
+            if s not in self.count:
+                self.count[s] = 0
+                insort(self.sizes, s)
+            self.count[s] += n * times
+
+    def choices(self, capacity: int, without: frozenset[Filling]) -> tuple[Iterator[tuple[Filling, int]], bool]:
+        """(filling with the largest piece in it, times), most times first, and whether these are all choices. without: fillings that aren't to be used."""
+        largest = self.sizes[-1]
+        self.take(((largest, 1),), 1)
+        rest, every = fillings(capacity - largest, self.sizes, self.count)
+        self.give(((largest, 1),), 1)
+        whole = [tuple(sorted((dict(f) | {largest: dict(f).get(largest, 0) + 1}).items(), reverse=True)) for f in rest]
+        whole = [(f, min(self.count[s] // n for s, n in f)) for f in whole if f not in without]
+        fewer = ((f, t) for f, most in whole for t in range(most - 1, 0, -1))
+        return chain(whole, fewer), every
+
+
+def search(histogram: dict[int, int], capacity: int, nodes: int | None = None) -> tuple[list[tuple[Filling, int]], bool]:
+    """Fillings and how often each is used, which hold exactly the histogram's pieces; and whether no plan has fewer sequences."""
+    best = best_fit(histogram, capacity)
+    most, bound, total = sum(t for _, t in best), least(histogram, capacity), sum(s * n for s, n in histogram.items())
+    left, every, made = Left(histogram), True, 0
+    path: list[list] = []  # [choices still to try, the one in use or None, its largest size, fillings not to use again for that size]
+    used, waste, limit = 0, 0, NODES if nodes is None else nodes
+    if most == bound:
+        return best, True
+
+    def opened(without: frozenset[Filling]) -> list:
+        nonlocal every
+        found, whole = left.choices(capacity, without)
+        every = every and whole
+        return [found, None, left.sizes[-1], without]
+
+    path.append(opened(frozenset()))
+    while path:
+        top = path[-1]
+        if top[1] is not None:  # take the last choice back
+            (filling, times), top[1] = top[1], None
+            left.give(filling, times)
+            used, waste = used - times, waste - times * (capacity - sum(s * n for s, n in filling))
+        following = next(top[0], None)
+        if following is None:
+            path.pop()
+            continue
+        if made >= limit:
+            return best, False
+        made += 1
+        filling, times = following
+        could = min(left.count[s] // n for s, n in filling)
+        left.take(filling, times)
+        top[1] = following
+        used, waste = used + times, waste + times * (capacity - sum(s * n for s, n in filling))
+        if not left.sizes:
+            if used < most:
+                best, most = [p[1] for p in path], used
+                if most == bound:
+                    return best, True
+            continue
+        # even one sequence fewer than the best can't waste more than this, or hold more than this
+        if waste > (most - 1) * capacity - total or used + least(left.count, capacity) >= most:
+            continue
+        again = top[3] | {filling} if times < could else top[3]
+        path.append(opened(again if left.sizes[-1] == top[2] else frozenset()))
+    return best, every
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
-    """Fillings and how often each is used; they hold exactly the histogram's pieces."""
-    best = best_fit(histogram, capacity)
-    most, bound, nodes = sum(t for _, t in best), least(histogram, capacity), 0
-    total = sum(s * n for s, n in histogram.items())
-    # choices still open: (what was done before, as a chain of (before, filling, times), and the filling to use next); so a choice takes no copy of the counts
-    open_: list[tuple] = [(None, None)]
-
-    def steps(done) -> list[tuple[Filling, int]]:
-        out = []
-        while done is not None:
-            done, filling, times = done
-            out.append((filling, times))
-        return out[::-1]
-
-    while open_ and nodes < NODES and most > bound:
-        done, following = open_.pop()
-        before, count = steps(done), {s: n for s, n in histogram.items() if n}
-        for filling, times in before:
-            for s, n in filling:
-                count[s] -= times * n
-        count = {s: n for s, n in count.items() if n}
-        sizes, used = sorted(count), sum(t for _, t in before)
-        waste = sum(t * (capacity - sum(s * n for s, n in f)) for f, t in before)
-        while sizes:
-            if following is None:
-                largest = sizes[-1]
-                count[largest] -= 1
-                if not count[largest]:
-                    sizes.pop()
-                options = fillings(capacity - largest, sizes, count) or [()]
-                if not count[largest]:
-                    insort(sizes, largest)
-                count[largest] += 1
-                whole = [tuple(sorted((dict(f) | {largest: dict(f).get(largest, 0) + 1}).items(), reverse=True)) for f in options]
-                nodes += 1
-                # even one sequence fewer than the best can't waste more than this
-                open_ += [(done, f) for f in whole[:0:-1] if waste + capacity - sum(s * n for s, n in f) <= (most - 1) * capacity - total]
-                following = whole[0]
-            filling, times = _apply(following, sizes, count)
-            done, following = (done, filling, times), None
-            used, waste = used + times, waste + times * (capacity - sum(s * n for s, n in filling))
-            if used >= most or waste > (most - 1) * capacity - total:
-                break
-        else:
-            if used < most:
-                best, most = steps(done), used
-    return best
+    return search(histogram, capacity)[0]
 
 
 def pieces(df: DataFrame, vocabulary: str, capacity: int, end: int, id_col: str, text_col: str) -> DataFrame:

@@ -8,10 +8,11 @@ leads back to the start.
 
 Texts are cut into chunks of CHUNK code points, wherever that is. A chunk's state map takes the state before it to the state after it
 and a count. It has two parts: up to the first word end it depends on the state before (the head), from there on the state is the
-start whatever came before, so the rest (the tail) is a constant. All tails run side by side, one symbol a step. Then maps are
-composed with those before them: what a map gives becomes the next head's state, again side by side for all chunks whose
-predecessor's map has become a constant; only a word longer than a chunk takes more rounds. A prefix scan over the
-composed counts gives each text's. Transitions live in a bounded hash table of arrays.
+start whatever came before, so the rest (the tail) is a constant. All tails run side by side, one symbol a step. Maps are then
+composed: each head is evaluated at the state that the chunk before it is known or, inside a word longer than a chunk, supposed to end in,
+all side by side, and again only where that state turned out otherwise. States forget: two runs over the same bytes soon meet, so
+a word of any number of chunks takes a few rounds in practice (at worst one a chunk, which texts would have to be made for). When nothing changes any more, every map was evaluated at
+the very state that the one before it gives. A prefix scan over the composed counts gives each text's. Transitions live in a hash table of arrays that grows with a long word and is emptied afterwards.
 
 Classes of characters are the library's own (see characters.py).
 """
@@ -31,8 +32,8 @@ from geotally.llm.bpe import PairCoder
 from geotally.llm.characters import Normalizer, of_tokenizers, strange
 from geotally.llm.common import id_text, read
 
-#: Code points to a chunk and to a run over chunks; the hash table's size as a power of two.
-CHUNK, RUN, BITS = 256, 1_000_000, 22
+#: Code points to a chunk and to a run over chunks; the hash table's size as a power of two; transitions by single bytes that are kept.
+CHUNK, RUN, BITS, BYTES = 256, 1_000_000, 22, 600_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 GAP, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
@@ -78,8 +79,28 @@ class Transducer:
     def reset(self) -> None:
         start = ("", ((-1, 0),))
         self.states, self.number, self.by_byte = [start], {start: 0}, {}
+        self.bits, self.filled = BITS, 0
         self.keys = np.full(1 << BITS, -1, np.int64)
-        self.to, self.emits, self.filled = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int8), 0
+        self.to, self.emits = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int8)
+
+    def grow(self) -> None:
+        """Twice the table."""
+        held = np.flatnonzero(self.keys >= 0)
+        keys, to, emits = self.keys[held], self.to[held], self.emits[held]
+        self.bits += 1
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.to, self.emits = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int8)
+        at, left = self.home(keys), np.arange(keys.size)
+        while left.size:
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]] = keys[free]  # of several for one place the last stays
+            won = free[self.keys[at[free]] == keys[free]]
+            self.to[at[won]], self.emits[at[won]] = to[won], emits[won]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * MULTIPLIER) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def read_byte(self, state: int, symbol: int) -> tuple[int, int]:
         """The next state and the change of the token count. symbol: a byte, plus 256 if it ends a word."""
@@ -102,6 +123,8 @@ class Transducer:
                 self.number[new] = len(self.states)
                 self.states.append(new)
             found = self.number[new], change
+        if len(self.by_byte) >= BYTES:
+            self.by_byte.clear()
         self.by_byte[state, symbol] = found
         return found
 
@@ -116,29 +139,37 @@ class Transducer:
         return state, change
 
     def look_up(self, keys: np.ndarray) -> np.ndarray:
-        """Places of the transitions in the table; missing ones are compiled."""
-        mask = np.int64((1 << BITS) - 1)
-        at = ((keys.view(np.uint64) * MULTIPLIER) >> np.uint64(64 - BITS)).view(np.int64)
+        """Places of the transitions in the table; missing ones are compiled. The table is never more than half full."""
+        at = self.places(keys)
+        missing = np.unique(keys[at < 0])
+        if missing.size:
+            while self.filled + missing.size > 1 << (self.bits - 1):
+                self.grow()
+            mask = (1 << self.bits) - 1
+            for key, place in zip(missing.tolist(), self.home(missing).tolist(), strict=True):
+                while self.keys[place] >= 0:
+                    place = (place + 1) & mask
+                self.to[place], self.emits[place] = self._compile(key)
+                self.keys[place] = key
+            self.filled += missing.size
+            at = self.places(keys)
+        return at
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is, -1 if it isn't."""
+        at = self.home(keys)
         off = np.flatnonzero(self.keys[at] != keys)
         while off.size:
-            missing = off[self.keys[at[off]] < 0]
-            for i in missing:
-                place, key = int(at[i]), int(keys[i])
-                while self.keys[place] >= 0 and self.keys[place] != key:
-                    place = (place + 1) & int(mask)
-                if self.keys[place] < 0:
-                    self.to[place], self.emits[place] = self._compile(key)
-                    self.keys[place] = key
-                    self.filled += 1
-                at[i] = place
-            off = off[self.keys[at[off]] != keys[off]]
-            at[off] = (at[off] + 1) & mask
+            none = self.keys[at[off]] < 0
+            at[off[none]] = -1
+            off = off[~none]
+            at[off] = (at[off] + 1) & ((1 << self.bits) - 1)
             off = off[self.keys[at[off]] != keys[off]]
         return at
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each normalised text."""
-        if self.filled > 1 << (BITS - 1) or len(self.by_byte) > 600_000:
+        if self.filled > 1 << (BITS - 2):
             self.reset()
         points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), np.uint32)
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))  # each text and its gap
@@ -166,14 +197,17 @@ class Transducer:
         constant = (where < free.size) & (free[np.minimum(where, free.size - 1)] <= end)
         after, count = self.run(symbol, tail, end - tail, np.zeros(begin.size, np.int64))
         heads = np.flatnonzero(tail > begin)
-        while heads.size:  # the state before the head is what the map before gives, once that is a constant
-            now = heads[constant[heads - 1]]
-            state, emitted = self.run(symbol, begin[now], tail[now] - begin[now], after[now - 1])
-            count[now] += emitted
-            within = ~constant[now]  # no word ended in the chunk
-            after[now[within]] = state[within]
-            constant[now] = True
-            heads = heads[~np.isin(heads, now)]
+        given, emitted = np.full(heads.size, -1, np.int64), np.zeros(heads.size, np.int64)
+        while True:  # a head's state before it is what the map before gives
+            now = np.flatnonzero(given != after[heads - 1])
+            if not now.size:
+                break
+            at = heads[now]
+            given[now] = after[at - 1]
+            state, emitted[now] = self.run(symbol, begin[at], tail[at] - begin[at], given[now])
+            within = ~constant[at]  # no word ended in the chunk
+            after[at[within]] = state[within]
+        count[heads] += emitted
         scan = np.concatenate(([0], np.cumsum(count)))
         return np.diff(scan[np.searchsorted(bounds, ends)], prepend=0)
 
@@ -221,18 +255,20 @@ class Compiled:
         return self._machine
 
 
+#: Where a word surely ends: between a letter or digit and white space or a sign other than '. No sign here joins what is before it.
+WORD_END = re.compile(r"(?<=[^\W_])(?=[\s!-&(-/:-@\[-^`{-~\u3000-\u3029\uff01-\uff06\uff08-\uff0f])")
+
+
 def pieces(text: str, most: int = RUN) -> Iterator[str]:
-    """A long text in parts, cut at white space where there is some."""
-    while len(text) > most:
-        cut = max(text.rfind(" ", 1, most), text.rfind("\n", 1, most))
-        if cut < 0:
-            later = [c for c in (text.find(" ", most), text.find("\n", most)) if c > 0]
-            if not later:
-                break
-            cut = min(later)
-        yield text[:cut]
-        text = text[cut:]
-    yield text
+    """A long text in parts of about most code points, cut at word ends; a longer word stays whole."""
+    at = 0
+    while len(text) - at > most:
+        found = WORD_END.search(text, at + most)
+        if found is None:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
 
 
 def token_counts(df: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,7 +276,7 @@ def token_counts(df: DataFrame, vocabulary: str, limit: int = 2048, id_col: str
 
     vocabulary: path of a .json file of the word-end kind on the driver. Null and empty texts: 0 bytes, 0 tokens.
     Strings of the file's special tokens count as one token wherever they stand. Texts over RUN code points are counted in parts
-    cut at white space. Repeated rows each give theirs. An empty table gives none.
+    cut at word ends; a word of millions of letters is one part, in memory of about 100 bytes a letter. Repeated rows each give theirs. An empty table gives none.
     """
     compiled = Compiled(vocabulary)
     shared = df.sparkSession.sparkContext.broadcast(compiled)  # the vocabulary: fixed size
