@@ -207,14 +207,18 @@ def group_of(live: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without the rows that exact_groups() drops; of repeated rows one stays. Texts are shuffled once at most."""
+    """docs, all columns, without the rows that exact_groups() drops; of repeated rows one stays. Texts are shuffled once, twice if rows repeat."""
     found = with_groups(content_keys(docs, id_col, text_col)).where("rows is not null")
-    key, own = unused(docs, "content_key"), unused(docs, "own_id")
-    counted = saved(found.groupBy(F.col("key").alias(key), F.coalesce("doc_id", F.lit(NONE)).alias(own)).agg(F.first("largest").alias("largest"), F.count("*").alias("n")))
+    key, own, largest, n = (unused(docs, c) for c in ("content_key", "own_id", "largest_id", "n_rows"))
+    counted = saved(found.groupBy(F.col("key").alias(key), F.coalesce("doc_id", F.lit(NONE)).alias(own)).agg(F.first("largest").alias(largest), F.count("*").alias(n)))
     keyed = docs.withColumns({key: content_key(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), own: F.coalesce(F.col(id_col).cast("long"), F.lit(NONE))})
-    others = keyed.join(counted.where((F.col(own) != F.col("largest")) | (F.col("n") > 1)).select(key, own), [key, own], "left_anti")
-    repeated = keyed.join(counted.where((F.col(own) == F.col("largest")) & (F.col("n") > 1)).select(key, own), [key, own], "left_semi").dropDuplicates([key, own])
-    return others.unionByName(repeated).drop(key, own)
+    gone = counted.where((F.col(own) != F.col(largest)) | (F.col(n) > 1)).select(key, own)
+    others = keyed.join(gone.hint("merge"), [key, own], "left_anti")  # never a broadcast: the same plan at every size
+    again = counted.where((F.col(own) == F.col(largest)) & (F.col(n) > 1)).select(key, own)
+    if again.isEmpty():
+        return others.select(*docs.columns)
+    repeated = keyed.join(again.hint("merge"), [key, own], "left_semi").dropDuplicates([key, own])
+    return others.unionByName(repeated).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
