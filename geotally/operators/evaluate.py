@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from geotally.operators import stats
 
@@ -64,29 +69,68 @@ def bootstrap_ci(df: DataFrame, metric=weighted_f1, replicates: int = 1000, leve
     return {"value": metric(counts), "low": float(low), "high": float(high)}
 
 
+#: Upper ends of the ranges of a uniform number that stand for Poisson(1) weights 0, 1, ... 8.
+POISSON = np.cumsum([np.exp(-1) / math.factorial(k) for k in range(9)])
+#: Weights drawn at a time in a task.
+DRAWS = 1 << 20
+
+
+def poisson_weights(hashes: np.ndarray, replicates: int) -> np.ndarray:
+    """[row, replicate]: Poisson(1) weights that depend on the row's hash and the number of the replicate (from 1) alone."""
+    step = np.uint64(0x9E3779B97F4A7C15)
+    z = hashes.view(np.uint64)[:, None] + np.arange(1, replicates + 1, dtype=np.uint64) * step
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    return np.searchsorted(POISSON, u, side="right")
+
+
+def weighted_moments(df: DataFrame, value: str, keys: list[str], replicates: int, key: str, seed: int = 42) -> DataFrame:
+    """(keys, replicate, w, s, q): sums of the weights, of weight * value and of weight * value^2 of every bootstrap replicate.
+
+    A task draws its rows' weights in blocks and sends one row of vectors over the replicates for each combination of keys; rows are never
+    multiplied by replicates. Rows without value are left out.
+    """
+    if not keys:
+        return weighted_moments(df.withColumn("__all", F.lit(0)), value, ["__all"], replicates, key, seed).drop("__all")
+    found = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("k"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(value).cast("double").alias("v"))
+    group = found.schema["k"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            names = [tuple(k.values()) for k in batch.column(0).to_pylist()]
+            numbers = {k: i for i, k in enumerate(dict.fromkeys(names))}
+            which, h, v = np.array([numbers[k] for k in names], int), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            step = max(1, DRAWS // replicates)
+            for k, i in numbers.items():
+                mine = np.flatnonzero(which == i)
+                total = sums.setdefault(k, np.zeros((3, replicates)))
+                for at in range(0, mine.size, step):
+                    rows = mine[at : at + step]
+                    total += np.stack([np.ones(rows.size), v[rows], v[rows] ** 2]) @ poisson_weights(h[rows], replicates)
+        columns = [pa.array([dict(zip(keys, k, strict=True)) for k in sums], kind), *(pa.array([t[j].tolist() for t in sums.values()], pa.list_(pa.float64())) for j in range(3))]
+        yield pa.RecordBatch.from_arrays(columns, ["k", "w", "s", "q"])
+
+    kind = to_arrow_type(found.schema["k"].dataType)
+    parts = found.mapInArrow(run, f"k {group}, w array<double>, s array<double>, q array<double>")
+    each = parts.select("k", F.posexplode(F.arrays_zip("w", "s", "q")).alias("at", "z"))
+    return each.groupBy("k", (F.col("at") + 1).alias("replicate")).agg(*(F.sum(f"z.{c}").alias(c) for c in "wsq")).select("k.*", "replicate", "w", "s", "q")
+
+
 def poisson_bootstrap(df: DataFrame, value: str, keys: list[str], replicates: int, key: str, seed: int = 42) -> DataFrame:
     """(keys, replicate, mean): each row weighs Poisson(1), by a hash of its key and the replicate. One pass."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("replicate")), F.lit(1 << 40)) / float(1 << 40)
-    limits = np.cumsum([np.exp(-1) / np.prod(range(1, k + 1)) for k in range(9)])
-    weight = sum((F.when(u >= float(c), 1).otherwise(0) for c in limits), F.lit(0))
-    many = df.where(F.col(value).isNotNull()).select(*keys, key, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("__w", weight)
-    return many.groupBy(*keys, "replicate").agg((F.sum(F.col("__w") * F.col(value)) / F.nullif(F.sum("__w"), F.lit(0))).alias("mean"))
+    sums = weighted_moments(df, value, keys, replicates, key, seed)
+    return sums.select(*keys, "replicate", (F.col("s") / F.nullif("w", F.lit(0.0))).alias("mean"))
 
 
 def cohens_d_ci(df: DataFrame, value: str, city: str, a: str, b: str, key: str, replicates: int = 200, level: float = 0.95, seed: int = 42) -> dict:
     """Interval of Cohen's d over all rows by Poisson bootstrap of moments; the replicates' sums are all that is collected."""
-    d = df.where(F.col(city).isin(a, b))
-    sums = {}
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("replicate")), F.lit(1 << 40)) / float(1 << 40)
-    limits = np.cumsum([np.exp(-1) / np.prod(range(1, k + 1)) for k in range(9)])
-    w = sum((F.when(u >= float(c), 1).otherwise(0) for c in limits), F.lit(0))
-    many = d.where(F.col(value).isNotNull()).select(city, key, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("__w", w)
-    for r in many.groupBy("replicate", city).agg(F.sum("__w").alias("n"), F.sum(F.col("__w") * F.col(value)).alias("s"), F.sum(F.col("__w") * F.col(value) ** 2).alias("q")).collect():
-        sums[r["replicate"], r[city]] = r["n"], r["s"], r["q"]
+    sums = {(r["replicate"], r[city]): (r["w"], r["s"], r["q"]) for r in weighted_moments(df.where(F.col(city).isin(a, b)), value, [city], replicates, key, seed).collect()}
     values = []
     for k in range(1, replicates + 1):
-        if (k, a) in sums and (k, b) in sums:
-            (n1, s1, q1), (n2, s2, q2) = sums[k, a], sums[k, b]
+        (n1, s1, q1), (n2, s2, q2) = (sums.get((k, c), (0, 0, 0)) for c in (a, b))
+        if n1 and n2:
             pooled = (q1 - s1 * s1 / n1 + q2 - s2 * s2 / n2) / max(1, n1 + n2 - 2)
             if pooled > 0:
                 values.append((s1 / n1 - s2 / n2) / pooled**0.5)

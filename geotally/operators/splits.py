@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geotally.functions.folders import checkpointed
+
 
 def _assign(blocks: list, counts: np.ndarray, n_splits: int, seed: int) -> np.ndarray:
     """Blocks to folds: shuffled, most uneven class counts first, each to the fold that keeps the classes' shares most even."""
@@ -123,21 +126,101 @@ def capped_sample_per_class(df: DataFrame, cls: str, most: int, key: str, seed:
     return df.withColumn("__k", rank).where(F.col("__k") <= most).drop("__k")
 
 
+#: Ranges that the rows of a class are counted in at a time, and how often, when the place of its k-th row is looked for.
+RANGES, REFINED = 4096, 2
+
+
+def _place(df: DataFrame, key: str, seed: int | None) -> Column:
+    """The number by which rows are put in order: a hash of the key, or the key itself without seed, which must then be a whole number."""
+    if seed is not None:
+        return F.xxhash64(F.lit(seed), key)
+    if df.schema[key].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("without seed the key must be a whole number")
+    return F.col(key).cast("long")
+
+
+def kth_places(df: DataFrame, cls: str, wanted: DataFrame, key: str, seed: int | None) -> DataFrame:
+    """(c, name, h, key): of each wanted (c, name, k) the k-th row of class c in the order of its place and key.
+
+    Rows are counted in ranges of places, first of the whole class, then of the range that holds the k-th, as partial sums; only what is left in a narrow
+    range is put in order. No task gets a class. wanted: a few rows a class, k from 1 to the class's rows.
+    """
+    rows = df.select(F.col(cls).alias("c"), _place(df, key, seed).alias("h"), F.col(key).alias("key")).where("c is not null")
+    ends = rows.groupBy("c").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    state = wanted.select("c", "name", "k").join(ends, "c")
+    for _ in range(REFINED):
+        part = (F.col("h").cast("double") - F.col("lo").cast("double")) / (F.col("hi").cast("double") - F.col("lo").cast("double") + 1) * RANGES
+        near = rows.join(state, "c").where("h between lo and hi")
+        counted = near.groupBy("c", "name", "k", F.floor(part).alias("range")).agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
+        upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("c", "name").orderBy("range")))  # RANGES rows
+        state = checkpointed(upto.where("upto >= k and upto - n < k").select("c", "name", (F.col("k") - F.col("upto") + F.col("n")).alias("k"), F.col("low").alias("lo"), F.col("high").alias("hi")))
+    last = rows.join(state, "c").where("h between lo and hi").withColumn("__k", F.row_number().over(Window.partitionBy("c", "name").orderBy("h", "key")))
+    return last.where("__k = k").select("c", "name", "h", "key")
+
+
+def _class_sizes(df: DataFrame, cls: str) -> list:
+    return df.where(F.col(cls).isNotNull()).groupBy(F.col(cls).alias("c")).agg(F.count(F.lit(1)).alias("n")).orderBy("c").collect()  # a row a class
+
+
+def _first_of_classes(df: DataFrame, cls: str, takes: dict, key: str, seed: int | None) -> DataFrame:
+    """The first rows of each class, so many as takes says, by a threshold a class."""
+    kind = df.schema[cls].dataType.simpleString()
+    wanted = df.sparkSession.createDataFrame([(c, 0, k) for c, k in takes.items() if k], f"c {kind}, name int, k long")
+    limits = kth_places(df, cls, wanted, key, seed).select(F.col("c").alias("__c"), F.struct("h", "key").alias("__limit"))
+    return df.join(limits, df[cls] == F.col("__c")).where(F.struct(_place(df, key, seed).alias("h"), F.col(key).alias("key")) <= F.col("__limit")).select(*df.columns)
+
+
 def stratified_subset_n(df: DataFrame, cls: str, n: int, key: str, seed: int | None = 42) -> DataFrame:
-    """n rows in proportion to the classes (at least one each), topped up or cut in the classes' common order."""
-    counts = df.groupBy(F.col(cls).alias("__c")).agg(F.count("*").alias("__n"))
-    quota = counts.withColumn("__q", F.greatest(F.lit(1), F.round(F.col("__n") * n / F.sum("__n").over(Window.partitionBy()))).cast("long"))
-    rank = F.row_number().over(Window.partitionBy(cls).orderBy(*hash_order(key, seed)))
-    d = df.withColumn("__k", rank).join(F.broadcast(quota), F.col(cls) == F.col("__c"))  # classes
-    return d.orderBy(F.greatest(F.lit(0), F.col("__k") - F.col("__q")), F.col("__k"), *hash_order(key, seed)).limit(n).select(*df.columns)
+    """n rows in proportion to the classes (at least one each), topped up or cut in the classes' common order.
+
+    The order is: rows within their class's quota, by their number in the class; then those beyond it, by how far and by number; equal ones by
+    place. How many of each class that makes follows from the classes' sizes, but for the last level, where the places of one row a class decide.
+    """
+    sizes = {r["c"]: r["n"] for r in _class_sizes(df, cls)}
+    total = sum(sizes.values())
+    quota = {c: max(1, int(math.floor(m * n / total + 0.5))) for c, m in sizes.items()}
+    within = {c: min(quota[c], m) for c, m in sizes.items()}
+    n = max(0, min(n, total))
+    base = dict.fromkeys(sizes, 0) if sum(within.values()) > n else within  # cut from nothing, or top up from the quotas
+    most = within if sum(within.values()) > n else sizes
+    levels, room = sorted({most[c] - base[c] for c in sizes}), n - sum(base.values())
+
+    def taken(level: int) -> int:
+        return sum(min(level, most[c] - base[c]) for c in sizes)
+
+    low, high = 0, max(levels, default=0)
+    while low < high:  # the last level that fits as a whole
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if taken(middle) <= room else (low, middle - 1)
+    takes = {c: base[c] + min(low, most[c] - base[c]) for c in sizes}
+    more, left = [c for c in sizes if most[c] - base[c] > low], room - taken(low)
+    if left and more:
+        kind = df.schema[cls].dataType.simpleString()
+        wanted = df.sparkSession.createDataFrame([(c, 0, takes[c] + 1) for c in more], f"c {kind}, name int, k long")
+        rows = sorted(kth_places(df, cls, wanted, key, seed).collect(), key=lambda r: (takes[r["c"]], r["h"], r["key"]))  # a row a class
+        for r in rows[:left]:
+            takes[r["c"]] += 1
+    return _first_of_classes(df, cls, takes, key, seed)
 
 
 def stratified_fractions(df: DataFrame, cls: str, fractions: list[float], key: str, seed: int | None = 42) -> DataFrame:
-    """df with min_fraction, the smallest of the fractions whose subset has the row: subsets are nested."""
+    """df with min_fraction, the smallest of the fractions whose subset has the row: subsets are nested. Null without class."""
     if any(not 0 < f <= 1 for f in fractions):
         raise ValueError("fractions must be in (0, 1]")
-    at = F.row_number().over(Window.partitionBy(cls).orderBy(*hash_order(key, seed))) / F.count(F.lit(1)).over(Window.partitionBy(cls))
-    return df.withColumn("__at", at).withColumn("min_fraction", F.coalesce(*(F.when(F.col("__at") <= f, F.lit(f)) for f in sorted(fractions)))).drop("__at")
+    wanted = []
+    for r in _class_sizes(df, cls):
+        for i, f in enumerate(sorted(fractions)):
+            k = int(f * r["n"]) + 1
+            while k and not k / r["n"] <= f:
+                k -= 1
+            wanted += [(r["c"], i, min(k, r["n"]))] if k else []
+    kind = df.schema[cls].dataType.simpleString()
+    places = kth_places(df, cls, df.sparkSession.createDataFrame(wanted, f"c {kind}, name int, k long"), key, seed)
+    limits = places.groupBy(F.col("c").alias("__c")).agg(F.sort_array(F.collect_list(F.struct("name", F.struct("h", "key").alias("place")))).alias("__limits"))  # the fractions
+    mine = F.struct(_place(df, key, seed).alias("h"), F.col(key).alias("key"))
+    first = F.get(F.filter("__limits", lambda v: mine <= v["place"]), F.lit(0))["name"]
+    values = F.array(*(F.lit(float(f)) for f in sorted(fractions)))
+    return df.join(limits, df[cls] == F.col("__c"), "left").withColumn("min_fraction", F.get(values, first)).drop("__c", "__limits")
 
 
 def stratified_holdout(df: DataFrame, cls: str, share: float, key: str, seed: int | None = 42) -> DataFrame:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,25 @@ def test_io_round_trip_and_contracts(spark, tmp_path):
     assert not validate.validate_schema(df, {"f": "string"})["valid"]
     with pytest.raises(ValueError):
         validate.validate_phase_schema(df, "a")
+
+
+def test_bootstrap_weights_equal_brute_force(spark):
+    rows = [(i, "ab"[i % 3 == 0] if i % 50 else None, float(i * i % 37) if i % 11 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, city string, v double").repartition(5)
+    hashes = {r["id"]: r["h"] for r in df.select("id", F.xxhash64(F.lit(42), "id").alias("h")).collect()}
+    weights = {i: evaluate.poisson_weights(np.array([h]), 60)[0] for i, h in hashes.items()}
+    got = {(r["city"], r["replicate"]): r["mean"] for r in evaluate.poisson_bootstrap(df, "v", ["city"], 60, "id").collect()}
+    assert len(got) == 180
+    for (city, k), mean in got.items():
+        mine = [(weights[i][k - 1], v) for i, c, v in rows if c == city and v is not None]
+        assert mean == (pytest.approx(sum(w * v for w, v in mine) / sum(w for w, _ in mine)) if sum(w for w, _ in mine) else None)
+    every = np.concatenate(list(weights.values()))
+    assert abs(every.mean() - 1) < 0.03 and abs(every.var() - 1) < 0.05
+    a, b = ([v for _, c, v in rows if c == g and v is not None] for g in "ab")
+    d = (np.mean(a) - np.mean(b)) / (((len(a) - 1) * np.var(a, ddof=1) + (len(b) - 1) * np.var(b, ddof=1)) / (len(a) + len(b) - 2)) ** 0.5
+    ci = evaluate.cohens_d_ci(df, "v", "city", "a", "b", "id")
+    assert ci["low"] < d < ci["high"]
+    plan = evaluate.poisson_bootstrap(df, "v", ["city"], 60, "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") > plan.index("Generate")  # vectors are taken apart after the tasks' sums, not rows before
+
+
