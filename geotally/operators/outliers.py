@@ -66,7 +66,7 @@ def outlier_mahalanobis(df: DataFrame, features: list[str], cls: str, alpha: flo
 
 def outlier_iqr(df: DataFrame, value: str, keys: list[str], multiplier: float = 1.5, out: str = "outlier_iqr") -> DataFrame:
     """Flag outside [q1 - m iqr, q3 + m iqr] of the group; NULL values and groups with a NULL key: false."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
+    q = stats.exact_quantiles(df, keys, value, [0.25, 0.75])
     iqr = F.col("__q")[1] - F.col("__q")[0]
     far = (F.col(value) < F.col("__q")[0] - multiplier * iqr) | (F.col(value) > F.col("__q")[1] + multiplier * iqr)
     return df.join(q, keys, "left").withColumn(out, F.coalesce(far, F.lit(False))).drop("__q").select(*df.columns, out)
@@ -90,7 +90,7 @@ def zscore_sensitivity(df: DataFrame, features: list[str], city: str, thresholds
 
 def iqr_sensitivity(df: DataFrame, value: str, keys: list[str], multipliers: list[float]) -> DataFrame:
     """(multiplier, flag_rate): quartiles once."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
+    q = stats.exact_quantiles(df, keys, value, [0.25, 0.75])
     iqr = F.col("__q")[1] - F.col("__q")[0]
     joined = df.join(q, keys, "left")
     flag = lambda m: F.coalesce((F.col(value) < F.col("__q")[0] - m * iqr) | (F.col(value) > F.col("__q")[1] + m * iqr), F.lit(False))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from geotally.functions.folders import checkpointed
 from geotally.operators import quadtree
+from geotally.operators.stats import exact_quantiles
 
 
 def cells(size: float, x: str = "x", y: str = "y") -> tuple[Column, Column]:
@@ -232,7 +233,8 @@ def proximity_sensitivity(distances: DataFrame, thresholds: list[float], cls: st
 def distance_distribution(distances: DataFrame, city: str = "city") -> DataFrame:
     d = distances.where(F.col("distance") < math.inf)
     qs = {f"p{int(q * 100):02d}": q for q in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)}
-    by = d.groupBy(city).agg(F.count("*").alias("n"), F.avg("distance").alias("mean"), F.stddev_pop("distance").alias("std"), F.min("distance").alias("min"), F.max("distance").alias("max"), F.percentile("distance", F.array(*map(F.lit, qs.values()))).alias("__q"))
+    by = d.groupBy(city).agg(F.count("*").alias("n"), F.avg("distance").alias("mean"), F.stddev_pop("distance").alias("std"), F.min("distance").alias("min"), F.max("distance").alias("max"))
+    by = by.join(exact_quantiles(d, [city], "distance", list(qs.values())).withColumnRenamed(city, "__city"), F.col(city).eqNullSafe(F.col("__city")))
     return by.select(city, "n", "mean", "std", "min", "max", *(F.col("__q")[i].alias(k) for i, k in enumerate(qs)))
 
 

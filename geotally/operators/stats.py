@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geotally.functions.folders import checkpointed
+
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -270,9 +272,46 @@ def monthly_stats(df: DataFrame, month: str, value: str) -> DataFrame:
     return df.groupBy(month).agg(*(F.round(f(value), 4).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))))
 
 
+#: Values of a group that one aggregation buffer may hold; ranges that larger groups are counted in at a time.
+HELD, RANGES = 1_000_000, 4096
+
+
+def _narrowed(rows: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """wanted (g, i, k, lo, hi, ...) with k counted within, and lo and hi of, the range of values that holds the k-th. rows: g, v. by: what tells the ranges of before apart."""
+    open_ = wanted.select("g", "lo", "hi").distinct()
+    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANGES), F.lit(RANGES - 1))).otherwise(0)
+    counted = rows.join(open_, "g").where("v between lo and hi").groupBy(*by, place.alias("range")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy("range")))  # RANGES rows
+    found = wanted.join(upto, by).where("upto >= k and upto - n < k")
+    return checkpointed(found.select("g", "i", "part", (F.col("k") - F.col("upto") + F.col("n")).alias("k"), F.col("low").alias("lo"), F.col("high").alias("hi")))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], held: int = HELD) -> DataFrame:
+    """(keys, __q): an array of the exact quantiles of each group's values, linear between neighbours; groups without values are missing.
+
+    Groups of up to held values are aggregated as they are. If there is a larger one, values are counted in ranges, then in ranges of the range that
+    holds a wanted rank; only distinct values of a narrow range are put in order, so no task holds a group. Values are finite.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("g"), F.col(value).cast("double").alias("v"))
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= held:
+        return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, qs))).alias("__q"))
+    each = sizes.select("*", F.posexplode(F.array(*(F.lit(float(q)) for q in qs))).alias("i", "q")).withColumn("p", F.col("q") * (F.col("n") - 1))
+    low = F.floor("p") + 1
+    ranks = F.array(F.struct(low.alias("k"), F.lit(0).alias("up")), F.struct(F.least(low + 1, F.col("n")).alias("k"), F.lit(1).alias("up")))
+    wanted = checkpointed(each.select("g", "i", "lo", "hi", (F.col("p") - F.floor("p")).alias("rest"), F.inline(ranks)).select("g", "i", "k", "lo", "hi", F.struct("up", "rest").alias("part")))
+    state = _narrowed(rows, _narrowed(rows, wanted, ["g", "lo", "hi"]), ["g", "lo", "hi"])
+    values = rows.join(state.select("g", "lo", "hi").distinct(), "g").where("v between lo and hi").groupBy("g", "lo", "hi", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = values.withColumn("upto", F.sum("n").over(Window.partitionBy("g", "lo", "hi").orderBy("v")))
+    found = state.join(upto, ["g", "lo", "hi"]).where("upto >= k and upto - n < k").groupBy("g", "i").agg(F.max(F.when(F.col("part.up") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("part.up") == 1, F.col("v"))).alias("b"), F.max("part.rest").alias("rest"))
+    q = F.col("a") + (F.col("b") - F.col("a")) * F.col("rest")
+    return found.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", q.alias("q")))), lambda z: z["q"]).alias("__q")).select("g.*", "__q")
+
+
 def year_cutoff(df: DataFrame, year: str, value: str, least: float = 2.0) -> DataFrame:
     """The year before the first whose median falls under least, but not before the first year; without one the last year."""
-    by = df.where(F.col(year).isNotNull() & F.col(value).isNotNull()).groupBy(year).agg(F.percentile(value, 0.5).alias("median"))
+    by = df.where(F.col(year).isNotNull() & F.col(value).isNotNull())
+    by = exact_quantiles(by, [year], value, [0.5]).select(year, F.col("__q")[0].alias("median"))
     first = F.min(F.when(F.col("median") < least, F.col(year)))
     return by.agg(F.coalesce(F.greatest(first - 1, F.min(year)), F.max(year)).alias("cutoff_year"))
 
