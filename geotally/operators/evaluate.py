@@ -265,7 +265,7 @@ def power_law(df: DataFrame, x: str, y: str, keys: list[str] = ()) -> DataFrame:
     """(keys, a, b, r2) of y = a x^b by least squares of the logarithms; r2 on the raw scale."""
     d = df.where((F.col(x) > 0) & (F.col(y) > 0))
     fit = d.groupBy(*keys).agg(F.exp(F.regr_intercept(F.ln(y), F.ln(x))).alias("a"), F.regr_slope(F.ln(y), F.ln(x)).alias("b"), F.avg(y).alias("m"))
-    both = d.join(F.broadcast(fit), list(keys)) if keys else d.join(F.broadcast(fit))  # a row a key
+    both = d.join(fit, list(keys)) if keys else d.join(F.broadcast(fit))  # without keys one row
     return both.groupBy(*keys, "a", "b").agg((1 - F.sum((F.col(y) - F.col("a") * F.pow(x, F.col("b"))) ** 2) / F.sum((F.col(y) - F.col("m")) ** 2)).alias("r2"))
 
 

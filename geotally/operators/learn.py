@@ -30,7 +30,7 @@ def balanced_weights(df: DataFrame, cls: str, out: str = "weight") -> DataFrame:
     by = df.groupBy(F.col(cls).alias("__c")).agg(F.count("*").alias("__n"))
     every = Window.partitionBy()
     weights = by.select("__c", (F.sum("__n").over(every) / (F.count(F.lit(1)).over(every) * F.col("__n"))).alias(out))
-    return df.join(F.broadcast(weights), df[cls].eqNullSafe(weights["__c"])).drop("__c")
+    return df.join(weights, df[cls].eqNullSafe(weights["__c"])).drop("__c")
 
 
 def prepare_training_data(train: DataFrame, others: dict[str, DataFrame], features: list[str], cls: str) -> tuple[dict[str, DataFrame], DataFrame, dict]:

@@ -38,7 +38,7 @@ def outlier_mahalanobis(df: DataFrame, features: list[str], cls: str, alpha: flo
     if ill:
         means = df.sparkSession.createDataFrame([(k, [float(v) for v in m]) for k, m in ill.items()], f"`{cls}` {df.schema[cls].dataType.simpleString()}, __m array<double>")
         norm = sum(((F.col(f) - F.get("__m", F.lit(i))) ** 2 for i, f in enumerate(features)), F.lit(0.0))
-        fourth = df.dropna(subset=features).join(F.broadcast(means), cls).groupBy(cls).agg(F.sum(norm * norm).alias("q"))  # classes
+        fourth = df.dropna(subset=features).join(means, cls).groupBy(cls).agg(F.sum(norm * norm).alias("q"))
         for r in fourth.collect():
             n, m, c = rows[r[cls]]
             rows[r[cls]] = n, m, shrunk(c, n, r["q"])

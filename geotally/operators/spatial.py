@@ -105,13 +105,13 @@ def inside(ring: Column, x: Column, y: Column, buffer: float = 0.0) -> Column:
 def within_buffered_boundary(df: DataFrame, boundary: DataFrame, buffer: float = 500.0, city: str = "city") -> DataFrame:
     """Points within buffer of their city's ring. boundary: (city, ring array of (x, y)), one row a city."""
     ring = boundary.select(F.col(city).alias("__city"), "ring")
-    joined = df.join(F.broadcast(ring), F.col(city) == F.col("__city"))  # cities
+    joined = df.join(ring, F.col(city) == F.col("__city"))  # broadcast by Spark only where the rings are small
     return joined.where(inside(F.col("ring"), F.col("x"), F.col("y"), buffer)).select(*df.columns)
 
 
 def validate_within(df: DataFrame, boundary: DataFrame, tolerance: float = 10.0, city: str = "city") -> DataFrame:
     ring = boundary.select(F.col(city).alias("__city"), "ring")
-    joined = df.join(F.broadcast(ring), F.col(city) == F.col("__city"), "left")
+    joined = df.join(ring, F.col(city) == F.col("__city"), "left")
     ok = F.coalesce(inside(F.col("ring"), F.col("x"), F.col("y"), tolerance), F.lit(False))
     return joined.groupBy(city).agg(F.count("*").alias("n"), F.count_if(~ok).alias("n_outside"))
 
