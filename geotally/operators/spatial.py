@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geotally.functions.folders import checkpointed
-from geotally.operators import quadtree
+from geotally.operators import polygons, quadtree
+from geotally.operators.polygons import ring_area
 from geotally.operators.stats import exact_quantiles
 
 
@@ -79,45 +80,14 @@ def reproject(df: DataFrame, crs: str | None, lon: str = "x", lat: str = "y", to
     return df.withColumns({"x": x, "y": y})
 
 
-def _edges(ring: Column) -> Column:
-    """Edges (p, q) of a closed ring of (x, y)."""
-    n = F.size(ring)
-    return F.transform(ring, lambda p, i: F.struct(p.alias("p"), F.get(ring, (i + 1) % n).alias("q")))
-
-
-def inside(ring: Column, x: Column, y: Column, buffer: float = 0.0) -> Column:
-    """Within a ring, or at most buffer away from it."""
-    def crosses(e: Column) -> Column:
-        p, q = e["p"], e["q"]
-        return ((p["y"] > y) != (q["y"] > y)) & (x < (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"])
-
-    def away2(e: Column) -> Column:
-        p, q = e["p"], e["q"]
-        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(((x - p["x"]) * dx + (y - p["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))))
-        return F.pow(x - p["x"] - t * dx, F.lit(2.0)) + F.pow(y - p["y"] - t * dy, F.lit(2.0))
-
-    edges = _edges(ring)
-    odd = F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
-    return odd if not buffer else odd | (F.array_min(F.transform(edges, away2)) <= buffer * buffer)
-
-
 def within_buffered_boundary(df: DataFrame, boundary: DataFrame, buffer: float = 500.0, city: str = "city") -> DataFrame:
-    """Points within buffer of their city's ring. boundary: (city, ring array of (x, y)), one row a city."""
-    ring = boundary.select(F.col(city).alias("__city"), "ring")
-    joined = df.join(ring, F.col(city) == F.col("__city"))  # broadcast by Spark only where the rings are small
-    return joined.where(inside(F.col("ring"), F.col("x"), F.col("y"), buffer)).select(*df.columns)
+    """Points within buffer of their city's polygons. boundary: (city, part, ring array of (x, y)), see polygons; without part each row is one."""
+    return polygons.located(df, boundary, buffer, city).where("__within").drop("__within")
 
 
 def validate_within(df: DataFrame, boundary: DataFrame, tolerance: float = 10.0, city: str = "city") -> DataFrame:
-    ring = boundary.select(F.col(city).alias("__city"), "ring")
-    joined = df.join(ring, F.col(city) == F.col("__city"), "left")
-    ok = F.coalesce(inside(F.col("ring"), F.col("x"), F.col("y"), tolerance), F.lit(False))
-    return joined.groupBy(city).agg(F.count("*").alias("n"), F.count_if(~ok).alias("n_outside"))
-
-
-def ring_area(ring: Column) -> Column:
-    return F.abs(F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"])) / 2
+    found = polygons.located(df, boundary, tolerance, city)
+    return found.groupBy(city).agg(F.count("*").alias("n"), F.count_if(~F.col("__within")).alias("n_outside"))
 
 
 def largest_polygon(parts: DataFrame, key: str) -> DataFrame:

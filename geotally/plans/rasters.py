@@ -35,6 +35,16 @@ def ra4_clip_cells(spark, d):
     return rounded(raster.clip_cells(cells(spark, d), ring, 3.0))
 
 
+#: Two parts, the first with a hole; sides lie between the centres of cells.
+HOLED = [("A", 1, [(5.0, 8.0), (20.0, 8.0), (20.0, 30.0), (5.0, 30.0)]), ("A", 1, [(9.0, 12.0), (16.0, 12.0), (16.0, 25.0), (9.0, 25.0)]), ("A", 2, [(26.0, 3.0), (38.0, 3.0), (38.0, 18.0), (26.0, 18.0)])]
+BOXED = "(x BETWEEN 5 AND 20 AND y BETWEEN 8 AND 30 AND NOT (x BETWEEN 9 AND 16 AND y BETWEEN 12 AND 25)) OR (x BETWEEN 26 AND 38 AND y BETWEEN 3 AND 18)"
+
+
+@query(f"WITH {cells_sql('c')}, m AS (SELECT *, col + 0.5 AS x, row + 0.5 AS y FROM c) SELECT city, col, row, {R('value')} AS value FROM m WHERE city = 'A' AND ({BOXED})")
+def ra4_clip_cells_parts(spark, d):
+    return rounded(raster.clip_cells(cells(spark, d), spark.createDataFrame(HOLED, "city string, part int, ring array<struct<x:double,y:double>>"), 0.0))
+
+
 INDEX_SQL = {
     "NDVI": "(B8 - B4) / nullif(B8 + B4, 0)", "GNDVI": "(B8 - B3) / nullif(B8 + B3, 0)", "EVI": "2.5 * (B8 / 10000 - B4 / 10000) / nullif(B8 / 10000 + 6 * (B4 / 10000) - 7.5 * (B2 / 10000) + 1, 0)", "VARI": "(B3 - B4) / nullif(B3 + B4 - B2, 0)",
     "NDre1": "(B8 - B5) / nullif(B8 + B5, 0)", "NDVIre": "(B8 - B6) / nullif(B8 + B6, 0)", "CIre": "B8 / nullif(B5, 0) - 1", "IRECI": "(B7 - B4) / nullif(B5 / nullif(B6, 0), 0)", "RTVIcore": "100 * (B8 - B5) - 10 * (B8 - B3)",

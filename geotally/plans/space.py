@@ -38,6 +38,42 @@ def sp3_validate_within(spark, d):
     return spatial.validate_within(points(spark, d), boundary(spark), 10.0)
 
 
+#: (city, part, ring): a part with a hole that reaches over x = 0, a part apart from it, and one that overlaps the first.
+PARTS = [
+    ("source", 1, [(-150.0, -200.0), (120.0, -180.0), (90.0, 160.0), (-120.0, 190.0)]), ("source", 1, [(-60.0, -90.0), (55.0, -70.0), (40.0, 60.0), (-10.0, 20.0), (-50.0, 70.0)]),
+    ("source", 2, [(160.0, -40.0), (260.0, -60.0), (230.0, 80.0), (200.0, 10.0)]), ("source", 3, [(60.0, 100.0), (180.0, 120.0), (150.0, 210.0)]),
+    ("target", 1, [(-180.0, -20.0), (0.0, -190.0), (170.0, 10.0), (20.0, 180.0)]), ("target", 1, [(-30.0, -30.0), (30.0, -30.0), (30.0, 30.0), (-30.0, 30.0)]),
+]
+
+
+def parts(spark):
+    return spark.createDataFrame(PARTS, "city string, part int, ring array<struct<x:double,y:double>>")
+
+
+#: The edges of PARTS and, of each of the points p, whether its city's region has it and how far the nearest edge is: edge by edge, part by part.
+EDGES = ", ".join(f"('{c}', {k}, CAST({x1} AS DOUBLE), CAST({y1} AS DOUBLE), CAST({x2} AS DOUBLE), CAST({y2} AS DOUBLE))" for c, k, r in PARTS for (x1, y1), (x2, y2) in zip(r, r[1:] + r[:1], strict=True))
+FOUND = f"""edg(city, part, px, py, qx, qy) AS (VALUES {EDGES}),
+pe AS (SELECT p.id, p.city, e.part, CASE WHEN (py > p.y) <> (qy > p.y) AND p.x < (qx - px) * (p.y - py) / nullif(qy - py, 0) + px THEN 1 ELSE 0 END AS odd,
+    greatest(0, least(1, ((p.x - px) * (qx - px) + (p.y - py) * (qy - py)) / ((qx - px) * (qx - px) + (qy - py) * (qy - py)))) AS t, p.x - px AS ux, p.y - py AS uy, qx - px AS dx, qy - py AS dy FROM p JOIN edg e ON p.city = e.city),
+pp AS (SELECT id, city, part, sum(odd) % 2 = 1 AS within, min(pow(ux - t * dx, 2) + pow(uy - t * dy, 2)) AS away2 FROM pe GROUP BY ALL),
+found AS (SELECT id, city, bool_or(within) AS within, min(away2) AS away2 FROM pp GROUP BY ALL)"""
+
+
+@query(f"WITH {PTS}, p AS (SELECT id, city, x, y FROM pts), {FOUND} SELECT id, city FROM found WHERE within OR away2 <= 225")
+def sp2_within_buffered_parts(spark, d):
+    return spatial.within_buffered_boundary(points(spark, d), parts(spark), 15.0).select("id", "city")
+
+
+@query(f"WITH {PTS}, p AS (SELECT id, city, x, y FROM pts), {FOUND} SELECT id, city FROM found WHERE within")
+def sp3_clip_to_parts(spark, d):
+    return spatial.within_buffered_boundary(points(spark, d), parts(spark), 0.0).select("id", "city")
+
+
+@query(f"WITH {PTS}, p AS (SELECT id, city, x, y FROM pts), {FOUND} SELECT city, count(*) AS n, count(*) FILTER (WHERE NOT within AND away2 > 100) AS n_outside FROM found GROUP BY city")
+def sp3_validate_within_parts(spark, d):
+    return spatial.validate_within(points(spark, d), parts(spark), 10.0)
+
+
 @query(f"WITH {PTS}, t AS (SELECT city, id, abs(x * y) AS a FROM pts) SELECT city, max(a) AS top FROM (SELECT city, {R('a')} AS a FROM t) GROUP BY city")
 def sp4_largest_polygon(spark, d):
     parts = points(spark, d).select("city", F.expr("array(named_struct('x', 0D, 'y', 0D), named_struct('x', x, 'y', 0D), named_struct('x', x, 'y', y), named_struct('x', 0D, 'y', y))").alias("ring"))
