@@ -12,70 +12,116 @@ from pyspark.sql import functions as F
 from geotally.functions.folders import checkpointed
 
 
-def _assign(blocks: list, counts: np.ndarray, n_splits: int, seed: int) -> np.ndarray:
-    """Blocks to folds: shuffled, most uneven class counts first, each to the fold that keeps the classes' shares most even."""
-    order = np.random.default_rng(seed).permutation(len(blocks))
-    order = order[np.argsort(-counts[order].std(axis=1), kind="stable")]
-    total, folds, size = np.maximum(counts.sum(axis=0), 1), np.zeros((n_splits, counts.shape[1])), np.zeros(n_splits)
-    out = np.empty(len(blocks), int)
-    for b in order:
-        spread = [((folds + (np.arange(n_splits) == k)[:, None] * counts[b]) / total).std(axis=0).mean() for k in range(n_splits)]
-        k = min(range(n_splits), key=lambda k: (round(spread[k], 12), size[k], k))
-        folds[k] += counts[b]
-        size[k] += counts[b].sum()
-        out[b] = k
-    return out
-
-
-def _histogram(df: DataFrame, block: str, cls: str) -> tuple[list, np.ndarray]:
-    rows = df.groupBy(block, cls).count().orderBy(block, cls).collect()  # blocks times classes
-    blocks, classes = list(dict.fromkeys(r[0] for r in rows)), sorted({r[1] for r in rows if r[1] is not None})
-    counts = np.zeros((len(blocks), len(classes)))
-    at, ct = {b: i for i, b in enumerate(blocks)}, {c: i for i, c in enumerate(classes)}
-    for r in rows:
-        if r[1] is not None:
-            counts[at[r[0]], ct[r[1]]] += r[2]
-    return blocks, counts
-
-
-def _labelled(df: DataFrame, block: str, labels: dict, out: str, kind: str) -> DataFrame:
-    table = df.sparkSession.createDataFrame(list(labels.items()), f"__b {df.schema[block].dataType.simpleString()}, `{out}` {kind}")
+#: Groups of blocks that are dealt to folds on the driver, and the bases of the logarithms by which counts are taken for alike when there are more.
+GROUPS, BASES = 4096, (2**0.125, 2**0.5, 2.0, 4.0, 16.0)
+
+
+def _histograms(df: DataFrame, block: str, cls: str) -> tuple[DataFrame, list]:
+    """(b, key, counts): the class counts of every block; and the classes in order. Rows without class count nowhere, their blocks are blocks all the same."""
+    classes = [r[0] for r in df.where(F.col(cls).isNotNull()).select(cls).distinct().orderBy(cls).collect()]  # a row a class
+    by = df.groupBy(F.col(block).alias("b"), F.col(cls).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    found = by.groupBy("b").agg(F.map_from_entries(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("c", "n")))).alias("m"))
+    kind = df.schema[cls].dataType
+    counts = F.array(*(F.coalesce(F.try_element_at("m", F.lit(c).cast(kind)), F.lit(0).cast("long")) for c in classes)) if classes else F.array().cast("array<bigint>")
+    key = F.coalesce(F.concat(F.lit("="), F.col("b").cast("string")), F.lit(""))
+    return checkpointed(found.select("b", key.alias("key"), counts.alias("counts"))), classes
+
+
+def _code(base: float | None) -> Column:
+    """Blocks of one code are dealt as alike: of equal counts, or without base of the same largest class and about the same size."""
+    if base == 1:
+        return F.concat_ws(",", F.col("counts").cast("array<string>"))
+    if base is None:
+        total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, n: s + n)
+        return F.concat_ws(":", F.array_position("counts", F.array_max("counts")).cast("string"), F.floor(F.log2(total + 1)).cast("string"))
+    return F.concat_ws(",", F.transform("counts", lambda n: F.floor(F.ln(n + 1) / math.log(base)).cast("string")))
+
+
+def _deal(sizes: np.ndarray, sums: np.ndarray, n_splits: int, seed: int) -> np.ndarray:
+    """How many blocks of each group go to each fold: as many to all as can be, the rest one by one, groups of the most uneven class counts
+    first, each block to the fold that keeps the classes' shares most even."""
+    mean = sums / sizes[:, None]
+    whole, rest = np.divmod(sizes, n_splits)
+    quota = np.repeat(whole[:, None], n_splits, axis=1)
+    folds = np.repeat((whole[:, None] * mean).sum(axis=0)[None], n_splits, axis=0)
+    order = np.random.default_rng(seed).permutation(len(sizes))
+    order = order[np.argsort(-mean[order].std(axis=1), kind="stable")]
+    total, one = np.maximum(sums.sum(axis=0), 1), np.eye(n_splits)[:, :, None]
+    for g in order:
+        for _ in range(rest[g]):
+            spread = ((folds[None] + one * mean[g]) / total).std(axis=1).mean(axis=1)
+            k = np.lexsort((folds.sum(axis=1), np.round(spread, 12)))[0]
+            folds[k] += mean[g]
+            quota[g, k] += 1
+    return quota
+
+
+def _dealt(blocks: DataFrame, n_classes: int, n_splits: int, seed: int) -> DataFrame:
+    """blocks with their fold. The driver gets a row a group of blocks, never more than GROUPS or 64 a class, however many blocks there are.
+
+    Groups are made of blocks with equal class counts, or with counts in the same range where there are too many, by wider and wider ranges. Which of a
+    group's blocks go to which fold is a matter of their hash, by a threshold a fold.
+    """
+    for base in (1, *BASES, None):
+        coded = blocks.withColumn("code", _code(base))
+        if base is None or coded.select("code").distinct().limit(GROUPS + 1).count() <= GROUPS:
+            break
+    groups = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.sum(F.col("counts")[i]) for i in range(n_classes))).alias("sums")).orderBy("code").collect()
+    sizes = np.array([r["n"] for r in groups])
+    quota = _deal(sizes, np.array([r["sums"] for r in groups], float).reshape(len(groups), n_classes), n_splits, seed)
+    last = [int(np.flatnonzero(q)[-1]) for q in quota]
+    spark = blocks.sparkSession
+    numbered = coded.join(spark.createDataFrame([(r["code"], g, last[g]) for g, r in enumerate(groups)], "code string, g int, last int"), "code").drop("code")
+    upto = quota.cumsum(axis=1)
+    wanted = [(g, f, int(upto[g, f])) for g in range(len(groups)) for f in np.flatnonzero(quota[g]).tolist() if f != last[g]]
+    if not wanted:
+        return numbered.withColumnRenamed("last", "fold").drop("g")
+    places = kth_places(numbered, "g", spark.createDataFrame(wanted, "c int, name int, k long"), "key", seed)
+    limits = places.groupBy(F.col("c").alias("g")).agg(F.sort_array(F.collect_list(F.struct("name", F.struct("h", "key").alias("place")))).alias("limits"))  # the folds
+    mine = F.struct(_place(numbered, "key", seed).alias("h"), F.col("key").alias("key"))
+    first = F.get(F.filter("limits", lambda v: mine <= v["place"]), F.lit(0))["name"]
+    return numbered.join(limits, "g", "left").withColumn("fold", F.coalesce(first, "last")).drop("g", "last", "limits")
+
+
+def _labelled(df: DataFrame, block: str, blocks: DataFrame, label: Column, out: str) -> DataFrame:
+    table = blocks.select(F.col("b").alias("__b"), label.alias(out))
     return df.join(table, df[block].eqNullSafe(table["__b"])).drop("__b")
 
 
 def stratified_group_folds(df: DataFrame, block: str, cls: str, n_splits: int, seed: int = 42, out: str = "fold") -> DataFrame:
-    """df with its fold: whole blocks, classes balanced greedily. Only the block by class histogram is worked on outside Spark."""
-    blocks, counts = _histogram(df, block, cls)
-    if n_splits < 2 or counts.shape[1] < 2 or len(blocks) < n_splits:
+    """df with its fold: whole blocks, classes balanced greedily over groups of blocks of like class counts."""
+    blocks, classes = _histograms(df, block, cls)
+    if n_splits < 2 or len(classes) < 2 or blocks.limit(n_splits).count() < n_splits:
         raise ValueError("two splits, two classes and a block a split are needed")
-    return _labelled(df, block, dict(zip(blocks, map(int, _assign(blocks, counts, n_splits, seed)), strict=True)), out, "int")
+    return _labelled(df, block, checkpointed(_dealt(blocks, len(classes), n_splits, seed)), F.col("fold"), out)
 
 
 def split_source(df: DataFrame, block: str, cls: str, ratios: tuple[float, float, float] = (0.70, 0.15, 0.15), seed: int = 42) -> DataFrame:
     """df with split train, val or test: about 30 % of ten folds held out and halved again."""
     if abs(sum(ratios) - 1) > 1e-9:
         raise ValueError("ratios must sum to 1")
-    blocks, counts = _histogram(df, block, cls)
-    if len(blocks) < 3:
+    blocks, classes = _histograms(df, block, cls)
+    n = blocks.limit(10).count()
+    if n < 3:
         raise ValueError("three blocks are needed")
-    n = min(10, len(blocks))
-    fold = _assign(blocks, counts, n, seed)
-    held = np.flatnonzero(fold < max(1, round((ratios[1] + ratios[2]) * n)))
-    if len(held) < 2:
+    dealt = checkpointed(_dealt(blocks, len(classes), n, seed))
+    out = F.col("fold") < max(1, round((ratios[1] + ratios[2]) * n))
+    held = dealt.where(out).drop("fold")
+    if held.limit(2).count() < 2:
         raise ValueError("two blocks must be held out")
-    half = _assign([blocks[i] for i in held], counts[held], 2, seed)
-    labels = dict.fromkeys(blocks, "train") | {blocks[i]: ("val", "test")[h] for i, h in zip(held, half, strict=True)}
-    return _labelled(df, block, labels, "split", "string")
+    half = _dealt(held, len(classes), 2, seed).select("b", F.element_at(F.array(F.lit("val"), F.lit("test")), F.col("fold") + 1).alias("split"))
+    both = checkpointed(dealt.where(~out).select("b", F.lit("train").alias("split")).unionByName(half))
+    return _labelled(df, block, both, F.col("split"), "split")
 
 
 def split_target(df: DataFrame, block: str, cls: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """df with split finetune or test: the first of five folds is the test."""
-    blocks, counts = _histogram(df, block, cls)
-    n = min(5, len(blocks))
+    blocks, classes = _histograms(df, block, cls)
+    n = blocks.limit(5).count()
     if n < 2:
         raise ValueError("two blocks are needed")
-    fold = _assign(blocks, counts, n, seed)
-    return _labelled(df, block, {b: "test" if f < max(1, round(share * n)) else "finetune" for b, f in zip(blocks, fold, strict=True)}, "split", "string")
+    label = F.when(F.col("fold") < max(1, round(share * n)), "test").otherwise("finetune")
+    return _labelled(df, block, checkpointed(_dealt(blocks, len(classes), n, seed)), label, "split")
 
 
 def class_shares(df: DataFrame, split: str, cls: str) -> DataFrame:

@@ -240,6 +240,31 @@ def sl3_split_target(spark, d):
     return splits.split_summary(splits.split_target(blocked(spark, d).where("city = 'target'"), "block_id", "cls"), ["city", "split"], "block_id")
 
 
+def invariants(df, label):
+    """Each class's rows, the number of labels, and whether no block has two of them."""
+    shared = splits.block_overlap(df, label, "block_id").agg((F.count("*") == 0).alias("disjoint"))
+    return df.groupBy("cls").agg(F.count("*").alias("n")).join(shared).join(df.agg(F.countDistinct(label).alias("n_labels")))  # one row each
+
+
+def invariants_sql(where: str, labels: int) -> str:
+    return f"WITH {PTS} SELECT cls, count(*) AS n, true AS disjoint, CAST({labels} AS BIGINT) AS n_labels FROM pts WHERE {where} GROUP BY cls"
+
+
+@query(invariants_sql("true", 3))
+def sl1_fold_invariants(spark, d):
+    return invariants(splits.stratified_group_folds(blocked(spark, d), "block_id", "cls", 3), "fold")
+
+
+@query(invariants_sql("city = 'source'", 3))
+def sl2_source_invariants(spark, d):
+    return invariants(splits.split_source(blocked(spark, d).where("city = 'source'"), "block_id", "cls"), "split")
+
+
+@query(invariants_sql("city = 'target'", 2))
+def sl3_target_invariants(spark, d):
+    return invariants(splits.split_target(blocked(spark, d).where("city = 'target'"), "block_id", "cls"), "split")
+
+
 def halves(spark, d):
     return points(spark, d).withColumns({"split": F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("id") % 3 + 1).cast("int")), "block_id": F.col("id") % 40})
 
