@@ -37,7 +37,11 @@ def rank_table(df: DataFrame, value: str, keys: list[str] = (), cuts: int = 100)
     and the ranges' sizes are added up. No task sorts a whole group, whatever share of the rows it has.
     """
     keys = list(keys)
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    return _ranked(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n")), value, keys, cuts)
+
+
+def _ranked(distinct: DataFrame, value: str, keys: list[str], cuts: int = 100) -> DataFrame:
+    """rank_table() of values that are counted already: (keys, value, __n), no value NULL."""
     at = distinct.groupBy(*keys).agg(F.percentile_approx(value, F.array(*(F.lit(i / cuts) for i in range(1, cuts))), F.lit(1000)).alias("__cuts"))
     ranged = _on(distinct, at, keys).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
     sizes = ranged.groupBy(*keys, "__range").agg(F.sum("__n").alias("__s"))
@@ -53,15 +57,15 @@ def with_rank(df: DataFrame, value: str, out: str, keys: list[str] = (), n: str
     return _on(df, table.select(*keys, value, F.col("__rank").alias(out), *([F.col("__all").alias(n)] if n else [])), [*keys, value])
 
 
-def city_percentiles(df: DataFrame, rare: DataFrame, value: str, city: str) -> DataFrame:
+def city_percentiles(counted: DataFrame, rare: DataFrame, value: str, city: str) -> DataFrame:
     """(city, value, __p): percentile among all values of the city of each distinct value in rare, which is a bounded table.
 
-    The city's rows are only counted between the rare values, so nothing is sorted.
+    The city's values, as (city, value, __n), are only counted between the rare ones, so nothing is sorted.
     """
     marks = rare.groupBy(city).agg(F.array_sort(F.collect_set(value)).alias("__marks"))
     below = F.size(F.filter("__marks", lambda u: u < F.col(value)))
-    counted = _on(df.where(F.col(value).isNotNull()), marks, [city]).where("__marks is not null")
-    counts = counted.groupBy(city, below.alias("__j")).agg(F.count("*").alias("__c"), F.count_if(F.array_contains("__marks", F.col(value))).alias("__e"))
+    near = _on(counted.where(F.col(value).isNotNull()), marks, [city]).where("__marks is not null")
+    counts = near.groupBy(city, below.alias("__j")).agg(F.sum("__n").alias("__c"), F.sum(F.when(F.array_contains("__marks", F.col(value)), F.col("__n")).otherwise(0)).alias("__e"))
     spread = _on(counts, marks, [city]).select(city, "__c", "__e", "__j", F.get("__marks", F.col("__j")).alias(value))
     group = Window.partitionBy(city)
     at_most = F.sum("__c").over(group.orderBy("__j"))
@@ -69,28 +73,59 @@ def city_percentiles(df: DataFrame, rare: DataFrame, value: str, city: str) -> D
     return spread.select(city, value, (rank * 100.0 / F.sum("__c").over(group)).alias("__p")).where(F.col(value).isNotNull())
 
 
+def _value_counts(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, value, __n), written: the one pass over df by which its groups are described. NULL is a value here."""
+    return checkpointed(df.groupBy(*keys, value).agg(F.count("*").alias("__n")))
+
+
+def _moments(counted: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, __g, __v, __lo, __hi, __m, __q, __s) of groups of counted values: rows, values, least, largest, mean, sum of squares about it and
+    spread (ddof 1). A row a group. Equal values have no spread at all, whatever their sum is rounded to."""
+    v = F.col(value).cast("double")
+    n = F.when(v.isNotNull(), F.col("__n")).otherwise(0)
+    means = counted.groupBy(*keys).agg(F.sum("__n").alias("__g"), F.sum(n).alias("__v"), F.min(v).alias("__lo"), F.max(v).alias("__hi"), (F.sum(F.col("__n") * v) / F.nullif(F.sum(n), F.lit(0))).alias("__m"))
+    about = _on(counted, means.select(*keys, F.col("__m")), keys)
+    squares = about.groupBy(*keys).agg(F.sum(F.col("__n") * (v - F.col("__m")) * (v - F.col("__m"))).alias("__q"))
+    q = F.when(F.col("__lo") == F.col("__hi"), F.lit(0.0)).otherwise(F.col("__q"))
+    return _on(means, squares, keys).withColumn("__q", q).withColumn("__s", F.when(F.col("__v") > 1, F.sqrt(F.col("__q") / (F.col("__v") - 1))))
+
+
+def _merged_moments(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, __cm, __cs): mean and spread of groups of groups."""
+    total = groups.groupBy(*keys).agg(F.sum("__v").alias("__cv"), (F.sum(F.col("__v") * F.col("__m")) / F.nullif(F.sum("__v"), F.lit(0))).alias("__cm"), (F.min("__lo") == F.max("__hi")).alias("__flat"))
+    apart = _on(groups, total.select(*keys, "__cm"), keys)
+    between = apart.groupBy(*keys).agg(F.sum(F.coalesce(F.col("__q"), F.lit(0.0)) + F.coalesce(F.col("__v") * F.pow(F.col("__m") - F.col("__cm"), F.lit(2.0)), F.lit(0.0))).alias("__cq"))
+    spread = F.when(F.col("__flat"), F.lit(0.0)).when(F.col("__cv") > 1, F.sqrt(F.col("__cq") / (F.col("__cv") - 1)))
+    return _on(total, between, keys).select(*keys, "__cm", spread.alias("__cs"))
+
+
 def group_scores_with_fallback(df: DataFrame, value: str, cls: str, city: str = "city", least: int = 10) -> DataFrame:
     """{value}_zscore and {value}_percentile within (city, class), or within the city where the class has few rows there.
 
-    z: 0 for a whole group without spread. Percentile: the average rank in per cent of the group's values.
+    z: 0 for a whole group without spread. Percentile: the average rank in per cent of the group's values. Both follow from (city, class, value) alone:
+    df is read once to count those, and once for the one join with their scores.
     """
     v, keys, few = F.col(value), [city, cls], F.col("__g") < least
-    groups = df.groupBy(*keys).agg(F.count("*").alias("__g"), F.avg(value).alias("__m1"), F.stddev_samp(value).alias("__s1"))
-    ranked = _on(rank_table(df, value, keys).withColumn("__p1", F.col("__rank") * 100.0 / F.col("__all")), groups, keys)
-    fallback = city_percentiles(df, ranked.where(few).select(city, value), value, city)  # under least rows a class and city
-    scores = _on(ranked, fallback, [city, value]).select(*keys, value, F.when(few, F.col("__p")).otherwise(F.col("__p1")).alias("__percentile"))
-    moments = df.groupBy(city).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
-    out = _on(_on(_on(df, scores, [*keys, value]), groups, keys), moments, [city])
-    z = F.when(few, zscore(v, F.col("__m"), F.col("__s"))).otherwise(zscore(v, F.col("__m1"), F.col("__s1")))
-    return out.select(*df.columns, z.alias(f"{value}_zscore"), F.col("__percentile").alias(f"{value}_percentile"))
+    counted = _value_counts(df, value, keys)
+    groups = checkpointed(_moments(counted, value, keys))
+    values = counted.where(v.isNotNull())
+    ranked = checkpointed(_on(_ranked(values, value, keys).select(*keys, value, (F.col("__rank") * 100.0 / F.col("__all")).alias("__p1")), groups.select(*keys, "__g"), keys))
+    fallback = city_percentiles(values, ranked.where(few).select(city, value), value, city)  # under least rows a class and city
+    found = _on(_on(_on(counted, ranked.drop("__g"), [*keys, value]), groups, keys), _merged_moments(groups, [city]), [city])
+    z = F.when(few, zscore(v, F.col("__cm"), F.col("__cs"))).otherwise(zscore(v, F.col("__m"), F.col("__s")))
+    p = F.when(few, F.col("__p")).otherwise(F.col("__p1"))
+    scores = checkpointed(_on(found, fallback, [city, value]).select(*keys, value, z.alias("__z"), p.alias("__percentile")))
+    out = _on(df, scores, [*keys, value])
+    return out.select(*df.columns, F.col("__z").alias(f"{value}_zscore"), F.col("__percentile").alias(f"{value}_percentile"))
 
 
 def group_scores(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """zscore (ddof 1) and pct_rank (average rank / n * 100) per group, NULL values left out."""
     d = df.where(F.col(value).isNotNull())
-    by = d.groupBy(*keys).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
-    out = _on(with_rank(d, value, "__r", keys, "__of"), by, keys)
-    return out.select(*df.columns, zscore(F.col(value), F.col("__m"), F.col("__s")).alias("zscore"), (F.col("__r") * 100.0 / F.col("__of")).alias("pct_rank"))
+    counted = _value_counts(d, value, keys)
+    found = _on(_ranked(counted, value, list(keys)), _moments(counted, value, keys), keys)
+    scores = checkpointed(found.select(*keys, value, zscore(F.col(value), F.col("__m"), F.col("__s")).alias("__z"), (F.col("__rank") * 100.0 / F.col("__all")).alias("__p")))
+    return _on(d, scores, [*keys, value]).select(*df.columns, F.col("__z").alias("zscore"), F.col("__p").alias("pct_rank"))
 
 
 def eta_squared(df: DataFrame, value: str, cls: str, least: int = 2) -> DataFrame:

@@ -36,9 +36,21 @@ def sorted_by_group(df):
     return [line for line in text.split("\n") if re.match(r"[\W:]*Window ", line) and not re.search(r"__range#|sum\(__s#|sum\(__c#", line)]
 
 
+def nodes(df):
+    """Exchanges and scans of the plan that Spark runs for df."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"Exchange (?:hash|range|Single|Round)", text)), len(re.findall(r"FileScan|Scan ExistingRDD|LocalTableScan", text))
+
+
+def test_ranks_sort_ranges_only(frame):
+    assert not sorted_by_group(stats.rank_table(frame, "v", ["city", "cls"]))
+
+
 def test_scores_with_fallback(frame):
     out = stats.group_scores_with_fallback(frame, "v", "cls")
-    assert out.columns == ["id", "city", "cls", "v", "v_zscore", "v_percentile"] and not sorted_by_group(out)
+    assert out.columns == ["id", "city", "cls", "v", "v_zscore", "v_percentile"]
+    exchanges, scans = nodes(out)
+    assert exchanges <= 3 and scans == 2
     got = out.collect()
     assert sorted(r["id"] for r in got) == [r[0] for r in ROWS]
     for r in got:
@@ -49,9 +61,19 @@ def test_scores_with_fallback(frame):
 
 def test_scores(frame):
     out = stats.group_scores(frame, "v", ["city", "cls"])
-    assert not sorted_by_group(out)
+    exchanges, scans = nodes(out)
+    assert exchanges <= 3 and scans == 2
     got = out.collect()
     assert sorted(r["id"] for r in got) == [r[0] for r in ROWS if r[3] is not None]
     for r in got:
         group = [x[3] for x in ROWS if x[1:3] == (r["city"], r["cls"]) and x[3] is not None]
         assert same(r["zscore"], z(r["v"], group)) and same(r["pct_rank"], percent(r["v"], group)), r
+
+
+def test_groups_without_spread_or_values(spark):
+    rows = [(i, "a", "one", 0.1) for i in range(12)] + [(20 + i, "a", "two", 0.1) for i in range(3)] + [(30, "a", "three", 0.1)] + [(40 + i, "b", "none", None) for i in range(12)] + [(60, None, None, 1e9), (61, None, None, 1e9 + 1)]
+    df = spark.createDataFrame(rows, "id long, city string, cls string, v double")
+    got = {r["id"]: (r["v_zscore"], r["v_percentile"]) for r in stats.group_scores_with_fallback(df, "v", "cls").collect()}
+    assert len(got) == len(rows) and got[0] == (0.0, 13 / 24 * 100) and got[20] == got[30] == (0.0, 17 / 32 * 100) and got[40] == (0.0, None)
+    assert same(got[60][0], -(0.5**0.5)) and got[61][1] == 100.0
+    assert stats.group_scores_with_fallback(df.where("id < 0"), "v", "cls").count() == 0 and stats.group_scores(df, "v", ["city"]).count() == 18

@@ -66,3 +66,18 @@ def test_select_months_contract(spark):
             prep.select_months(df, months, ["N"], ["id"])
     with pytest.raises(ValueError, match="city"):
         prep.select_months(df, [4], ["N"], ["city"])
+
+
+def test_quality_pipeline_reads_its_input_twice(spark):
+    """Counted in the plans: the written one of the value's counts, and the result's."""
+    import re
+
+    from geotally.plans import preparation
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.001"
+    if not __import__("pathlib").Path(d).exists():
+        pytest.skip("no test tables")
+    out = preparation.ts4_quality_pipeline(spark, d)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange (?:hash|range|Single|Round)", text)) <= 12 and len(re.findall("FileScan", text)) <= 3
