@@ -243,29 +243,41 @@ def morans_i(df: DataFrame, features: list[str], lags: list[float], key: str = "
     return by.select(city, F.inline(rows)).where("morans_i is not null")
 
 
-def morans_i_pvalue(df: DataFrame, feature: str, lag: float, permutations: int = 99, key: str = "id", seed: int = 42) -> dict:
-    """Moran's I of one table and its pseudo p-value: values dealt anew by hash order for each permutation; pairs found once."""
+#: Permutations whose values make one table and are looked up among neighbours in one search.
+TOGETHER = 33
+
+
+def permuted(df: DataFrame, feature: str, numbers: list[int], key: str = "id", seed: int = 42) -> DataFrame:
+    """(key, x, y, p1, p2, ...): for each number the feature's values dealt anew to the rows, the row of k-th key getting the value of the row whose
+    hash of number and key is the k-th. Work grows as rows times numbers; ranks are made within ranges."""
     from geotally.operators.stats import with_rank
 
-    d = df.where(F.col(feature).isNotNull()).select(key, "x", "y", F.col(feature).alias("v"))
-    a, b = around(d, lag).alias("a"), in_cells(d, lag).alias("b")
-    near = checkpointed(a.join(b, ["__cx", "__cy"]).where((F.col(f"a.{key}") != F.col(f"b.{key}")) & (distance() <= lag)).select(F.col(f"a.{key}").alias("i"), F.col(f"b.{key}").alias("j")))
-    if near.isEmpty():
-        return {"morans_i": None, "pvalue": None, "permutations": permutations}
-    m = d.agg(F.avg("v")).first()[0]
-    place = checkpointed(with_rank(d.withColumn("h", F.col(key).cast("double")), "h", "r").select(key, F.col("r").cast("long").alias("r"), (F.col("v") - m).alias("z")))
+    d = df.select(key, "x", "y", F.col(feature).alias("v"))
+    place = with_rank(d.withColumn("h", F.col(key).cast("double")), "h", "r").select(F.col("r").cast("long").alias("s"), "v")
+    many = d.select(key, "x", "y", F.explode(F.array(*(F.lit(k) for k in numbers))).alias("k")).withColumn("h", F.xxhash64(F.lit(seed), "k", key))
+    dealt = with_rank(many, "h", "s", ["k"]).withColumn("s", F.col("s").cast("long")).join(place, "s")
+    return dealt.groupBy(key).agg(F.first("x").alias("x"), F.first("y").alias("y"), *(F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"p{k}") for k in numbers))
+
+
+def morans_i_pvalue(df: DataFrame, feature: str, lag: float, permutations: int = 99, key: str = "id", seed: int = 42) -> dict:
+    """Moran's I of one table and its pseudo p-value: values dealt anew by hash order for each permutation. Keys are unique.
+
+    Permutations are columns of one table, a block of them at a time, and each block is one search for neighbours, where crowded cells count by
+    their sums: pairs of neighbours are never written, nor repeated for each permutation.
+    """
+    d = checkpointed(df.where(F.col(feature).isNotNull()).select(key, "x", "y", F.col(feature).cast("double").alias("v")))
 
-    def values(z: DataFrame) -> list[float]:
-        """I of each k of (k, key, z), in one job."""
-        each = near.join(z.select(F.col(key).alias("j"), "k", F.col("z").alias("zj")), "j").groupBy("k", F.col("i").alias(key)).agg(F.avg("zj").alias("w"))
-        sums = z.join(each, ["k", key], "left").groupBy("k").agg(F.count("*").alias("n"), F.count("w").alias("c"), F.sum(F.col("z") * F.col("w")).alias("zw"), F.sum(F.col("z") ** 2).alias("zz"))
-        return [s["n"] / s["c"] * s["zw"] / s["zz"] for s in sums.collect()]  # a row a permutation
+    def values(table: DataFrame, columns: list[str]) -> list[float]:
+        return [r["morans_i"] for r in morans_i(table.withColumn("__all", F.lit("")), columns, [lag], key, "__all").collect()]  # a row a permutation
 
-    observed = values(place.select(F.lit(0).alias("k"), key, "z"))[0]
-    many = place.select(key, F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("k")).withColumn("h", F.xxhash64(F.lit(seed), "k", key))
-    dealt = with_rank(many, "h", "s", ["k"]).select(key, "k", F.col("s").cast("long").alias("s"))
-    above = sum(v >= observed for v in values(dealt.join(place.select("r", "z"), F.col("s") == F.col("r")).select("k", key, "z")))
-    return {"morans_i": observed, "pvalue": (above + 1) / (permutations + 1), "permutations": permutations}
+    observed = values(d, ["v"])
+    if not observed:
+        return {"morans_i": None, "pvalue": None, "permutations": permutations}
+    above = 0
+    for start in range(1, permutations + 1, TOGETHER):
+        numbers = list(range(start, min(start + TOGETHER, permutations + 1)))
+        above += sum(v >= observed[0] for v in values(checkpointed(permuted(d, "v", numbers, key, seed)), [f"p{k}" for k in numbers]))
+    return {"morans_i": observed[0], "pvalue": (above + 1) / (permutations + 1), "permutations": permutations}
 
 
 def decay_distance(moran: DataFrame, least: float = 0.05, city: str = "city") -> DataFrame:
@@ -331,7 +343,19 @@ def remove_coincident_points(df: DataFrame, order: list) -> DataFrame:
 
 
 def remove_near_points(df: DataFrame, radius: float, key: str = "id") -> DataFrame:
-    """Rows without a row of smaller key within the radius."""
-    a, b = around(df.select(key, "x", "y"), radius).alias("a"), in_cells(df.select(key, "x", "y"), radius).alias("b")
-    later = a.join(b, ["__cx", "__cy"]).where((F.col(f"b.{key}") < F.col(f"a.{key}")) & (distance() <= radius)).select(F.col(f"a.{key}").alias(key)).distinct()
+    """Rows without a row of smaller key within the radius. Rows without place or key stay.
+
+    Cells are so small that all of a cell's rows lie within the radius: only its least key can stay, and is compared with the 25 cells around it. So a row
+    meets 25 others at most, however dense the rows are.
+    """
+    if radius <= 0:
+        raise ValueError("the radius must be positive")
+    cell = in_cells(df.select(key, "x", "y").where("x is not null and y is not null"), radius / 1.5)
+    least = cell.groupBy("__cx", "__cy").agg(F.min(key).alias("__least"))
+    own = cell.join(least, ["__cx", "__cy"])
+    reach = range(-2, 3)
+    around25 = F.array(*(F.struct((F.col("__cx") + i).alias("__cx"), (F.col("__cy") + j).alias("__cy")) for i in reach for j in reach))
+    a, b = own.where(F.col(key) == F.col("__least")).select(key, "x", "y", F.inline(around25)).alias("a"), cell.alias("b")
+    near = a.join(b, ["__cx", "__cy"]).where((F.col(f"b.{key}") < F.col(f"a.{key}")) & (distance() <= radius)).select(F.col(f"a.{key}").alias(key))
+    later = own.where(F.col(key) > F.col("__least")).select(key).unionByName(near).distinct()
     return df.join(later, key, "left_anti")

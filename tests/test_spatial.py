@@ -85,3 +85,43 @@ def test_projection_there_and_back(spark):
     assert spatial.reproject(grid, "EPSG:4258", to="EPSG:4326") is grid
     with pytest.raises(ValueError):
         spatial.reproject(grid, "EPSG:4326", to="EPSG:3857")
+
+
+def moran(rows, values, lag):
+    """Moran's I by all pairs, row-standardised; rows without neighbour count 0."""
+    z = [v - sum(values) / len(values) for v in values]
+    total, some = 0.0, 0
+    for i, (xi, yi) in enumerate(rows):
+        near = [z[j] for j, (xj, yj) in enumerate(rows) if j != i and math.hypot(xi - xj, yi - yj) <= lag]
+        if near:
+            total, some = total + z[i] * sum(near) / len(near), some + 1
+    return len(rows) / some * total / sum(v * v for v in z)
+
+
+@pytest.mark.parametrize("crowd", [512, 3])
+def test_permutations_against_all_pairs(spark, monkeypatch, crowd):
+    monkeypatch.setattr(spatial, "CROWD", crowd)
+    monkeypatch.setattr(spatial, "TOGETHER", 4)
+    rng = random.Random(2)
+    places = [(rng.uniform(0, 60), rng.uniform(0, 60)) for _ in range(70)]
+    df = pts(spark, [(i, "T", x, y, "a") for i, (x, y) in enumerate(places)]).withColumn("v", F.col("x") / 30 + F.pmod(F.xxhash64("id"), F.lit(100)) / 40)
+    values = [r["v"] for r in df.orderBy("id").collect()]
+    dealt = spatial.permuted(df, "v", list(range(1, 7))).orderBy("id").collect()
+    got = spatial.morans_i_pvalue(df, "v", 9.0, 6)
+    observed = moran(places, values, 9.0)
+    assert got["morans_i"] == pytest.approx(observed)
+    each = [[r[f"p{k}"] for r in dealt] for k in range(1, 7)]
+    assert all(sorted(p) == sorted(values) and p != values for p in each) and len({tuple(p) for p in each}) == 6
+    assert got["pvalue"] == (sum(moran(places, p, 9.0) >= observed for p in each) + 1) / 7
+    assert spatial.morans_i_pvalue(df, "v", 1e-9, 6)["morans_i"] is None
+
+
+def test_near_points_of_a_dense_place(spark):
+    rng = random.Random(4)
+    rows = [(i, "T", rng.uniform(0, 300), rng.uniform(0, 300), "a") for i in range(300)] + [(i, "T", rng.uniform(0, 3), rng.uniform(0, 3), "a") for i in range(300, 900)]
+    rng.shuffle(rows)
+    rows += [(2000, "T", None, 1.0, "a"), (None, "T", 1.0, 1.0, "a"), (2001, "T", -7.0, -7.0, "a"), (2002, "T", -7.0, -2.0, "a")]
+    kept = {r["id"] for r in spatial.remove_near_points(pts(spark, rows), 5.0).collect()}
+    known = [r for r in rows if r[0] is not None and r[2] is not None]
+    want = {r[0] for r in known if not any(o[0] < r[0] and math.hypot(o[2] - r[2], o[3] - r[3]) <= 5.0 for o in known)}
+    assert kept == want | {2000, None} and 2002 not in kept
