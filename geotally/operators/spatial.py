@@ -313,7 +313,8 @@ def post_split_independence(df: DataFrame, split: str, feature: str, lag: float,
     names = sorted(r[0] for r in df.select(split).distinct().collect())  # splits
     parts = [df.where(F.col(split) == s).withColumn("part", F.lit(s)) for s in names]
     parts += [split_boundary_rows(df, split, a, b, buffer).withColumn("part", F.lit(f"{a}|{b}")) for i, a in enumerate(names) for b in names[i + 1 :]]
-    found = morans_i(reduce(DataFrame.unionByName, parts), [feature], [lag], key, "part")
+    every = reduce(DataFrame.unionByName, parts).select("part", "x", "y", feature, F.concat_ws(":", "part", F.col(key).cast("string")).alias("__id"))  # a row can be in several parts
+    found = morans_i(every, [feature], [lag], "__id", "part")
     between = F.col("part").contains("|")
     rule = found.agg((F.max(F.when(between, F.col("morans_i"))) < F.max(F.when(~between, F.col("morans_i")))).alias("independent"))
     return found.select("part", "morans_i").join(F.broadcast(rule))  # one row

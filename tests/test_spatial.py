@@ -125,3 +125,18 @@ def test_near_points_of_a_dense_place(spark):
     known = [r for r in rows if r[0] is not None and r[2] is not None]
     want = {r[0] for r in known if not any(o[0] < r[0] and math.hypot(o[2] - r[2], o[3] - r[3]) <= 5.0 for o in known)}
     assert kept == want | {2000, None} and 2002 not in kept
+
+
+@pytest.mark.parametrize("crowd", [512, 3])
+def test_independence_of_splits_against_all_pairs(spark, monkeypatch, crowd):
+    monkeypatch.setattr(spatial, "CROWD", crowd)
+    rng = random.Random(8)
+    rows = [(i, "train" if x < 30 else "test", x, rng.uniform(0, 40), "a") for i in range(80) for x in [rng.uniform(0, 60)]]
+    df = pts(spark, rows).withColumn("v", F.col("y") / 10 + F.pmod(F.xxhash64("id"), F.lit(50)) / 10)
+    value = {r["id"]: r["v"] for r in df.collect()}
+    border = [r for r in rows if any(o[1] != r[1] and math.hypot(o[2] - r[2], o[3] - r[3]) <= 6.0 for o in rows)]
+    groups = {"train": [r for r in rows if r[1] == "train"], "test": [r for r in rows if r[1] == "test"], "test|train": border}
+    want = {k: moran([r[2:4] for r in g], [value[r[0]] for r in g], 8.0) for k, g in groups.items()}
+    got = spatial.post_split_independence(df, "cls", "v", 8.0, buffer=6.0).collect()
+    assert {r["part"]: pytest.approx(r["morans_i"]) for r in got} == want
+    assert {r["independent"] for r in got} == {want["test|train"] < max(want["train"], want["test"])}
