@@ -230,33 +230,44 @@ def mcnemar_p(df: DataFrame, a: str, b: str) -> float:
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
-    """H with tie correction, effect H / (n - 1), n and k groups."""
+    """H with tie correction, effect H / (n - 1), n and k groups; equal values alone have no H."""
     d = stats.with_rank(df.where(F.col(group).isNotNull() & F.col(value).isNotNull()), value, "__rank")
     by = d.groupBy(group).agg(F.count("*").alias("n"), F.sum("__rank").alias("r")).agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("q"), F.count("*").alias("k"))
     ties = d.groupBy(value).agg(F.count("*").alias("t")).agg(F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
     one = by.join(F.broadcast(ties))  # one row
     n = F.col("n")
-    h = (12.0 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("ties") / (F.pow(n, F.lit(3.0)) - n))
-    return one.select(h.alias("h"), (h / (n - 1)).alias("effect"), "n", "k")
+    h = F.try_divide(12.0 / (n * (n + 1)) * F.col("q") - 3 * (n + 1), 1 - F.try_divide("ties", F.pow(n, F.lit(3.0)) - n))
+    return one.select(h.alias("h"), F.try_divide(h, n - 1).alias("effect"), "n", "k")
 
 
 def hypothesis_test(df: DataFrame, kind: str, a: str, b: str, least: int = 3) -> dict:
-    """pearson, spearman (columns a and b), kruskal, mann_whitney (value a by group b): statistic, effect, p-value and a conclusion."""
-    n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).count()
+    """pearson, spearman (columns a and b), kruskal, mann_whitney (value a by group b): statistic, effect, p-value and a conclusion.
+
+    Rows with a null in either don't count. One value or one group alone has no statistic, and the conclusion says so (rank correlation: 0).
+    """
+    df = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    n = df.count()
     if n < least:
         return {"kind": kind, "n": n, "conclusion": "too few rows"}
+    none = {"kind": kind, "n": n, "conclusion": "no statistic"}
     maths = df.sparkSession._jvm.org.apache.commons.math3.distribution
     if kind in ("pearson", "spearman"):
-        r = df.agg(F.corr(a, b)).first()[0] if kind == "pearson" else stats.spearman(df, a, b).first()[0]
+        r = df.agg(stats.corr(a, b)).first()[0] if kind == "pearson" else stats.spearman(df, a, b).first()[0]
+        if r is None or r != r:
+            return none
         t = abs(r) * ((n - 2) / max(1e-300, 1 - r * r)) ** 0.5
         p, statistic, effect = 2 * (1 - maths.TDistribution(float(n - 2)).cumulativeProbability(float(min(t, 1e6)))), r, r
     elif kind == "kruskal":
         k = kruskal(df, a, b).first()
+        if k["h"] is None or k["h"] != k["h"] or k["k"] < 2:
+            return none
         p, statistic, effect = stats.chi2_sf(df.sparkSession, k["h"], k["k"] - 1), k["h"], k["effect"]
     else:
         from geotally.operators.outliers import mann_whitney
 
         m = mann_whitney(df, a, b).first()
+        if m["z"] is None or m["z"] != m["z"]:
+            return none
         p, statistic, effect = 2 * (1 - maths.NormalDistribution().cumulativeProbability(float(abs(m["z"])))), m["u"], 2 * m["u"] / (m["n1"] * m["n2"]) - 1
     return {"kind": kind, "n": n, "statistic": statistic, "effect": effect, "pvalue": p, "conclusion": "supported" if p < 0.05 else "not supported"}
 

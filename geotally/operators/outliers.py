@@ -120,7 +120,7 @@ def severity_by_city(df: DataFrame, city: str = "city") -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
-    """U of the rows with group true, sizes, and z of the normal approximation with tie correction."""
+    """U of the rows with group true, sizes, and z of the normal approximation with tie correction (null for one group or one value)."""
     d = df.where(F.col(group).isNotNull())
     flagged = d.where(F.col(group)).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__k"))
     table = stats.rank_table(d, value)
@@ -128,5 +128,5 @@ def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     one = ties.agg(F.coalesce(F.sum("__k"), F.lit(0)).alias("n1"), (F.sum("__n") - F.coalesce(F.sum("__k"), F.lit(0))).alias("n2"), F.sum(F.col("__k") * F.col("__rank")).alias("r"), F.sum(F.pow("__n", F.lit(3.0)) - F.col("__n")).alias("ties"))
     n = F.col("n1") + F.col("n2")
     u = F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2.0
-    sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    return one.select("n1", "n2", u.alias("u"), ((u - F.col("n1") * F.col("n2") / 2.0) / sd).alias("z"))
+    sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.try_divide("ties", n * (n - 1))))
+    return one.select("n1", "n2", u.alias("u"), F.try_divide(u - F.col("n1") * F.col("n2") / 2.0, sd).alias("z"))

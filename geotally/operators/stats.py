@@ -16,6 +16,12 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def corr(a: Column | str, b: Column | str) -> Column:
+    """Pearson's correlation of the rows where neither is null; null where either is constant (F.corr fails there)."""
+    a, b = F.when(_c(b).isNotNull(), _c(a)), F.when(_c(a).isNotNull(), _c(b))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def zscore(v: Column, mean: Column, sd: Column) -> Column:
     """0 for every row of a group without spread, NULL values too."""
     return F.when(sd.isNull() | F.isnan(sd) | (sd == 0), F.lit(0.0)).otherwise((v - mean) / sd)
@@ -168,7 +174,7 @@ def cohens_d(df: DataFrame, value: str, cls: str, city: str, a: str, b: str) ->
 def correlations(df: DataFrame, features: list[str]) -> DataFrame:
     """(a, b, r) of every pair, over the rows that have both: one aggregate."""
     pairs = list(combinations(features, 2))
-    one = df.agg(*(F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
+    one = df.agg(*(corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
     stacked = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(pairs)))
     return one.select(F.inline(stacked))
 
@@ -177,7 +183,7 @@ def spearman(df: DataFrame, a: str, b: str, keys: list[str] = ()) -> DataFrame:
     """rho per group: Pearson of average ranks over rows that have both."""
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     d = with_rank(with_rank(d, a, "__ra", keys), b, "__rb", keys)
-    return d.groupBy(*keys).agg(F.coalesce(F.corr("__ra", "__rb"), F.lit(0.0)).alias("rho"))
+    return d.groupBy(*keys).agg(F.coalesce(corr("__ra", "__rb"), F.lit(0.0)).alias("rho"))
 
 
 def base_correlations(long: DataFrame, bases: list[str], entity: str = "id", month: str = "month", base: str = "base", value: str = "v") -> DataFrame:

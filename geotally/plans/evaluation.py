@@ -123,6 +123,31 @@ def ev16_kruskal(spark, d):
     return k.select(F.round("h", 5).alias("h"), F.round("effect", 6).alias("effect"), "n", "k")
 
 
+def tested(spark, d, kind: str, a: str, b: str):
+    """A hypothesis test of predictions as one row; its p-value has no SQL (tests/test_models.py)."""
+    p = predictions(spark, d).withColumn("wrong", F.col("y_true") != F.col("y_pred"))
+    t = evaluate.hypothesis_test(p, kind, a, b)
+    return rounded(spark.createDataFrame([(kind, t["n"], t.get("statistic"), t.get("effect"))], "kind string, n long, statistic double, effect double"))
+
+
+MEAN_RANK = "rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0"
+
+
+@query(f"WITH {PRE} SELECT 'pearson' AS kind, count(*) AS n, {R('corr(x, plant_year)')} AS statistic, {R('corr(x, plant_year)')} AS effect FROM pre WHERE plant_year IS NOT NULL AND x IS NOT NULL")
+def ev16_pearson(spark, d):
+    return tested(spark, d, "pearson", "x", "plant_year")
+
+
+@query(f"WITH {PRE}, r AS (SELECT {MEAN_RANK.format(v='x')} AS a, {MEAN_RANK.format(v='plant_year')} AS b FROM pre WHERE plant_year IS NOT NULL AND x IS NOT NULL) SELECT 'spearman' AS kind, count(*) AS n, {R('corr(a, b)')} AS statistic, {R('corr(a, b)')} AS effect FROM r")
+def ev16_spearman(spark, d):
+    return tested(spark, d, "spearman", "x", "plant_year")
+
+
+@query(f"WITH {PRE}, r AS (SELECT y_true <> y_pred AS wrong, {MEAN_RANK.format(v='plant_year')} AS r FROM pre WHERE plant_year IS NOT NULL), o AS (SELECT count(*) AS n, count(*) FILTER (WHERE wrong) AS n1, count(*) FILTER (WHERE NOT wrong) AS n2, sum(r) FILTER (WHERE wrong) AS s FROM r) SELECT 'mann_whitney' AS kind, n, {R('s - n1 * (n1 + 1) / 2.0')} AS statistic, {R('2 * (s - n1 * (n1 + 1) / 2.0) / (n1 * n2) - 1')} AS effect FROM o")
+def ev16_mann_whitney(spark, d):
+    return tested(spark, d, "mann_whitney", "plant_year", "wrong")
+
+
 CURVE = [0.1, 0.25, 0.5, 1.0]
 NESTED = f"{PRE}, pos AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY id) / count(*) OVER (PARTITION BY y_true) AS p FROM pre), cur AS (SELECT * FROM pos CROSS JOIN (SELECT unnest([0.1, 0.25, 0.5, 1.0]) AS fraction) WHERE p <= fraction)"
 

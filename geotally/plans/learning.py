@@ -27,7 +27,7 @@ def ml2_balanced_weights(spark, d):
     return rounded(learn.balanced_weights(points(spark, d), "cls").select("id", "weight"))
 
 
-@query()
+@query(f"WITH {PTS} SELECT CAST(dense_rank() OVER (ORDER BY cls) - 1 AS INTEGER) AS label, n FROM (SELECT c.cls, count(*) FILTER (WHERE id % 4 = 0) AS n FROM pts c WHERE cls IN (SELECT cls FROM pts WHERE id % 4 <> 0) GROUP BY c.cls) QUALIFY n > 0")
 def ml3_prepare_training_data(spark, d):
     p = points(spark, d).drop("label")
     frames, _, _ = learn.prepare_training_data(p.where("id % 4 <> 0"), {"test": p.where("id % 4 = 0")}, SOME, "cls")
