@@ -1,9 +1,11 @@
 """Operator 6: main text of web pages from a linear-chain conditional random field over DOM leaf blocks.
 
 A page is cut into leaf blocks: runs of text between borders of block-level elements. Each block has features from
-its ancestors' tags and class words and from its own text; the field labels all blocks of a page together (Viterbi).
+its ancestors' tags and class words, from its own text, and from all text of the container it stands in (how long its
+blocks are, how much of it is links); the field labels all blocks of a page together (Viterbi).
 It is trained on labelled pages: labelled_pages() lays articles out in many ways among menus, headers, sidebars, notices,
-adverts, forms, comments and footers; labelled pages of one's own can be added. Extraction is one pass, without a shuffle.
+adverts, forms, comments and footers, a third of them without any telling tag or class word; labelled pages of one's own
+can be added. Extraction is one pass, without a shuffle.
 """
 
 from __future__ import annotations
@@ -50,7 +52,10 @@ TAG_KIND = {"nav": "nav", "menu": "nav", "footer": "footer", "aside": "aside", "
 NOISE = ["none", "nav", "header", "footer", "aside", "ad", "notice", "comment", "form"]
 HOLDERS = ["none", "content", "main", "article"]
 OWN = {"p": 1, "h1": 2, "h2": 3, "h3": 3, "h4": 3, "h5": 3, "h6": 3, "li": 4, "pre": 5, "blockquote": 5, "td": 6, "th": 6, "div": 7, "section": 7, "dt": 4, "dd": 4, "figcaption": 8, "article": 7, "main": 7}
-VALUES, FEATURES = 10, 8
+#: Elements within a container, whose texts are judged together; on them a class word with parts of content and of something else tells nothing.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol pre blockquote dt dd dl figcaption figure".split())
+VALUES, FEATURES = 10, 11
+MARK = "\ue000"
 LENGTHS, LINKS, WORDS = np.array([8, 20, 50, 120, 300, 800]), np.array([0.01, 0.3, 0.6, 0.9]), np.array([2, 4, 8, 16, 40])
 
 
@@ -61,6 +66,8 @@ def _kind(tag: str, attributes: str) -> str:
         for value in re.findall(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", attributes, re.I)[:6]:
             for word in value.strip("\"'").lower().split():
                 found = {KIND_OF[part] for part in (word, *re.split(r"[-_]", word)) if part in KIND_OF}
+                if tag in PARTS and "content" in found:
+                    continue
                 for k in KINDS:
                     if k in found and not (k == "header" and (tag in ("h1", "h2", "h3") or "content" in found)):
                         return k
@@ -75,11 +82,12 @@ def kind(tag: str, attributes: str) -> str:
 
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
     """Leaf blocks of a page, in order: their texts and their features [block, feature]."""
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, int]] = []  # tag, kind, number
     texts: list[str] = []
     found: list[tuple] = []
     parts: list[str] = []
     linked = links = 0
+    elements = 0
     at, hidden, inner = 0, "", Counter()  # inner: what is open inside the hidden element
     last_end: dict[str, int] | None = None
 
@@ -128,7 +136,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             if closing and tag == hidden:
                 hidden = ""
                 continue
-            outside = closing and any(tag == t for t, _ in stack)  # the end of what the hidden element stands in
+            outside = closing and any(tag == t for t, _, _ in stack)  # the end of what the hidden element stands in
             if not outside and not (hidden == "svg" and not closing and tag in LEAVES_SVG and not inner["foreignobject"]):
                 if not closing and tag not in VOID:
                     inner[tag] += 1
@@ -152,7 +160,8 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
                 while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
                     stack.pop()
                 if tag not in VOID:
-                    stack.append((tag, kind(tag, m.group(3) or m.group(6) or "")))
+                    elements += 1
+                    stack.append((tag, kind(tag, m.group(3) or m.group(6) or ""), elements))
         elif tag == "a":
             links = 0 if closing else 1
         elif tag in VOID:
@@ -165,24 +174,37 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
 
 def _features(found: list[tuple]) -> np.ndarray:
     x = np.zeros((len(found), FEATURES), np.uint8)
+    around, places = {}, []  # container: blocks, characters, linked characters
+    for text, linked, stack in found:
+        above = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in PARTS), -1)
+        places.append(stack[above][2] if above >= 0 else 0)
+        sums = around.setdefault(places[-1], [0, 0, 0])
+        for j, v in enumerate((1, len(text), linked)):
+            sums[j] += v
+    held = any(k in HOLDERS for _, _, stack in found for _, k, _ in stack)
     for i, (text, linked, stack) in enumerate(found):
-        holder, noise, inside = "none", "none", 0
-        for _, k in stack:
+        holder, noise, inside = "none", "none", 0 if held else 2  # 2: nothing on this page is said to hold the content
+        for _, k, _ in stack:
             if k in HOLDERS:
                 holder, inside = k if HOLDERS.index(k) > HOLDERS.index(holder) else holder, 1
-            elif k and not (k == "header" and holder == "article"):
+            elif k and not (k == "header" and holder != "none"):
                 noise = k
-        own = stack[-1][0] if stack else ""
+        own, outer = (stack[-1][0] if stack else ""), (stack[-2][0] if len(stack) > 1 else "")
         words = text.count(" ") + 1
+        blocks_, chars, links = around[places[i]]
         x[i] = (
             HOLDERS.index(holder), NOISE.index(noise), OWN.get(own, 9), np.searchsorted(LENGTHS, len(text)), np.searchsorted(LINKS, linked / max(1, len(text))),
-            np.searchsorted(WORDS, words), 1 + (text[-1] in ".!?…:;\"'»”") , min(9, 4 * ("©" in text) + inside),
+            np.searchsorted(WORDS, words), 1 + (text[-1] in ".!?…:;\"'»”"), 4 * ("©" in text) + inside,
+            OWN.get(outer, 9), np.searchsorted(LENGTHS, chars / blocks_), np.searchsorted(LINKS, links / max(1, chars)),
         )
     return x
 
 
-def labelled_pages() -> Iterator[tuple[str, set[str]]]:
-    """Pages with the set of their main blocks' texts, laid out in many ways; always the same."""
+def labelled_pages() -> Iterator[tuple[str, list[int]]]:
+    """Pages with a label (1: main text) for each of their blocks, laid out in many ways; always the same.
+
+    The label of a block is where the layout put it: each page is laid out with a mark before its main blocks as well.
+    """
     rng = np.random.default_rng(7)
     words = "the of river stone under light many people house went over small green when time market city old water and field road".split()
 
@@ -190,40 +212,52 @@ def labelled_pages() -> Iterator[tuple[str, set[str]]]:
         return " ".join(rng.choice(words, rng.integers(a, b))).capitalize() + rng.choice([".", ".", "!", ""])
 
     wrap = [("<article>", "</article>"), ("<main><article>", "</article></main>"), ("<main>", "</main>"), ('<div class="post-content">', "</div>"), ('<div id="content">', "</div>"), ('<section class="story">', "</section>"), ('<main role="main"><div class="entry">', "</div></main>")]
+    bare = [("<div>", "</div>"), ("<div><div>", "</div></div>"), ("", ""), ('<div class="x1 c-20">', "</div>"), ("<section>", "</section>"), ('<div id="root"><div>', "</div></div>"), ("<table><tr><td>", "</td></tr></table>")]
     noise = [
         ('<nav><ul>{}</ul></nav>', "<li><a href=x>{}</a></li>", 1, 3), ('<div class="menu">{}</div>', "<a href=x>{}</a> ", 1, 3), ("<header>{}</header>", "<div>{}</div>", 1, 6), ("<aside>{}</aside>", "<p>{}</p>", 2, 14),
         ('<div class="sidebar"><ul>{}</ul></div>', "<li><a href=x>{}</a>", 2, 6), ('<div class="ad">{}</div>', "{}", 2, 14), ('<div class="cookie-notice">{}</div>', "<p>{}</p>", 4, 16), ("<form>{}</form>", "<label>{}</label>", 1, 4),
         ('<div id="comments">{}</div>', '<p class="reply">{}</p>', 2, 20), ('<section class="comments"><h3>Comments</h3>{}</section>', "<div>{}</div>", 2, 20), ("<footer>{}</footer>", "&copy; {}", 2, 10), ('<div class="footer">{}</div>', "<p>{}</p>", 2, 10),
     ]
+    plain = [("<div>{}</div>", "<a href=x>{}</a> ", 1, 3), ("<ul>{}</ul>", "<li><a href=x>{}</a></li>", 1, 4), ("<div><ul>{}</ul></div>", "<li><a href=x>{}</a>", 1, 6), ('<div class="c-7">{}</div>', "<p><a href=x>{}</a></p>", 2, 8), ("<div>{}</div>", "<div>&copy; {}</div>", 2, 6)]
+    classes = ["", "", "", "", ' class="c1"', ' class="text-share"', ' class="story-alert"', ' class="lead"', ' class="body-popular"']
 
     def clutter(some: list) -> str:
         out = []
+        if rng.random() < 0.25:
+            return ""
         for i in rng.permutation(len(some))[: rng.integers(1, 5)]:
             outer, inner, a, b = some[i]
             out.append(outer.format("".join(inner.format(sentence(a, b)) for _ in range(rng.integers(1, 6)))))
         return "".join(out)
 
-    for n in range(400):
-        first, last = wrap[n % len(wrap)]
-        main, body = set(), []
-        for k in range(rng.integers(1, 14)):
-            text = sentence(1, 8) if k == 0 or rng.random() < 0.25 else sentence(4, 60)
+    for n in range(600):
+        untold = n % 3 == 2
+        first, last = (bare if untold else wrap)[n // 3 % 7]
+        before, within, after = (noise[:8] + plain, plain[:0], plain + noise[10:]) if untold else (noise[:10] + plain[:2], noise[3:10], noise[3:] + plain)
+        body = []
+        for k in range(rng.integers(2 if untold else 1, 14)):
+            text = sentence(1, 8) if k == 0 or rng.random() < 0.25 else sentence(5 if untold else 4, 60)
             tag = "h1" if k == 0 and n % 3 else rng.choice(["p", "p", "p", "p", "h2", "li", "blockquote", "pre"])
-            main.add(text)
-            body.append(f"<{tag}>{text}" + (f"</{tag}>" if tag != "p" or n % 2 else ""))
-            if n % 4 == 0 and rng.random() < 0.1:
-                body.append(clutter(noise[3:10]))
-        yield f"<html><head><title>t</title></head><body>{clutter(noise[:10])}{first}{''.join(body)}{last}{clutter(noise[3:])}</body></html>", main
+            if untold and k == 1:
+                tag, text = "p", sentence(15, 60)
+            if tag == "p" and rng.random() < 0.1:
+                text = f"{text} <a href=x>{sentence(1, 3)}</a> {sentence(3, 9)}"
+            if k and rng.random() < 0.1:
+                body.append("<ul>" + "".join(f"<li>{MARK}{sentence(1, 6)}</li>" for _ in range(rng.integers(2, 5))) + "</ul>")
+            body.append(f"<{tag}{rng.choice(classes) if tag == 'p' else ''}>{MARK}{text}" + (f"</{tag}>" if tag != "p" or n % 2 else ""))
+            if within and n % 4 == 0 and rng.random() < 0.1:
+                body.append(clutter(within))
+        page = f"<html><head><title>t</title></head><body>{clutter(before)}{first}{''.join(body)}{last}{clutter(after)}</body></html>"
+        yield page.replace(MARK, ""), [int(t.startswith(MARK)) for t in blocks(page)[0]]
 
 
 @cache
 def trained() -> Model:
     """The field fitted to labelled_pages()."""
     xs, ys = [], []
-    for page, main in labelled_pages():
-        texts, x = blocks(page)
-        xs.append(x)
-        ys += [int(t in main and x[i, 1] == 0) for i, t in enumerate(texts)]
+    for page, labels in labelled_pages():
+        xs.append(blocks(page)[1])
+        ys += labels
     chains = Chains(np.array([len(x) for x in xs]))
     return Model(FEATURES, VALUES).fit(np.concatenate(xs), np.array(ys), chains, rounds=300)
 

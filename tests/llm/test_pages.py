@@ -37,6 +37,11 @@ LAYOUTS = [
     """<div class="page"><div class="header"><h1><a href=/>Site name</a></h1></div><div class="menu"><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></div><div class="article-body"><p>[[The museum will stay open until nine on Fridays from next month on.]]</p><h3>[[Tickets]]</h3><p>[[Tickets cost five euros &amp; are sold at the door.]]</p></div><div class="popular"><p>Most read: the ten best museums for children in the whole country</p></div></div>""",
     """<article><p>[[Only one paragraph stands here, and no heading goes before it.]]</p></article><div id="disqus"><p>First!</p><p>I disagree with the whole article, and here is why I do so.</p></div>""",
     """<div class="alert">This site will be down on Sunday from two to four.</div><div class="content-main"><h1>[[Notes on rivers]]</h1><dl><dt>[[Source]]</dt><dd>[[Where a river begins, mostly in hills.]]</dd></dl><figure><img src=x><figcaption>[[A river in spring.]]</figcaption></figure></div><div class="sponsored"><a href=x>Rent a boat today</a></div><footer>Contact: <a href=x>mail</a></footer>""",
+    """<body><div><p>[[The harbour was quiet on the first morning after the storm had gone.]]</p><p>[[Two boats lay on the beach.]]</p></div></body>""",
+    """<body><div><a href=/>Home</a> <a href=/n>News</a> <a href=/s>Sport</a></div><div class="w-100"><h1>[[A walk along the wall]]</h1><p>[[The wall is eleven kilometres long and older than the town that it was built for.]]</p><p>[[Most of it can be walked, see <a href=x>the map</a> for the gates.]]</p></div><div>&copy; 2019 Town office</div></body>""",
+    """<article><h1>[[Bread prices]]</h1><p class="text-share">[[Bread has become dearer by a tenth since the spring, shops say.]]</p><p class="story-alert">[[Flour is said to follow in autumn, when the mills buy again.]]</p><div class="share"><a href=x>Share</a></div></article><footer>Imprint</footer>""",
+    """<div><div><p>[[An old page without any class, of one long paragraph about the river and its mills, the weirs and the people who kept them.]]</p></div></div><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul>""",
+    """<p>[[No element stands around this paragraph at all, as in pages written by hand in an afternoon.]]</p><p>[[It has a second one, which ends the page.]]</p>""",
 ]
 
 
@@ -67,6 +72,8 @@ def test_hand_labelled_layouts():
         want = [t.startswith("[[") for t in blocks]
         texts, main = main_text([page.replace("[[", "").replace("]]", "")])[0]
         assert [b.strip("[]") for b in blocks] == texts
+        if sorted(t for t, y in zip(texts, main, strict=True) if y) != sorted(t for t, w in zip(texts, want, strict=True) if w):
+            print("differs:", page[:60], [(t[:30], int(y), int(w)) for t, y, w in zip(texts, main, want, strict=True) if y != w])
         right += sum(bool(y) and w for y, w in zip(main, want, strict=True))
         found, wanted = found + sum(main), wanted + sum(want)
     print("precision", right / found, "recall", right / wanted)
