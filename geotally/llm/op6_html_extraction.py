@@ -236,7 +236,7 @@ def labelled_pages() -> Iterator[tuple[str, list[int]]]:
         before, within, after = (noise[:8] + plain, plain[:0], plain + noise[10:]) if untold else (noise[:10] + plain[:2], noise[3:10], noise[3:] + plain)
         body = []
         for k in range(rng.integers(2 if untold else 1, 14)):
-            text = sentence(1, 8) if k == 0 or rng.random() < 0.25 else sentence(5 if untold else 4, 60)
+            text = sentence(1, 8) if k == 0 or rng.random() < 0.25 or (n % 5 == 0 and not untold) else sentence(5 if untold else 4, 60)
             tag = "h1" if k == 0 and n % 3 else rng.choice(["p", "p", "p", "p", "h2", "li", "blockquote", "pre"])
             if untold and k == 1:
                 tag, text = "p", sentence(15, 60)
@@ -247,6 +247,8 @@ def labelled_pages() -> Iterator[tuple[str, list[int]]]:
             body.append(f"<{tag}{rng.choice(classes) if tag == 'p' else ''}>{MARK}{text}" + (f"</{tag}>" if tag != "p" or n % 2 else ""))
             if within and n % 4 == 0 and rng.random() < 0.1:
                 body.append(clutter(within))
+        if within and n % 4 == 0:
+            body.append(clutter(within))
         page = f"<html><head><title>t</title></head><body>{clutter(before)}{first}{''.join(body)}{last}{clutter(after)}</body></html>"
         yield page.replace(MARK, ""), [int(t.startswith(MARK)) for t in blocks(page)[0]]
 
