@@ -88,7 +88,7 @@ def assert_interior_filled(df: DataFrame, months: list[int]) -> DataFrame:
 
 
 def quality_pipeline(df: DataFrame, months: list[int], bases: list[str], metadata: list[str], plausible: str, cls: str, city: str = "city", value: str = "CHM_1m", least_value: float = 0.3, max_missing: int = 2, max_edge: int = 1, least_group: int = 10) -> DataFrame:
-    """Months, gap filter, interpolation, group z-score and percentile, plausibility. The cleaning is run twice, for its value's counts and for the result."""
+    """Months, gap filter, interpolation, group z-score and percentile, plausibility. The cleaning is run once and written."""
     clean = prep.select_months(null_nan(df), months, bases, metadata)
     clean = interpolate_within_entity(filter_gappy_series(clean, months, max_missing, max_edge), months, max_edge)
     scored = stats.group_scores_with_fallback(clean, value, cls, city, least_group)

@@ -58,7 +58,8 @@ def _ranked(distinct: DataFrame, value: str, keys: list[str], cuts: int = 100) -
 
 
 def with_rank(df: DataFrame, value: str, out: str, keys: list[str] = (), n: str | None = None) -> DataFrame:
-    """df with the average rank of its value in its group (NULL for NULL), and with n the number of values there."""
+    """df with the average rank of its value in its group (NULL for NULL), and with n the number of values there. df is written first, as its values are joined."""
+    df = checkpointed(df)
     table = rank_table(df, value, keys)
     return _on(df, table.select(*keys, value, F.col("__rank").alias(out), *([F.col("__all").alias(n)] if n else [])), [*keys, value])
 
@@ -109,8 +110,9 @@ def group_scores_with_fallback(df: DataFrame, value: str, cls: str, city: str =
     """{value}_zscore and {value}_percentile within (city, class), or within the city where the class has few rows there.
 
     z: 0 for a whole group without spread. Percentile: the average rank in per cent of the group's values. Both follow from (city, class, value) alone:
-    df is read once to count those, and once for the one join with their scores.
+    df is written once (a mean that is worked out again can end in another bit, and would miss its score), read to count those, and read for the one join with their scores.
     """
+    df = checkpointed(df)
     v, keys, few = F.col(value), [city, cls], F.col("__g") < least
     counted = _value_counts(df, value, keys)
     groups = checkpointed(_moments(counted, value, keys))
@@ -126,8 +128,8 @@ def group_scores_with_fallback(df: DataFrame, value: str, cls: str, city: str =
 
 
 def group_scores(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """zscore (ddof 1) and pct_rank (average rank / n * 100) per group, NULL values left out."""
-    d = df.where(F.col(value).isNotNull())
+    """zscore (ddof 1) and pct_rank (average rank / n * 100) per group, NULL values left out. df is written first, as its values are joined."""
+    d = checkpointed(df.where(F.col(value).isNotNull()))
     counted = _value_counts(d, value, keys)
     found = _on(_ranked(counted, value, list(keys)), _moments(counted, value, keys), keys)
     scores = checkpointed(found.select(*keys, value, zscore(F.col(value), F.col("__m"), F.col("__s")).alias("__z"), (F.col("__rank") * 100.0 / F.col("__all")).alias("__p")))
