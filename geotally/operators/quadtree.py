@@ -24,6 +24,8 @@ DEPTH, START = 22, 2
 COUNTED, STRIDE = 4, 2
 #: Query points of one leaf that are handled in one group; more are dealt over several.
 GROUP = 4096
+#: Sites of a run that count as a whole where they can, query points that are looked up together, and sites that these are compared with at a time.
+RUN, QUERIES, SITES = 32, 64, 2048
 BOX = {"x0": F.min, "x1": F.max, "y0": F.min, "y1": F.max}
 
 
@@ -203,40 +205,124 @@ def nearest(queries: DataFrame, tree: Tree, sites: DataFrame, k: int, key: str,
     return q.groupBy("g", "a", "part").cogroup(s.groupBy("g", "a", "part")).applyInArrow(ranked, f"`{key}` {kind}, rank int, site {kind}, site_c string, distance double")
 
 
+def _shuffled(v: np.ndarray) -> np.ndarray:
+    """Bits of 16-bit numbers with a zero after each."""
+    for by, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        v = (v | v << by) & mask
+    return v
+
+
+def _along(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """An order of points in which those next to each other are mostly near each other."""
+    span = max(np.ptp(x), np.ptp(y), 1e-9)
+    a, b = (((v - v.min()) / span * 65535).astype(np.int64) for v in (x, y))
+    return np.argsort(_shuffled(a) << 1 | _shuffled(b), kind="stable")
+
+
+def sums_within(x: np.ndarray, y: np.ndarray, sites: np.ndarray, lag: float) -> np.ndarray:
+    """[point, 1 + values]: number and sums of values of the sites (rows of x, y, values) at most lag away from each point.
+
+    Both are cut into runs of near ones; runs of sites that lie within or beyond the lag as a whole aren't looked at one by one.
+    """
+    out = np.zeros((len(x), sites.shape[1] - 1))
+    if not len(x) or not len(sites):
+        return out
+    sites = sites[_along(sites[:, 0], sites[:, 1])]
+    sx, sy, v = np.ascontiguousarray(sites[:, 0]), np.ascontiguousarray(sites[:, 1]), np.hstack([np.ones((len(sites), 1)), sites[:, 2:]])
+    starts = np.arange(0, len(sites), RUN)
+    (x0, y0), (x1, y1) = ([f.reduceat(c, starts) for c in (sx, sy)] for f in (np.minimum, np.maximum))
+    totals = np.add.reduceat(v, starts)
+    order, places = _along(x, y), np.arange(RUN)
+    for at in range(0, len(x), QUERIES):
+        i = order[at : at + QUERIES]
+        qx, qy = x[i], y[i]
+        gx, gy = (np.maximum(0, np.maximum(lo - q.max(), q.min() - hi)) for lo, hi, q in ((x0, x1, qx), (y0, y1, qy)))
+        fx, fy = (np.maximum(hi - q.min(), q.max() - lo) for lo, hi, q in ((x0, x1, qx), (y0, y1, qy)))
+        whole = np.hypot(fx, fy) * (1 + 1e-12) <= lag
+        some = np.flatnonzero((np.hypot(gx, gy) * (1 - 1e-12) <= lag) & ~whole)
+        total = np.repeat(totals[whole].sum(axis=0)[None], len(i), 0)
+        j = (starts[some][:, None] + places).ravel()
+        j = j[j < len(sites)]
+        for k in range(0, len(j), SITES):
+            near = j[k : k + SITES]
+            dx, dy = qx[:, None] - sx[near], qy[:, None] - sy[near]
+            d2 = dx * dx + dy * dy
+            inside = d2 <= lag * lag
+            edge = np.abs(d2 - lag * lag) <= 1e-9 * lag * lag
+            if edge.any():
+                inside[edge] = np.hypot(dx[edge], dy[edge]) <= lag
+            total += inside.astype(float) @ v[near]
+        out[i] = total
+    return out
+
+
 def within(tree: Tree, lags: list[float], sums: list[str], key: str) -> DataFrame:
     """(key, lag, n, sums): of each point, the number of points at most lag away, itself included, and the sums of their values.
 
     sums: stats of the tree that add up, and columns of its points. Pairs of cells that lie within a lag as a whole count by their n and
-    sums. A leaf beside an undivided cell goes on as its single points.
+    sums. Searching cells are divided until they hold at most GROUP points and are narrow beside the lag; what is left is the ring of leaves
+    about each, whose points are compared with the cell's in one group. A wide leaf beside an undivided cell goes on as its single points.
     """
     nodes, places = _nodes(tree, sums), _places(tree, {v: F.col(v) for v in sums}, key)
     down, into = _steps(nodes, False), _steps(nodes, True).select("g", F.col("from").alias("b"), F.col("node").alias("to"))
     totals = [F.sum(v).alias(v) for v in ("n", *sums)]
     settled, close = [], []
     kind = tree.points.schema[key].dataType
+    narrow = F.hypot(F.col("a.x1") - F.col("a.x0"), F.col("a.y1") - F.col("a.y0")) <= F.col("lag") / 4
+    last = F.col("a.leaf") | ((F.col("a.n") <= GROUP) & narrow)
 
     def split(pairs: DataFrame) -> DataFrame:
-        """Takes what is settled and pairs of leaves out of (g, a, key, b, lag); the rest goes on. key: of a single point."""
+        """Takes what is settled and the pairs of last cells and leaves out of (g, a, key, b, lag); the rest goes on. key: of a single point."""
         far = checkpointed(pairs.select("g", "a", "key", F.col("b.id").alias("b"), F.col("b.leaf").alias("lb"), "lag", (farthest_of_boxes() <= F.col("lag")).alias("all"), nearest_of_boxes().alias("near"), F.col("b.n").alias("n"), *(F.col(f"b.{v}").alias(v) for v in sums)).where(F.col("near") <= F.col("lag")))
         settled.append(far.where("all").groupBy("g", F.col("a.id").alias("id"), "key", "lag").agg(*totals))
-        close.append(far.where("not all and a.leaf and lb").select("g", F.col("a.id").alias("id"), "key", "b", "lag"))
-        return far.where("not all and not (a.leaf and lb)").select("g", "a", "key", "b", "lag")
+        close.append(far.where(~F.col("all") & last & F.col("lb")).select("g", F.col("a.id").alias("id"), "key", "b", "lag"))
+        return far.where(~F.col("all") & ~(last & F.col("lb"))).select("g", "a", "key", "b", "lag")
 
     begin = _start(nodes).withColumn("key", F.lit(None).cast(kind))
     pairs = split(begin.withColumn("lag", F.explode(F.array(*(F.lit(float(v)) for v in lags)))))
     for _ in range(_rounds(tree)):
         p = pairs.withColumn("from", F.col("a.id"))
-        lower = p.where(~F.col("a.leaf")).join(down, ["g", "from"]).select("g", F.col("node").alias("a"), "key", "b", "lag")
-        single = p.where(F.col("a.leaf") & ~F.col("a.point")).drop("key").join(places.withColumnRenamed("id", "from"), ["g", "from"]).select("g", F.col("node").alias("a"), "key", "b", "lag")
-        every = lower.unionByName(single).unionByName(p.where("a.point").select("g", "a", "key", "b", "lag"))
+        apart = F.col("a.leaf") & ~F.col("a.point") & ~narrow
+        lower = p.where(~last).join(down, ["g", "from"]).select("g", F.col("node").alias("a"), "key", "b", "lag")
+        single = p.where(apart).drop("key").join(places.withColumnRenamed("id", "from"), ["g", "from"]).select("g", F.col("node").alias("a"), "key", "b", "lag")
+        every = lower.unionByName(single).unionByName(p.where(last & ~apart).select("g", "a", "key", "b", "lag"))
         pairs = split(every.join(into, ["g", "b"]).select("g", "a", "key", F.col("to").alias("b"), "lag"))
-    found = reduce(DataFrame.unionByName, settled)
+    found, left = reduce(DataFrame.unionByName, settled), checkpointed(reduce(DataFrame.unionByName, close))
     of_nodes = found.where("key is null").groupBy("g", "id", "lag").agg(*totals)
-    leaves = tree.nodes.where("leaf").select("g", F.col("id").alias("leaf"), F.explode(F.transform(F.sequence(F.lit(0), F.col("level")), lambda up: ancestor(F.col("id"), F.col("level"), up))).alias("id"))
+    up = F.explode(F.transform(F.sequence(F.lit(0), F.col("level")), lambda up: ancestor(F.col("id"), F.col("level"), up)))
+    leaves = tree.nodes.where("leaf").select("g", F.col("id").alias("leaf"), up.alias("id"))
     of_leaves = leaves.join(of_nodes, ["g", "id"]).groupBy("g", "leaf", "lag").agg(*totals)
     points = tree.points.select(F.col("__g").alias("g"), "leaf", F.col(key).alias("key"), "x", "y", *sums)
     whole = points.select("g", "leaf", "key").join(of_leaves, ["g", "leaf"]).select("key", "lag", "n", *sums)
-    left = reduce(DataFrame.unionByName, close).withColumnsRenamed({"key": "only", "id": "leaf"}).join(points.select("g", "leaf", "key", F.col("x").alias("ax"), F.col("y").alias("ay")), ["g", "leaf"]).where("only is null or only = key")
-    near = left.drop("leaf").join(points.drop("key").withColumnRenamed("leaf", "b"), ["g", "b"]).where(F.hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y")) <= F.col("lag"))
+    ones = left.where("key is not null").withColumnsRenamed({"key": "only", "id": "leaf"}).join(points.select("g", "leaf", "key", F.col("x").alias("ax"), F.col("y").alias("ay")), ["g", "leaf"]).where("only = key")
+    near = ones.drop("leaf").join(points.drop("key").withColumnRenamed("leaf", "b"), ["g", "b"]).where(F.hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y")) <= F.col("lag"))
     parts = [whole, found.where("key is not null").select("key", "lag", "n", *sums), near.select("key", "lag", F.lit(1).cast("long").alias("n"), *sums)]
+    parts.append(_compared(left.where("key is null").drop("key"), leaves, points, tree, sums, kind.simpleString()))
     return reduce(DataFrame.unionByName, parts).groupBy(F.col("key").alias(key), "lag").agg(*totals)
+
+
+def _compared(close: DataFrame, leaves: DataFrame, points: DataFrame, tree: Tree, sums: list[str], kind: str) -> DataFrame:
+    """(key, lag, n, sums) of the points of cells against those of leaves: close is (g, id, b, lag), leaves is (g, leaf, id) with the cells above each leaf.
+
+    Leaves travel as arrays, GROUP points a row at most; a cell's points are GROUP a group at most. The number of tasks doesn't follow the bytes,
+    which say little about the work.
+    """
+    sizes = tree.nodes.where("leaf").select("g", F.col("id").alias("leaf"), F.ceil(F.col("n") / GROUP).alias("parts"))
+    parted = points.join(sizes, ["g", "leaf"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    packed = parted.groupBy("g", F.col("leaf").alias("b"), "part").agg(F.flatten(F.collect_list(F.array("x", "y", *sums))).alias("s")).drop("part")
+    cells, tasks = close.select("g", "id", "lag").distinct().join(leaves, ["g", "id"]).join(sizes, ["g", "leaf"]), int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of, by = cells.groupBy("g", "id", "lag").agg(F.max("parts").alias("most")), ["g", "id", "lag", "part"]
+    q = cells.drop("parts").join(parted.select("g", "leaf", "part", "key", "x", "y"), ["g", "leaf"]).select(*by, "key", "x", "y")
+    s = close.join(of, ["g", "id", "lag"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most") - 1))).join(packed, ["g", "b"]).select(*(F.col(c).alias(f"s_{c}") for c in by), "s")
+
+    def counted(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return pa.table({"key": left["key"], "lag": pa.array([], pa.float64()), "n": pa.array([], pa.int64()), **{v: pa.array([], pa.float64()) for v in sums}})
+        flat = [c.flatten().to_numpy() for c in right["s"].chunks]
+        sites = np.concatenate(flat).reshape(-1, 2 + len(sums)) if flat else np.zeros((0, 2 + len(sums)))
+        total = sums_within(left["x"].to_numpy(), left["y"].to_numpy(), sites, left["lag"][0].as_py())
+        return pa.table({"key": left["key"], "lag": left["lag"], "n": pa.array(np.rint(total[:, 0]).astype(np.int64)), **{v: pa.array(total[:, i + 1]) for i, v in enumerate(sums)}})
+
+    schema = ", ".join([f"key {kind}", "lag double", "n long", *(f"`{v}` double" for v in sums)])
+    same = [f"s_{c}" for c in by]
+    return q.repartition(tasks, *by).groupBy(*by).cogroup(s.repartition(tasks, *same).groupBy(*same)).applyInArrow(counted, schema)

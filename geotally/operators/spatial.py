@@ -113,6 +113,8 @@ def grid_counts(df: DataFrame, sizes: list[float], least_blocks: int = 30, city:
 
 #: Points of a leaf in searches; points of a grid cell from which on a radius is searched by the tree instead of by the grid's cells.
 LEAF, CROWD = 64, 512
+#: Points of a leaf where neighbours within a lag are summed.
+CLUMP = 256
 
 
 def _classed(df: DataFrame, cls: str) -> Column:
@@ -215,7 +217,7 @@ def _of_neighbours(z: DataFrame, features: list[str], lags: list[float], key: st
     if crowded(z, size, city):
         placed = z.where("x is not null and y is not null").select(key, F.col(city), "x", "y", *(F.coalesce(F.col(f), F.lit(0.0)).alias(f"v{j}") for j, f in enumerate(features)))
         values = [f"v{j}" for j in range(len(features))]
-        tree = quadtree.build(placed, LEAF, {v: (F.sum(v), F.sum(v)) for v in values}, city)
+        tree = quadtree.build(placed, CLUMP, {v: (F.sum(v), F.sum(v)) for v in values}, city)
         near = quadtree.within(tree, lags, values, key).join(placed.select(key, *(F.col(v).alias(f"own_{v}") for v in values)), key)
         mine = [F.when(F.col("lag") == float(lag), F.col("n") - 1) for lag in lags]
         sums = [F.coalesce(F.max(n), F.lit(0)).alias(f"n{i}") for i, n in enumerate(mine)]
@@ -234,7 +236,7 @@ def morans_i(df: DataFrame, features: list[str], lags: list[float], key: str = "
     Where a cell of the largest lag is crowded, cells that lie within a lag as a whole count by number and sum; only the others' points are compared.
     """
     mean = df.groupBy(F.col(city).alias("__city")).agg(*(F.avg(f).alias(f"__m_{f}") for f in features))
-    z = df.join(mean, df[city] == mean["__city"]).select(key, city, "x", "y", *((F.col(f) - F.col(f"__m_{f}")).alias(f) for f in features))
+    z = checkpointed(df.join(mean, df[city] == mean["__city"]).select(key, city, "x", "y", *((F.col(f) - F.col(f"__m_{f}")).alias(f) for f in features)))
     joined = z.join(_of_neighbours(z, features, lags, key, city), key, "left")
     out = [F.sum(F.when(F.col(f"n{i}") > 0, F.col(f) * F.col(f"s{i}_{f}") / F.col(f"n{i}"))).alias(f"w{i}_{f}") for i in range(len(lags)) for f in features]
     out += [F.count_if(F.col(f"n{i}") > 0).alias(f"k{i}") for i in range(len(lags))] + [F.sum(F.col(f) * F.col(f)).alias(f"q_{f}") for f in features]
@@ -290,6 +292,7 @@ def decay_distance(moran: DataFrame, least: float = 0.05, city: str = "city") ->
 
 def block_size_recommendation(decay: DataFrame) -> DataFrame:
     """(feature, mean, std, max, agree, recommended): agree: the cities differ by at most 50 m; recommended: the largest decay of all, up to a full 100 m."""
+    decay = checkpointed(decay)  # a row a city and feature, read twice
     by = decay.groupBy("feature").agg(F.avg("decay").alias("mean"), F.stddev_pop("decay").alias("std"), F.max("decay").alias("max"), (F.max("decay") - F.min("decay") <= 50).alias("agree"))
     top = decay.agg((F.ceil(F.max("decay") / 100) * 100).cast("long").alias("recommended"))
     return by.join(F.broadcast(top))  # one row
@@ -313,8 +316,8 @@ def post_split_independence(df: DataFrame, split: str, feature: str, lag: float,
     names = sorted(r[0] for r in df.select(split).distinct().collect())  # splits
     parts = [df.where(F.col(split) == s).withColumn("part", F.lit(s)) for s in names]
     parts += [split_boundary_rows(df, split, a, b, buffer).withColumn("part", F.lit(f"{a}|{b}")) for i, a in enumerate(names) for b in names[i + 1 :]]
-    every = reduce(DataFrame.unionByName, parts).select("part", "x", "y", feature, F.concat_ws(":", "part", F.col(key).cast("string")).alias("__id"))  # a row can be in several parts
-    found = morans_i(every, [feature], [lag], "__id", "part")
+    every = checkpointed(reduce(DataFrame.unionByName, parts).select("part", "x", "y", feature, F.concat_ws(":", "part", F.col(key).cast("string")).alias("__id")))  # a row can be in several parts
+    found = checkpointed(morans_i(every, [feature], [lag], "__id", "part"))  # a row a part, read twice
     between = F.col("part").contains("|")
     rule = found.agg((F.max(F.when(between, F.col("morans_i"))) < F.max(F.when(~between, F.col("morans_i")))).alias("independent"))
     return found.select("part", "morans_i").join(F.broadcast(rule))  # one row
@@ -324,7 +327,7 @@ def ripley_k(df: DataFrame, distances: list[float], area: float, key: str = "id"
     """(distance, k, expected): area * ordered pairs within the distance / (n (n - 1)), against pi d^2."""
     size = max(distances)
     if crowded(df, size):
-        tree = quadtree.build(df.select(key, "x", "y").where("x is not null and y is not null"), LEAF)
+        tree = quadtree.build(checkpointed(df.select(key, "x", "y").where("x is not null and y is not null")), CLUMP)
         near = quadtree.within(tree, distances, [], key).agg(*(F.coalesce(F.sum(F.when(F.col("lag") == float(d), F.col("n") - 1)), F.lit(0)).alias(f"n{i}") for i, d in enumerate(distances)))
     else:
         a, b = around(df.select(key, "x", "y"), size).alias("a"), in_cells(df.select(key, "x", "y"), size).alias("b")
