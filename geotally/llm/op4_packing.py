@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geotally.llm.bpe import PairCoder
-from geotally.llm.characters import of_tokenizers
+from geotally.llm.characters import of_tokenizers, ranges
 from geotally.llm.common import id_text, read, saved
-from geotally.llm.op1_bpe import split_by, text_coder
+from geotally.llm.op1_bpe import split_by
 from geotally.llm.op9_token_counts import byte_symbols
+from geotally.llm.word_coder import word_coder
 
 #: Choices the search makes (its first descent takes about one a length), fillings tried for one space where not all are, steps to find them, all
 #: fillings that are compared at most, sizes decided on within one another, and parts of fillings up to which dominance is settled by trying everything.
@@ -291,13 +292,15 @@ def pieces(df: DataFrame, vocabulary: str, capacity: int, end: int, id_col: str,
 
     coder, special = json_coder(vocabulary)
     shared, split = df.sparkSession.sparkContext.broadcast(coder), split_by(public_tokenizers.PATTERN, of_tokenizers)  # the vocabulary: fixed size
+    space = ranges(of_tokenizers(r"\s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, stop = text_coder(shared, split, special), array("I", [end]).tobytes()
+        coder, stop = word_coder(shared, split, space, special), array("I", [end]).tobytes()
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packed = texts.packed(value.as_py()) + stop
+            texts = (value.as_py() for value in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.packed(texts), strict=True):
+                packed = ids + stop
                 n = len(packed) // 4
                 start = 0
                 for k in range(-(-n // capacity)):
